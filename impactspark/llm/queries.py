@@ -11,6 +11,7 @@ from impactspark.llm.quality import op4_quality_classifier
 from impactspark.llm.rules import op8_quality_rules
 from impactspark.llm.simhash import op2_simhash_near_dedup
 from impactspark.llm.toxicity import op3_toxicity
+from impactspark.llm.urls import OP7_SQL, op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_toxicity, op4_quality_classifier, op5_pii, op6_lm_score, op8_quality_rules, op9_decontaminate, op10_chat_format)}
-ORACLES = {"op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_toxicity, op4_quality_classifier, op5_pii, op6_lm_score, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_chat_format)}
+ORACLES = {"op7_url_filter": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -53,15 +53,15 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row."""
+    """doc_id, row_key (a hash of id and text) and fp (signed 64-bit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(2).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())], ["doc_id", "row_key", "fp"])
 
-    slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row_key long, fp long")
 
 
 def byte_at(fp: Column, position: int) -> Column:
@@ -153,20 +153,41 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _grouped(docs: DataFrame, words: int, max_bits: int, long: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; (fp, first, root) of the distinct ones, first being their least id."""
+    fps = written(fingerprints(docs, words), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(distinct, max_bits, long))
+    return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, long: int = LONG) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row of docs(doc_id, text).
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows each get a row. Null ids
     link too but never name a component, unless all its ids are null (component_id is null then).
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, max_bits, long))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps, rooted = _grouped(docs, words, max_bits, long)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, long: int = LONG) -> DataFrame:
+    """One row of docs for each component: that of the least id (nulls last, then of the least row key)."""
+    fps, rooted = _grouped(docs, words, max_bits, long)
+    rows = fps.join(rooted.select("fp", "root"), "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("best.row_key").alias("stays"))
+    shared = written(rows.join(best, "root").groupBy("row_key").agg(F.bool_or(F.col("row_key") == F.col("stays")).alias("stays"), F.count(F.lit(1)).alias("n")), "shared")
+    gone = shared.where("not stays").select(F.col("row_key").alias("__key"))
+    again = shared.where("stays and n > 1").select(F.col("row_key").alias("__key"))
+    key = F.xxhash64("doc_id", "text")
+    kept = docs.join(gone, key == F.col("__key"), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, key == F.col("__key")).dropDuplicates(["__key"]).select(*docs.columns)
+    return kept.join(again, key == F.col("__key"), "left_anti").unionByName(repeated)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.llm._fit import labelled_sample, platt, sigmoid
-from impactspark.llm._shared import Block, blocks, id_crc, mix, table
+from impactspark.llm._shared import Block, blocks, id_crc, table
 
 HIDDEN, WORD_BITS, CHAR_BITS = 8, 15, 14
 WINDOW, STRIDE = 32, 24
