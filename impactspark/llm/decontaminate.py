@@ -1,11 +1,13 @@
-"""Benchmark decontamination: a distributed positional inverted index, intersected from the rarest term.
+"""Benchmark decontamination: a distributed positional inverted index, intersected from the rarest terms.
 
 DataFrame functions only. A phrase is a window of ``window`` consecutive item words (an item of fewer words, but not
-none, is one phrase). Postings are (term, document, position). Each phrase reads the list of its rarest term first,
-by frequency in the documents; a posting, less the term's offset in the item, names a diagonal (document, item,
-position of the item's first word). The other terms' lists, adjusted by their own offsets, are intersected with
-those diagonals; runs of consecutive item words on a diagonal that are at least as long as a phrase are its
-occurrences. Lists that no phrase asks for are never made, and full lists only for documents on a diagonal.
+none, is one phrase). One pass over the documents stores the postings (term, document, position, following term) of
+every word that the items have, and a row for each document with its length. Each phrase is looked up by its rarest
+two neighbouring terms, by their frequency in the documents: their lists, offset by one, are intersected already in
+the posting's following term. A posting less the terms' offset in the item names a diagonal (document, item,
+position of the item's first word). The lists of all other terms, adjusted by their own offsets, are intersected
+with those diagonals; runs of consecutive item words on a diagonal that are at least as long as a phrase are its
+occurrences. A phrase with two neighbours that no document has is never looked up.
 """
 
 from __future__ import annotations
@@ -20,17 +22,25 @@ WINDOW = 10
 #: A table is broadcast only after a count and only at this many rows of short words or fewer.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What stands between words while A-Z are still capitals.
+APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Stands behind the last word of each document; no word can have a blank. Its term is 0.
+STOP = " "
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; null and wordless texts have none."""
-    folded = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.split(F.regexp_replace(folded, f"^{APART}|{APART}\\z", ""), APART)
+def folded(word: Column) -> Column:
+    """A-Z lower-cased. Plain words take the quick way, which only agrees for them."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def _real(words: Column) -> Column:
-    return (F.size(words) > 1) | (F.element_at(words, 1) != "")
+def pieces(text: Column) -> Column:
+    """The words of a text in their own case, and an empty piece where it begins or ends with a separator."""
+    return F.split(F.coalesce(text, F.lit("")), APART, -1)
+
+
+def word_count(ws: Column) -> Column:
+    last = F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)
+    return F.size(ws) - F.when(F.element_at(ws, 1) == "", 1).otherwise(0) - last
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,56 +48,61 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(items: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, position, term) of every word."""
-    return items.select(F.col(key).alias(name), words_of(F.col("text")).alias("ws")).where(_real(F.col("ws"))).select(name, F.posexplode("ws").alias("pos", "term"))
-
-
-def _anchors(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, ipos, term): for each phrase of an item the position of its rarest term, the first of equals."""
-    order = Window.partitionBy("item").orderBy("ipos")
-    span = order.rowsBetween(0, window - 1)
-    rated = terms.join(small(counts), "term", "left").withColumn("rate", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term").alias("t"), F.col("ipos").alias("at")))
-    best = rated.select("item", "ipos", "n_words", F.min("rate").over(span).alias("best")).where((F.col("ipos") + window <= F.col("n_words")) | (F.col("ipos") == 0))
-    return best.where("best.n > 0").select("item", F.col("best.at").alias("ipos"), F.col("best.t").alias("term")).distinct()
-
-
-def diagonals(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Words of the items as (item, ipos, term, n_words), and the (doc, item, diag) that a rarest term names.
-
-    docs has doc and text, items item and text.
-    """
-    words = items.select("item", words_of(F.col("text")).alias("ws")).where(_real(F.col("ws")))
-    terms = written(words.select("item", F.size("ws").alias("n_words"), F.posexplode("ws").alias("ipos", "term")), "item_words")
-    asked = small(terms.select("term").distinct())
-    counts = written(postings(docs, "doc", "doc").select("term").join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term_counts")
-    anchors = written(_anchors(terms, counts, window), "anchors")
-    found = postings(docs, "doc", "doc").join(small(anchors), "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("diag"))
-    return terms, written(found.distinct(), "diagonals")
-
-
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact occurrences as (doc, item, begin, until): maximal runs of document words, until exclusive.
-
-    docs has doc (not null) and text, items item (not null) and text; ids are unique on either side.
-    """
-    terms, named = diagonals(docs, items, window)
-    wanted = named.join(small(terms), "item").select("doc", (F.col("diag") + F.col("ipos")).alias("pos"), "term", "item", "ipos", "n_words", "diag").where("pos >= 0")
-    lists = postings(docs.join(named.select("doc").distinct(), "doc", "left_semi"), "doc", "doc")
+def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, word) of all distinct words of items(item, text), terms from 1; (item, ipos, term, next, n_words)."""
+    ws = F.filter(pieces(F.col("text")), lambda w: w != "")
+    rows = items.select("item", ws.alias("ws")).where(F.size("ws") > 0).select("item", F.size("ws").alias("n_words"), F.posexplode("ws").alias("ipos", "word")).withColumn("word", folded(F.col("word")))
+    terms = written(rows.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).alias("term")), "terms")
+    line = Window.partitionBy("item").orderBy("ipos")
+    numbered = rows.join(small(terms), "word").select("item", "ipos", "term", F.lead("term").over(line).alias("next"), "n_words")
+    return terms, written(numbered, "item_words")
+
+
+def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (doc, pos, term, next) of docs(doc_id, doc, text); term 0 ends each row of docs, with doc_id and n_words."""
+    known = small(terms.unionByName(docs.sparkSession.range(1).select(F.lit(STOP).alias("word"), F.lit(0).alias("term"))))
+    ws = F.col("ws")
+    after = F.concat(F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), F.array(F.lit(STOP)))
+    rows = docs.select("doc_id", "doc", pieces(F.col("text")).alias("ws")).select("doc_id", "doc", word_count(ws).alias("n"), F.posexplode(F.arrays_zip(F.concat(ws, F.array(F.lit(STOP))).alias("w"), after.alias("v"))).alias("pos", "p"))
+    met = rows.select("doc_id", "doc", "n", "pos", folded(F.col("p.w")).alias("word"), F.col("p.v").alias("v")).join(known, "word").select("doc_id", "doc", "n", "pos", "term", folded(F.col("v")).alias("word"))
+    both = met.join(known.withColumnRenamed("term", "next"), "word", "left")
+    end = F.col("term") == 0
+    return written(both.select("doc", "pos", "term", "next", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("n")).alias("n_words")), "postings")
+
+
+def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The (doc, item, diag) that the rarest neighbours of some phrase name."""
+    pairs = words.where("next is not null").select("term", "next").distinct()
+    counts = written(postings.join(small(pairs), ["term", "next"], "left_semi").groupBy("term", "next").agg(F.count(F.lit(1)).alias("n")), "pair_counts")
+    span = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, max(window - 2, 0))
+    rated = words.join(small(counts), ["term", "next"], "left").withColumn("rate", F.when(F.col("next").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "ipos", "term", "next")))
+    best = rated.withColumn("best", F.min("rate").over(span)).where((F.col("ipos") + window <= F.col("n_words")) | (F.col("ipos") == 0))
+    pair = best.where("best.n > 0").select("item", "best.ipos", "best.term", "best.next").distinct()
+    alone = words.where(F.col("n_words") == 1) if window > 1 else words
+    pair, alone = small(written(pair, "anchors")), small(alone.select("item", "ipos", "term"))
+    diag = (F.col("pos") - F.col("ipos")).alias("diag")
+    named = postings.join(pair, ["term", "next"]).select("doc", "item", diag).unionByName(postings.join(alone, "term").select("doc", "item", diag))
+    return written(named.distinct(), "diagonals")
+
+
+def matches(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Exact occurrences as (doc, item, begin, until): maximal runs of document positions, until exclusive."""
+    named = diagonals(postings, words, window)
+    wanted = named.join(small(words), "item").select("doc", (F.col("diag") + F.col("ipos")).alias("pos"), "term", "item", "ipos", "n_words", "diag")
+    lists = postings.select("doc", "pos", "term").join(small(named.select("doc").distinct()), "doc", "left_semi").distinct()
     met = lists.join(wanted, ["doc", "pos", "term"]).select("doc", "item", "diag", "ipos", "n_words")
     line = Window.partitionBy("doc", "item", "diag").orderBy("ipos")
     runs = met.withColumn("island", F.col("ipos") - F.row_number().over(line)).groupBy("doc", "item", "diag", "island").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"), F.first("n_words").alias("n_words"))
     return runs.where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), F.col("n_words"))).select("doc", "item", (F.col("diag") + F.col("a")).alias("begin"), (F.col("diag") + F.col("b") + 1).alias("until"))
 
 
-def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
-    """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal, if they
-    are at least ``share`` of a phrase. Exact occurrences are among them; each item word counts once."""
-    terms, named = diagonals(docs, items, window)
-    wanted = named.join(small(terms), "item").select("doc", "term", "item", "ipos", "n_words", "diag")
-    lists = postings(docs.join(named.select("doc").distinct(), "doc", "left_semi"), "doc", "doc")
-    shift = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
-    near = wanted.withColumn("shift", shift).withColumn("pos", F.col("diag") + F.col("ipos") + F.col("shift"))
+def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
+    """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal that two of
+    them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once."""
+    named = diagonals(postings, words, window)
+    wanted = named.join(small(words), "item").select("doc", "term", "item", "ipos", "n_words", "diag")
+    lists = postings.select("doc", "pos", "term").join(small(named.select("doc").distinct()), "doc", "left_semi").distinct()
+    near = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("pos", F.col("diag") + F.col("ipos") + F.col("shift"))
     met = lists.join(near, ["doc", "pos", "term"]).select("doc", "item", "diag", "ipos", "n_words").distinct()
     some = Window.partitionBy("doc", "item", "diag").orderBy("ipos").rangeBetween(0, window - 1)
     counted = met.withColumn("n", F.count(F.lit(1)).over(some)).groupBy("doc", "item", "diag").agg(F.max("n").alias("n_near"), F.first("n_words").alias("n_words"))
@@ -95,8 +110,12 @@ def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: in
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows of one id and text are one document here; a null id is a document id of its own."""
-    return docs.select("doc_id", "text").withColumn("doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit(""))))
+    """Rows of one id and text are one document to the index; a null id is an id of its own."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit(""))).alias("doc"))
+
+
+def _listed(items: DataFrame) -> DataFrame:
+    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").withColumn("item", F.xxhash64("item_id", F.coalesce("text", F.lit("")))).dropDuplicates(["item"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -105,22 +124,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     A null text has no words. Repeated rows each get a row. Items with a null id are named by the empty text; items
     of one id and other texts are one item.
     """
-    keyed = _keyed(docs)
-    listed = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").withColumn("item", F.xxhash64("item_id", F.coalesce("text", F.lit("")))).dropDuplicates(["item"])
-    found = written(matches(keyed.select("doc", "text"), listed.select("item", "text"), window), "matches")
+    listed = _listed(items)
+    terms, words = item_words(listed.select("item", "text"))
+    postings = index(_keyed(docs), terms)
+    found = written(matches(postings, words, window), "matches")
     # Union of the ranges of a document by a running maximum of their ends, so that no hit word is a row.
     line = Window.partitionBy("doc").orderBy("begin", "until")
     before = F.max("until").over(line.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("until") - F.greatest(F.col("begin"), F.coalesce(before, F.lit(0))))
     hits = found.select("doc", "begin", "until").distinct().withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("n_hit"))
     named = found.select("doc", "item").distinct().join(small(listed.select("item", "item_id")), "item").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    per_doc = hits.join(named, "doc")
-    words = words_of(F.col("text"))
-    slim = keyed.select("doc_id", "doc", F.when(_real(words), F.size(words)).otherwise(0).cast("long").alias("n_words"))
+    per_doc = written(hits.join(named, "doc"), "contaminated")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return slim.join(per_doc, "doc", "left").select(
+    return postings.where("term = 0").select("doc_id", "doc", "n_words").join(small(per_doc), "doc", "left").select(
         "doc_id",
-        "n_words",
+        F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
@@ -129,6 +147,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no phrase of an item occurs, all columns as they are."""
+    terms, words = item_words(_listed(items).select("item", "text"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit("")))
+    hit = written(matches(index(_keyed(docs), terms), words, window).select(F.col("doc").alias("__doc")).distinct(), "contaminated")
+    return docs.join(small(hit), key == F.col("__doc"), "left_anti")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("item_ids")
