@@ -2,5 +2,454 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from impactspark.functions import bits, codecs, checksums
+from impactspark.functions.text import kmers, tokens, without_markup
+from impactspark.operators import evaluation, index as build, search, statistics
+from impactspark.plans.store import index, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- SQL in parts -------------------------------------------------------------------------------------------------
+
+_TOK = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS term FROM documents)"
+_POST = "post AS (SELECT term, doc_id, CAST(least(count(*), 1024) AS INTEGER) AS tf FROM tok GROUP BY ALL)"
+_LEN = r"len AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS BIGINT) AS length FROM documents)"
+_STATS = "stats AS (SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS tokens, avg(length) AS mean_length FROM len)"
+_DF = "df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"
+_BM25 = "bm AS (SELECT term, doc_id, tf, ln(documents / df) * (tf * CAST(1.9 AS DOUBLE) / (tf + CAST(0.9 AS DOUBLE) * ((CAST(1.0 AS DOUBLE) - CAST(0.4 AS DOUBLE)) + CAST(0.4 AS DOUBLE) * length / mean_length))) AS score FROM post JOIN df USING (term) JOIN len USING (doc_id), stats)"
+_BOUNDS = "bounds AS (SELECT min(score) AS low, max(score) AS high FROM bm)"
+_IMP = "imp AS (SELECT term, doc_id, CAST(floor((score - low) / (high - low) * CAST(1023.0 AS DOUBLE)) + 1 AS INTEGER) AS impact FROM bm, bounds)"
+_BASE = ", ".join((_TOK, _POST, _LEN, _STATS, _DF, _BM25, _BOUNDS, _IMP))
+#: Queries are made of terms by their place in the order of document frequency; one term twice, one unknown.
+PLACES = {"q1": (11, 40, 160), "q2": (5, 80, 320, 320), "q3": (20, 640), "q4": (3, 7, 900, 1500)}
+_PLACES = ", ".join(f"('{q}', {p}, {ps.count(p)})" for q, ps in PLACES.items() for p in sorted(set(ps)))
+_QT = f"places(query_id, place, qf) AS (VALUES {_PLACES}), ranked AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS place FROM df), qt AS (SELECT query_id, term, CAST(qf AS INTEGER) AS qf FROM places JOIN ranked USING (place) UNION ALL SELECT 'q3', 'zzzunknown', 1)"
+_HIT = "hit AS (SELECT query_id, term, impact * qf AS seg, doc_id FROM imp JOIN qt USING (term))"
+_SEG = "seg AS (SELECT query_id, term, seg, count(*) AS n FROM hit GROUP BY ALL), plan AS (SELECT *, CAST(sum(n) OVER (PARTITION BY query_id ORDER BY seg DESC, n, term ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM seg)"
+_SEARCH = ", ".join((_BASE, _QT, _HIT, _SEG))
+
+
+def _top(source: str, k: int = 10) -> str:
+    return f"SELECT query_id, doc_id, rank, rsv FROM (SELECT query_id, doc_id, rsv, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rsv DESC, doc_id DESC) AS INTEGER) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+def _acc(where: str = "TRUE", extra: str = "", value: str = "seg") -> str:
+    return f"acc AS (SELECT query_id, doc_id, CAST(sum({value}) AS INTEGER) AS rsv FROM hit JOIN (SELECT * FROM plan {extra} WHERE {where}) USING (query_id, term, seg) GROUP BY ALL)"
+
+
+_ALL = "acc AS (SELECT query_id, doc_id, CAST(sum(seg) AS INTEGER) AS rsv FROM hit GROUP BY ALL)"
+
+
+# -- Text and index -----------------------------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(rf"WITH {_TOK} SELECT term, count(*) AS n FROM tok GROUP BY term")
+def token_counts(spark, sf_dir):
+    return build.token_rows(_docs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LEN} SELECT doc_id, length FROM len")
+def doc_lengths(spark, sf_dir):
+    return build.doc_lengths(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_LEN}, {_STATS} SELECT documents, tokens, round(mean_length, 6) AS mean_length FROM stats")
+def collection_stats(spark, sf_dir):
+    return build.collection_stats(build.doc_lengths(_docs(spark, sf_dir))).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query(f"WITH {_TOK}, {_POST} SELECT term, doc_id, tf FROM post")
+def postings(spark, sf_dir):
+    return build.postings(build.token_rows(_docs(spark, sf_dir)))
+
+
+@query(f"WITH {_TOK}, {_POST}, {_DF} SELECT term, df, cf FROM df")
+def document_frequency(spark, sf_dir):
+    return build.document_frequency(index(spark, sf_dir).postings)
+
+
+@query(f"WITH {_BASE} SELECT term, df, cf, CAST(n_segments AS BIGINT) AS n_segments, min_impact, max_impact FROM df JOIN (SELECT term, count(DISTINCT impact) AS n_segments, min(impact) AS min_impact, max(impact) AS max_impact FROM imp GROUP BY term) USING (term)")
+def vocabulary(spark, sf_dir):
+    i = index(spark, sf_dir)
+    return build.vocabulary(i.postings, i.impacts)
+
+
+@query(f"WITH {_BASE} SELECT term, doc_id, tf, round(score, 6) AS score FROM bm")
+def bm25_scores(spark, sf_dir):
+    i = index(spark, sf_dir)
+    return build.scored(i.postings, i.lengths).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BASE} SELECT round(low, 6) AS low, round(high, 6) AS high FROM bounds")
+def bm25_bounds(spark, sf_dir):
+    i = index(spark, sf_dir)
+    return build.bounds(build.scored(i.postings, i.lengths)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(f"WITH {_BASE} SELECT term, doc_id, impact FROM imp")
+def impacts(spark, sf_dir):
+    i = index(spark, sf_dir)
+    return build.quantized(build.scored(i.postings, i.lengths))
+
+
+@query(f"WITH {_BASE} SELECT term, doc_id, tf AS impact FROM post")
+def impacts_passthrough(spark, sf_dir):
+    return build.passed_through(index(spark, sf_dir).postings)
+
+
+@query(f"WITH {_BASE} SELECT term, doc_id, CAST(floor((tf - low) / CAST(high - low AS DOUBLE) * CAST(1023.0 AS DOUBLE)) + 1 AS INTEGER) AS impact FROM post, (SELECT min(tf) AS low, max(tf) AS high FROM post)")
+def impacts_scaled_passthrough(spark, sf_dir):
+    i = index(spark, sf_dir)
+    return build.quantized(build.scored(i.postings, i.lengths, "none"))
+
+
+@query(f"WITH {_BASE} SELECT term, impact, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM imp GROUP BY ALL")
+def impact_segments(spark, sf_dir):
+    return build.segments(index(spark, sf_dir).impacts).select("term", "impact", "n", F.array_join("doc_ids", ",").alias("docs"))
+
+
+@query(f"WITH {_BASE} SELECT doc_id, string_agg(term || ':' || impact, ' ' ORDER BY term) AS terms FROM imp GROUP BY doc_id")
+def forward_index(spark, sf_dir):
+    return build.forward(index(spark, sf_dir).impacts)
+
+
+@query(f"WITH {_TOK}, {_POST} SELECT term, string_agg('<' || doc_id || ',' || tf || '>', '' ORDER BY doc_id) AS listed FROM post GROUP BY term")
+def human_dump(spark, sf_dir):
+    return build.human(index(spark, sf_dir).postings)
+
+
+_MARKUP = r"<!--(?s:.*?)-->|<!\[(?s:.*?)\]\]?>|<\?(?s:.*?)\?>|<![A-Z](?s:[^>]*)>|</?[A-Za-z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>"
+
+
+@query(rf"SELECT page_id, CAST(len(ws) AS BIGINT) AS n_tokens, array_to_string(ws, ' ') AS words FROM (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '{_MARKUP}', ' ', 'g')), '\p{{L}}+|\p{{N}}+') AS ws FROM pages)")
+def pages_text_tokens(spark, sf_dir):
+    ws = tokens(without_markup(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", ws.alias("ws")).select("page_id", F.size("ws").cast("long").alias("n_tokens"), F.array_join("ws", " ").alias("words"))
+
+
+@query(r"SELECT kmer, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, substr(r, CAST(i AS INTEGER), 4) AS kmer FROM (SELECT doc_id, r, unnest(range(1, length(r) - 2)) AS i FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '\s+', '', 'g'), '[^acgt]+')) AS r FROM documents) WHERE length(r) >= 4)) GROUP BY kmer")
+def kmer_index(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(kmers(F.col("text"), 4)).alias("kmer"))
+    return rows.groupBy("kmer", "doc_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("kmer").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query()
+def porter_stem(spark, sf_dir):
+    """Postings of stems, with the number of words behind each."""
+    return build.document_frequency(build.stem_postings(index(spark, sf_dir).postings))
+
+
+@query()
+def full_folding(spark, sf_dir):
+    """Tokens under full Unicode folding, by term."""
+    return build.token_rows(_docs(spark, sf_dir), "full").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- Search -------------------------------------------------------------------------------------------------------
+
+
+def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, term, qf) of the registered workload."""
+    frequent = build.document_frequency(index(spark, sf_dir).postings).orderBy(F.desc("df"), "term").limit(2000)
+    ranked = frequent.withColumn("place", F.row_number().over(Window.orderBy(F.desc("df"), "term")))  # 2000 rows
+    rows = [(q, p, ps.count(p)) for q, ps in PLACES.items() for p in sorted(set(ps))]
+    places = spark.createDataFrame(rows, "query_id string, place int, qf int")
+    known = ranked.join(F.broadcast(places), "place").select("query_id", "term", "qf")
+    return known.unionByName(spark.createDataFrame([("q3", "zzzunknown", 1)], "query_id string, term string, qf int"))
+
+
+def _search(spark, sf_dir, **options):
+    return search.search(index(spark, sf_dir).impacts, workload(spark, sf_dir), **options)
+
+
+@query(f"WITH {_SEARCH}, {_ALL} {_top('acc')}")
+def search_exhaustive(spark, sf_dir):
+    return _search(spark, sf_dir)
+
+
+@query(f"WITH {_SEARCH}, {_ALL} {_top('acc', 100)}")
+def search_batch(spark, sf_dir):
+    return _search(spark, sf_dir, k=100)
+
+
+@query(f"WITH {_SEARCH}, {_acc('cum <= 500')} {_top('acc')}")
+def search_anytime_absolute(spark, sf_dir):
+    return _search(spark, sf_dir, absolute=500)
+
+
+@query(f"WITH {_SEARCH}, {_acc('cum <= floor((SELECT documents FROM stats) * CAST(20.0 AS DOUBLE) / 100)')} {_top('acc')}")
+def search_anytime_percent(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return _search(spark, sf_dir, percent_of_documents=20.0, documents=n)
+
+
+_REL = "JOIN (SELECT query_id, floor(sum(n) * CAST(0.5 AS DOUBLE)) AS most FROM seg GROUP BY query_id) USING (query_id)"
+
+
+@query(f"WITH {_SEARCH}, {_acc('cum <= most', _REL)} {_top('acc')}")
+def search_anytime_relative(spark, sf_dir):
+    return _search(spark, sf_dir, relative=0.5)
+
+
+_U8 = "u AS (SELECT query_id, sum(m) AS best FROM (SELECT query_id, term, max(seg) AS m FROM seg GROUP BY ALL) GROUP BY query_id), uq AS (SELECT query_id, count(*) AS q FROM qt GROUP BY query_id)"
+_U8ACC = "acc AS (SELECT query_id, doc_id, CAST(sum(CASE WHEN best > 255 THEN floor(seg / CAST(best AS DOUBLE) * (255.0 - q) + 1.0) ELSE seg END) AS INTEGER) AS rsv FROM hit JOIN u USING (query_id) JOIN uq USING (query_id) GROUP BY ALL)"
+
+
+@query(f"WITH {_SEARCH}, {_U8}, {_U8ACC} {_top('acc')}")
+def search_u8(spark, sf_dir):
+    return _search(spark, sf_dir, mode="u8")
+
+
+@query(f"WITH {_SEARCH} SELECT query_id, max(cum) AS postings_processed FROM plan WHERE cum <= 500 GROUP BY query_id")
+def postings_processed(spark, sf_dir):
+    return search.processed(index(spark, sf_dir).impacts, workload(spark, sf_dir), absolute=500)
+
+
+_ORACLE = """num AS (SELECT hit.query_id, hit.doc_id, hit.seg, cum - n + row_number() OVER (PARTITION BY hit.query_id, hit.term, hit.seg ORDER BY hit.doc_id) AS p FROM hit JOIN plan USING (query_id, term, seg)),
+run AS (SELECT *, sum(seg) OVER (PARTITION BY query_id, doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS so_far FROM num),
+crossing AS (SELECT query_id, doc_id, min(p) AS crossed FROM run WHERE so_far >= 300 GROUP BY ALL),
+nth AS (SELECT query_id, crossed AS stop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY crossed) AS i FROM crossing) WHERE i = 5),
+acc AS (SELECT run.query_id, run.doc_id, CAST(sum(seg) AS INTEGER) AS rsv FROM run LEFT JOIN nth ON run.query_id = nth.query_id LEFT JOIN crossing c ON run.query_id = c.query_id AND run.doc_id = c.doc_id
+        WHERE stop IS NULL OR (crossed <= stop AND p <= stop) GROUP BY ALL)"""
+
+
+@query(f"WITH {_SEARCH}, {_ORACLE} {_top('acc', 5)}")
+def search_oracle(spark, sf_dir):
+    known = spark.createDataFrame([(q, 300) for q in PLACES], "query_id string, bound int")
+    return search.search_oracle(index(spark, sf_dir).impacts, workload(spark, sf_dir), known, 5)
+
+
+@query(f"WITH {_SEARCH}, {_ALL} SELECT query_id, rank, concat_ws(' ', query_id, 'Q0', doc_id, rank, rsv, 'impactspark(ID:' || doc_id || '->' || rsv || ')') AS line FROM ({_top('acc')})")
+def trec_run(spark, sf_dir):
+    return search.trec_run(_search(spark, sf_dir))
+
+
+@query(r"""WITH q(query) AS (VALUES ('7 apple Pie'), ('x:one two one'), ('alone')) SELECT regexp_extract(query, '^([^" \t:]*)[" \t:]', 1) AS query_id, term, CAST(count(*) AS INTEGER) AS qf FROM (
+SELECT query, unnest(list_filter(string_split_regex(CASE WHEN regexp_matches(query, '[" \t:]') THEN regexp_extract(query, '^[^" \t:]*[" \t:]+(.*)$', 1) ELSE query END, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS term FROM q) GROUP BY ALL""")
+def query_terms_raw(spark, sf_dir):
+    from impactspark.functions.text import query_id, query_text
+
+    raw = spark.createDataFrame([("7 apple Pie",), ("x:one two one",), ("alone",)], "query string")
+    return search.query_terms(raw.select(query_id(F.col("query")).alias("query_id"), query_text(F.col("query")).alias("query")), "raw")
+
+
+# -- Evaluation and statistics ------------------------------------------------------------------------------------
+
+_RUNS = f"""{_ALL}, ex AS ({_top('acc', 100)}), acc2 AS (SELECT query_id, doc_id, CAST(sum(seg) AS INTEGER) AS rsv FROM hit JOIN (SELECT * FROM plan WHERE cum <= 500) USING (query_id, term, seg) GROUP BY ALL), an AS ({_top('acc2', 100)}),
+acc3 AS (SELECT query_id, doc_id, CAST(sum(seg) AS INTEGER) AS rsv FROM hit JOIN (SELECT * FROM plan WHERE cum <= 2000) USING (query_id, term, seg) GROUP BY ALL), an2 AS ({_top('acc3', 100)}),
+runs AS (SELECT 'all' AS run_id, query_id, doc_id, rank FROM ex UNION ALL SELECT 'any500', query_id, doc_id, rank FROM an UNION ALL SELECT 'any2000', query_id, doc_id, rank FROM an2),
+qrels AS (SELECT query_id, doc_id, CAST(quality AS DOUBLE) AS score FROM (SELECT DISTINCT query_id FROM qt), labels WHERE (doc_id + CAST(substr(query_id, 2) AS INTEGER)) % 3 = 0),
+price AS (SELECT p_partkey - 1 AS doc_id, p_retailprice AS price FROM part),
+tot AS (SELECT query_id, CAST(sum(CASE WHEN score <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS relevant FROM qrels GROUP BY query_id),
+jud AS (SELECT r.run_id, r.query_id, r.doc_id, coalesce(q.score, 0) AS judged, coalesce(tot.relevant, 0) AS relevant, coalesce(price.price, 0) AS price,
+        row_number() OVER w AS pos, CASE WHEN coalesce(q.score, 0) <> 0 THEN 1 ELSE 0 END AS rel, sum(CASE WHEN coalesce(q.score, 0) <> 0 THEN 1 ELSE 0 END) OVER w AS nth, sum(coalesce(price.price, 0)) OVER w AS spent
+        FROM runs r LEFT JOIN qrels q ON r.query_id = q.query_id AND r.doc_id = q.doc_id LEFT JOIN tot ON r.query_id = tot.query_id LEFT JOIN price ON r.doc_id = price.doc_id
+        WINDOW w AS (PARTITION BY r.run_id, r.query_id ORDER BY r.rank, r.doc_id ROWS UNBOUNDED PRECEDING))"""
+
+
+def _prf(n: int) -> str:
+    p, r = f"sum(CASE WHEN pos <= {n} THEN judged ELSE 0 END) / {n}.0", f"CASE WHEN first(relevant) > 0 THEN sum(CASE WHEN pos <= {n} THEN rel ELSE 0 END) / CAST(least(first(relevant), {n}) AS DOUBLE) ELSE 0 END"
+    return f"{p} AS p_at_{n}, {r} AS r_at_{n}, CASE WHEN {p} + ({r}) > 0 THEN 2.0 * {p} * ({r}) / ({p} + ({r})) ELSE 0 END AS f1_at_{n}"
+
+
+_CUTS = (5, 10, 30)
+_PER = f"""per AS (SELECT run_id, query_id, count(*) AS returned, first(relevant) AS relevant, CAST(sum(rel) AS BIGINT) AS relevant_returned, sum(judged) AS graded_returned,
+sum(judged) / count(*) AS p, CASE WHEN first(relevant) > 0 THEN sum(rel) / CAST(first(relevant) AS DOUBLE) ELSE 0 END AS r,
+CASE WHEN sum(judged) > 0 THEN 2.0 * (sum(judged) / count(*)) * (sum(rel) / CAST(first(relevant) AS DOUBLE)) / (sum(judged) / count(*) + sum(rel) / CAST(first(relevant) AS DOUBLE)) ELSE 0 END AS f1,
+{', '.join(map(_prf, _CUTS))},
+CASE WHEN first(relevant) = 0 THEN 1 ELSE coalesce(sum(CASE WHEN rel = 1 THEN nth / CAST(pos AS DOUBLE) END), 0) / first(relevant) END AS ap,
+coalesce(1.0 / min(CASE WHEN rel = 1 THEN pos END), 0) AS rr,
+CASE WHEN sum(CASE WHEN nth <= 4 THEN rel ELSE 0 END) >= 4 THEN sum(CASE WHEN rel = 1 AND nth <= 4 THEN 1.0 / pos ELSE 0 END) / 4 ELSE 0 END AS rr4,
+CAST(coalesce(min(CASE WHEN rel = 1 THEN pos END) - 1, count(*)) AS BIGINT) AS esl,
+(1 - CAST(0.95 AS DOUBLE)) * coalesce(sum(CASE WHEN rel = 1 THEN pow(CAST(0.95 AS DOUBLE), pos - 1) END), 0) AS rbp FROM jud GROUP BY run_id, query_id)"""
+_MEASURES = ["p", "r", "f1", *(f"{m}_at_{n}" for n in _CUTS for m in ("p", "r", "f1")), "ap", "rr", "rr4", "rbp"]
+_ROUND = ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES)
+
+
+def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three runs of the workload, judgements from the labels (a third of the documents for each query), prices of the parts."""
+    terms, i = workload(spark, sf_dir), index(spark, sf_dir)
+    some = {"all": {}, "any500": {"absolute": 500}, "any2000": {"absolute": 2000}}
+    parts = [search.search(i.impacts, terms, 100, **b).select(F.lit(name).alias("run_id"), "query_id", "doc_id", "rank") for name, b in some.items()]
+    qids = spark.createDataFrame([(q,) for q in PLACES], "query_id string")
+    qrels = table(spark, sf_dir, "labels").crossJoin(F.broadcast(qids)).where("(doc_id + cast(substr(query_id, 2) as int)) % 3 = 0").select("query_id", "doc_id", F.col("quality").cast("double").alias("score"))  # four queries
+    prices = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("doc_id"), F.col("p_retailprice").alias("price"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), qrels, prices
+
+
+def _per_query(spark, sf_dir) -> DataFrame:
+    runs, qrels, prices = _runs(spark, sf_dir)
+    return evaluation.measures(evaluation.judged(runs, qrels, prices), _CUTS)
+
+
+def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PER} SELECT run_id, query_id, returned, relevant, relevant_returned, graded_returned, esl, {_ROUND} FROM per")
+def eval_per_query(spark, sf_dir):
+    return _rounded(_per_query(spark, sf_dir), _MEASURES)
+
+
+_AVG = ", ".join(f"round(sum({m}) / count(*), 6) AS {m}" for m in _MEASURES)
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PER} SELECT run_id, {_AVG}, round(exp(sum(CASE WHEN ap > 0 THEN ln(ap) ELSE 0 END) / count(*)), 6) AS gmap FROM per GROUP BY run_id")
+def eval_average(spark, sf_dir):
+    return _rounded(evaluation.averages(_per_query(spark, sf_dir), _MEASURES), [*_MEASURES, "gmap"])
+
+
+_BIN = lambda p: "(" + " + ".join(f"CASE WHEN high > low AND {p} > low * pow(high / low, CAST({i} / 5.0 AS DOUBLE)) THEN 1 ELSE 0 END" for i in range(1, 5)) + ")"
+_PRICE = f"""ideal AS (SELECT query_id, doc_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, doc_id) AS j, min(price) OVER (PARTITION BY query_id) AS low, max(price) OVER (PARTITION BY query_id) AS high FROM qrels JOIN price USING (doc_id) WHERE score <> 0),
+pq AS (SELECT query_id, first(low) AS low, first(high) AS high, sum(CASE WHEN j <= 4 THEN price END) AS cheap_k, count(*) AS n_ideal, sum((5.0 - {_BIN('price')}) / log2(j + 1.0)) AS ideal_gain, sum(low / price / log2(j + 1.0)) AS ideal_power FROM ideal GROUP BY query_id)
+SELECT run_id, query_id, round(coalesce(first(low) / min(CASE WHEN rel = 1 THEN spent END), 0), 6) AS bp, round(coalesce(first(cheap_k) / min(CASE WHEN rel = 1 AND nth = 4 THEN spent END), 0), 6) AS bp4,
+round(coalesce(sum(CASE WHEN rel = 1 AND pos <= n_ideal THEN ideal_price / price END), 0) / first(n_ideal), 6) AS sp, round(sum(rel) / first(n_ideal), 6) AS cheapest_p,
+round(coalesce(sum(CASE WHEN rel = 1 THEN (5.0 - {_BIN('price')}) / log2(pos + 1.0) END), 0) / first(ideal_gain), 6) AS pb_ndcg, round(coalesce(sum(CASE WHEN rel = 1 THEN low / price / log2(pos + 1.0) END), 0) / first(ideal_power), 6) AS bp_ndcg
+FROM (SELECT jud.*, pq.* EXCLUDE (query_id), ideal.price AS ideal_price FROM jud JOIN pq ON jud.query_id = pq.query_id LEFT JOIN ideal ON jud.query_id = ideal.query_id AND jud.nth = ideal.j) GROUP BY run_id, query_id"""
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PRICE}")
+def eval_price(spark, sf_dir):
+    runs, qrels, prices = _runs(spark, sf_dir)
+    found = evaluation.price_measures(evaluation.judged(runs, qrels, prices), qrels, prices)
+    return _rounded(found, ["bp", "bp4", "sp", "cheapest_p", "pb_ndcg", "bp_ndcg"])
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PER}, d AS (SELECT a.run_id AS run_a, b.run_id AS run_b, a.ap - b.ap AS d FROM per a JOIN per b USING (query_id) WHERE a.run_id < b.run_id) SELECT run_a, run_b, count(*) AS n, round(CASE WHEN count(*) > 1 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t FROM d GROUP BY ALL")
+def ttest_matrix(spark, sf_dir):
+    return statistics.t_matrix(_per_query(spark, sf_dir), "ap").withColumn("t", F.round("t", 6))
+
+
+@query()
+def ttest_probability(spark, sf_dir):
+    return statistics.t_test_matrix(_per_query(spark, sf_dir), "ap")
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PER}, l AS (UNPIVOT (SELECT query_id || run_id AS run_id, round(ap, 9) AS ap, round(rr, 9) AS rr, round(rbp, 9) AS rbp, round(p, 9) AS p FROM per) ON ap, rr, rbp, p INTO NAME measure VALUE value), f AS (SELECT run_id, measure, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2.0 AS place FROM l) SELECT a.measure AS measure_a, b.measure AS measure_b, round(corr(a.place, b.place), 6) AS spearman FROM f a JOIN f b USING (run_id) WHERE a.measure < b.measure GROUP BY ALL")
+def spearman_matrix(spark, sf_dir):
+    """Over (query, run) pairs, as three runs alone are too few."""
+    names = ["ap", "rr", "rbp", "p"]
+    per = _per_query(spark, sf_dir).withColumn("run_id", F.concat("query_id", "run_id")).select("run_id", *(F.round(n, 9).alias(n) for n in names))
+    return statistics.spearman_matrix(per, names).withColumn("spearman", F.round("spearman", 6))
+
+
+@query("SELECT o_orderpriority, round(corr(o_totalprice, o_custkey), 6) AS pearson FROM orders GROUP BY o_orderpriority")
+def pearson(spark, sf_dir):
+    return statistics.pearson(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", "o_orderpriority").withColumn("pearson", F.round("pearson", 6))
+
+
+@query("SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS place FROM part")
+def fractional_rank(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", statistics.fractional_rank("p_size", "p_brand").alias("place"))
+
+
+@query(f"WITH {_TOK}, {_POST} SELECT CAST(length(bin(gap)) AS INTEGER) AS bits, count(*) AS n FROM (SELECT doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), -1) AS gap FROM post) GROUP BY bits")
+def gap_bitwidth_hist(spark, sf_dir):
+    return statistics.gap_widths(index(spark, sf_dir).postings)
+
+
+@query("SELECT l_linenumber AS length, round(min(l_extendedprice), 4) AS low, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(max(l_extendedprice), 4) AS high FROM lineitem GROUP BY l_linenumber")
+def by_length(spark, sf_dir):
+    found = statistics.by_length(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("length"), F.col("l_extendedprice").alias("value")))
+    return found.select("length", *(F.round(c, 4).alias(c) for c in ("low", "mean", "median", "high")))
+
+
+# -- Codecs, bitsets, checksums -----------------------------------------------------------------------------------
+
+_LISTS = f"WITH {_TOK}, {_POST}, g AS (SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), -1) AS gap FROM post)"
+
+
+def _gaps(spark, sf_dir) -> DataFrame:
+    line = Window.partitionBy("term").orderBy("doc_id")
+    return index(spark, sf_dir).postings.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(line), F.lit(-1))).alias("gap"))
+
+
+@query(f"{_LISTS} SELECT term, doc_id, gap FROM g")
+def gap_encode(spark, sf_dir):
+    return _gaps(spark, sf_dir)
+
+
+@query(f"{_LISTS} SELECT term, doc_id FROM g")
+def gap_decode(spark, sf_dir):
+    line = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _gaps(spark, sf_dir).select("term", (F.sum("gap").over(line) - 1).alias("doc_id"))
+
+
+@query(f"{_LISTS} SELECT term, CAST(sum((length(bin(gap)) + 6) // 7) AS BIGINT) AS vbyte, CAST(sum(2 * length(bin(gap)) - 1) AS BIGINT) AS gamma, CAST(sum(length(bin(gap)) - 1 + 2 * length(bin(length(bin(gap)))) - 1) AS BIGINT) AS delta FROM g GROUP BY term")
+def code_sizes(spark, sf_dir):
+    g = F.col("gap")
+    return _gaps(spark, sf_dir).groupBy("term").agg(F.sum(codecs.vbyte_bytes(g)).alias("vbyte"), F.sum(codecs.gamma_bits(g)).alias("gamma"), F.sum(codecs.delta_bits(g)).alias("delta"))
+
+
+@query()
+def codec_roundtrip(spark, sf_dir):
+    """Bytes of every codec over the postings lists' gaps, decoded and compared."""
+    lists = _gaps(spark, sf_dir).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))), lambda x: x["gap"]).alias("gaps"))
+    return codecs.roundtrips(lists, "gaps")
+
+
+_SETS = "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.08)"
+
+
+def _sets(spark, sf_dir) -> DataFrame:
+    """(word, a, b): two bitsets over part keys, 64 keys a word."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_returnflag") == "R").alias("a"), (F.col("l_discount") > 0.08).alias("b"))
+    return bits.words(rows, "k", ["a", "b"])
+
+
+def _bitset(name: str, f, sql: str) -> None:
+    @query(f"{_SETS} {sql}", name)
+    def run(spark, sf_dir):
+        return bits.members(_sets(spark, sf_dir).select("word", f(F.col("a"), F.col("b")).alias("bits")), "k")
+
+
+_bitset("bitset_or", bits.union, "SELECT k FROM a UNION SELECT k FROM b")
+_bitset("bitset_and", bits.intersect, "SELECT k FROM a INTERSECT SELECT k FROM b")
+_bitset("bitset_xor", bits.differ, "(SELECT k FROM a EXCEPT SELECT k FROM b) UNION (SELECT k FROM b EXCEPT SELECT k FROM a)")
+_bitset("bitset_andnot", bits.without, "SELECT k FROM a EXCEPT SELECT k FROM b")
+
+
+@query(f"{_SETS} SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b")
+def bitset_popcount(spark, sf_dir):
+    return _sets(spark, sf_dir).agg(F.sum(F.bit_count("a")).alias("n_a"), F.sum(F.bit_count("b")).alias("n_b"))
+
+
+@query()
+def checksum(spark, sf_dir):
+    """Fletcher-16 and Pearson hashes of the part names."""
+    return table(spark, sf_dir, "part").select("p_partkey", checksums.fletcher16(F.col("p_name")).alias("fletcher16"), checksums.pearson16(F.col("p_name")).alias("pearson16"))
+
+
+# -- Runs from tables ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_brand AS query_id, CAST(p_partkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) + 1 AS score FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def ecommerce_run(spark, sf_dir):
+    """Results by price that training has not seen: an anti-join, then ranks."""
+    from impactspark.sources.tables import price_run
+
+    part, seen = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    rows = part.where("p_size <= 25").join(seen, "p_partkey", "left_anti")
+    return price_run(rows.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("price")))
