@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,41 +64,51 @@ def measures(rows: DataFrame, cuts: tuple[int, ...] = CUTS, first_k: int = FIRST
     return rows.groupBy("run_id", "query_id").agg(*out)
 
 
+BINS = 5
+
+
 def price_measures(rows: DataFrame, qrels: DataFrame, prices: DataFrame, k: int = FIRST_K, depth: int | None = None) -> DataFrame:
-    """One row for each run and query: bp, bp{k}, sp, cheapest precision, price-based and buying-power nDCG."""
-    depth = depth or 1_000_000
+    """One row for each run and query: bp, bp{k}, sp, cheapest_p, pb_ndcg and bp_ndcg of rows from judged().
+
+    All are 1 for a query without relevant documents. Selling power looks at as many results as there are relevant
+    documents. Cheapest precision counts results among the n cheapest relevant ones, price ties of the n-th included,
+    n being the depth or the results. Price-based nDCG has five price bins of exponentially growing width.
+    """
+    most = F.lit(depth if depth is not None else (1 << 31) - 1)
     ideal = qrels.where("score != 0").join(prices, "doc_id").select("query_id", "doc_id", F.col("price").cast("double").alias("price"))
-    cheap = Window.partitionBy("query_id").orderBy("price", "doc_id")
-    ranked = ideal.withColumn("j", F.row_number().over(cheap)).withColumn("low", F.min("price").over(Window.partitionBy("query_id"))).withColumn("high", F.max("price").over(Window.partitionBy("query_id")))
-    bin_of = lambda price: reduce(lambda a, b: a + b, [F.when((F.col("high") > F.col("low")) & (price > F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(i / 5.0))), 1).otherwise(0) for i in range(1, 5)], F.lit(0))
-    gain = lambda price: (F.lit(5.0) - bin_of(price))
-    ranked = ranked.withColumn("gain", gain(F.col("price"))).withColumn("power", F.when(F.col("price") > 0, F.col("low") / F.col("price")).otherwise(1.0))
+    cheap, all_of = Window.partitionBy("query_id").orderBy("price", "doc_id"), Window.partitionBy("query_id")
+    ranked = ideal.withColumn("j", F.row_number().over(cheap)).withColumn("low", F.min("price").over(all_of)).withColumn("high", F.max("price").over(all_of))
+
+    def gain(price: Column) -> Column:
+        edges = [F.col("low") + (F.col("high") - F.col("low")) * F.lit((1 - math.exp(i)) / (1 - math.exp(BINS))) for i in range(1, BINS)]
+        return F.lit(float(BINS)) - reduce(lambda x, y: x + y, [F.when(price >= e, 1).otherwise(0) for e in edges])
+
+    power = lambda price: F.when(price > 0, F.col("low") / price).otherwise(1.0)
+    ranked = ranked.withColumn("gain", gain(F.col("price"))).withColumn("power", power(F.col("price")))
+    top = F.col("j") <= most
     per_query = ranked.groupBy("query_id").agg(
-        F.min("price").alias("cheapest"),
         F.first("low").alias("low"),
         F.first("high").alias("high"),
         F.sum(F.when(F.col("j") <= k, F.col("price"))).alias("cheap_k"),
         F.count(F.lit(1)).alias("n_ideal"),
-        F.sum(F.when(F.col("j") <= depth, F.col("gain") / F.log2(F.col("j") + 1.0))).alias("ideal_gain"),
-        F.sum(F.when(F.col("j") <= depth, F.col("power") / F.log2(F.col("j") + 1.0))).alias("ideal_power"),
-        F.max(F.when(F.col("j") <= depth, F.col("price"))).alias("cut_price"),
+        F.sum(F.when(top, F.col("gain") / F.log2(F.col("j") + 1.0))).alias("ideal_gain"),
+        F.sum(F.when(top, F.col("power") / F.log2(F.col("j") + 1.0))).alias("ideal_power"),
     )
     at = ranked.select("query_id", F.col("j").alias("nth"), F.col("price").alias("ideal_price"))
-    full = rows.join(per_query, "query_id", "left").join(at, ["query_id", "nth"], "left")
-    pos, hit = F.col("pos"), (F.col("rel") == 1)
-    limit = F.least(F.first("n_ideal"), F.lit(depth))
+    counted = rows.withColumn("returned", F.count(F.lit(1)).over(Window.partitionBy("run_id", "query_id"))).join(per_query, "query_id", "left").withColumn("cut", F.least(most, "returned", "n_ideal"))
+    full = counted.join(at, ["query_id", "nth"], "left").join(at.select("query_id", F.col("nth").alias("cut"), F.col("ideal_price").alias("cut_price")), ["query_id", "cut"], "left")
+    pos, hit, price = F.col("pos"), (F.col("rel") == 1) & (F.col("pos") <= most), F.col("price")
     discount = F.log2(pos + 1.0)
-    first = F.min(F.when(hit, F.col("spent")))
-    reach = F.min(F.when(hit & (F.col("nth") == k), F.col("spent")))
-    inner = pos <= F.least(F.col("n_ideal"), F.lit(depth))
     none = F.first("n_ideal").isNull()
+    one = lambda value: F.when(none, 1.0).otherwise(F.coalesce(value, F.lit(0.0)))
+    slots = F.least(F.col("n_ideal"), most)
     return full.groupBy("run_id", "query_id").agg(
-        F.when(none, 1.0).otherwise(F.coalesce(F.first("cheapest") / first, F.lit(0.0))).alias("bp"),
-        F.when(none, 1.0).otherwise(F.coalesce(F.first("cheap_k") / reach, F.lit(0.0))).alias(f"bp{k}"),
-        F.when(none, 1.0).otherwise(_over(hit & inner, F.col("ideal_price") / F.col("price")) / limit).alias("sp"),
-        F.when(none, 1.0).otherwise(_over(hit & (pos <= depth) & (F.col("price") <= F.col("cut_price")), F.lit(1.0)) / limit).alias("cheapest_p"),
-        F.when(none, 1.0).otherwise(_over(hit & (pos <= depth), gain(F.col("price")) / discount) / F.first("ideal_gain")).alias("pb_ndcg"),
-        F.when(none, 1.0).otherwise(_over(hit & (pos <= depth), F.when(F.col("price") > 0, F.col("low") / F.col("price")).otherwise(1.0) / discount) / F.first("ideal_power")).alias("bp_ndcg"),
+        one(F.first("low") / F.min(F.when(hit, F.col("spent")))).alias("bp"),
+        one(F.first("cheap_k") / F.min(F.when(hit & (F.col("nth") == k), F.col("spent")))).alias(f"bp{k}"),
+        one(_over(hit & (pos <= slots), F.col("ideal_price") / price) / F.first(slots)).alias("sp"),
+        one(_over(hit & (price <= F.col("cut_price")), F.lit(1.0)) / (F.first("returned") if depth is None else F.lit(depth))).alias("cheapest_p"),
+        one(_over(hit, gain(price) / discount) / F.first("ideal_gain")).alias("pb_ndcg"),
+        one(_over(hit, power(price) / discount) / F.first("ideal_power")).alias("bp_ndcg"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -321,13 +322,15 @@ def eval_average(spark, sf_dir):
     return _rounded(evaluation.averages(_per_query(spark, sf_dir), _MEASURES), [*_MEASURES, "gmap"])
 
 
-_BIN = lambda p: "(" + " + ".join(f"CASE WHEN high > low AND {p} > low * pow(high / low, CAST({i} / 5.0 AS DOUBLE)) THEN 1 ELSE 0 END" for i in range(1, 5)) + ")"
+_GAIN = "(5.0 - (" + " + ".join(f"CASE WHEN price >= low + (high - low) * CAST({(1 - math.exp(i)) / (1 - math.exp(5))!r} AS DOUBLE) THEN 1 ELSE 0 END" for i in range(1, 5)) + "))"
 _PRICE = f"""ideal AS (SELECT query_id, doc_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, doc_id) AS j, min(price) OVER (PARTITION BY query_id) AS low, max(price) OVER (PARTITION BY query_id) AS high FROM qrels JOIN price USING (doc_id) WHERE score <> 0),
-pq AS (SELECT query_id, first(low) AS low, first(high) AS high, sum(CASE WHEN j <= 4 THEN price END) AS cheap_k, count(*) AS n_ideal, sum((5.0 - {_BIN('price')}) / log2(j + 1.0)) AS ideal_gain, sum(low / price / log2(j + 1.0)) AS ideal_power FROM ideal GROUP BY query_id)
+pq AS (SELECT query_id, first(low) AS low, first(high) AS high, sum(CASE WHEN j <= 4 THEN price END) AS cheap_k, count(*) AS n_ideal, sum({_GAIN} / log2(j + 1.0)) AS ideal_gain, sum(low / price / log2(j + 1.0)) AS ideal_power FROM ideal GROUP BY query_id),
+ret AS (SELECT run_id, query_id, count(*) AS returned FROM jud GROUP BY ALL)
 SELECT run_id, query_id, round(coalesce(first(low) / min(CASE WHEN rel = 1 THEN spent END), 0), 6) AS bp, round(coalesce(first(cheap_k) / min(CASE WHEN rel = 1 AND nth = 4 THEN spent END), 0), 6) AS bp4,
-round(coalesce(sum(CASE WHEN rel = 1 AND pos <= n_ideal THEN ideal_price / price END), 0) / first(n_ideal), 6) AS sp, round(sum(rel) / first(n_ideal), 6) AS cheapest_p,
-round(coalesce(sum(CASE WHEN rel = 1 THEN (5.0 - {_BIN('price')}) / log2(pos + 1.0) END), 0) / first(ideal_gain), 6) AS pb_ndcg, round(coalesce(sum(CASE WHEN rel = 1 THEN low / price / log2(pos + 1.0) END), 0) / first(ideal_power), 6) AS bp_ndcg
-FROM (SELECT jud.*, pq.* EXCLUDE (query_id), ideal.price AS ideal_price FROM jud JOIN pq ON jud.query_id = pq.query_id LEFT JOIN ideal ON jud.query_id = ideal.query_id AND jud.nth = ideal.j) GROUP BY run_id, query_id"""
+round(coalesce(sum(CASE WHEN rel = 1 AND pos <= n_ideal THEN ideal_price / price END), 0) / first(n_ideal), 6) AS sp, round(coalesce(sum(CASE WHEN rel = 1 AND price <= cut_price THEN 1.0 END), 0) / first(returned), 6) AS cheapest_p,
+round(coalesce(sum(CASE WHEN rel = 1 THEN {_GAIN} / log2(pos + 1.0) END), 0) / first(ideal_gain), 6) AS pb_ndcg, round(coalesce(sum(CASE WHEN rel = 1 THEN low / price / log2(pos + 1.0) END), 0) / first(ideal_power), 6) AS bp_ndcg
+FROM (SELECT jud.*, pq.* EXCLUDE (query_id), ret.returned, ideal.price AS ideal_price, c.price AS cut_price FROM jud JOIN pq ON jud.query_id = pq.query_id JOIN ret ON jud.query_id = ret.query_id AND jud.run_id = ret.run_id
+  LEFT JOIN ideal ON jud.query_id = ideal.query_id AND jud.nth = ideal.j LEFT JOIN ideal c ON jud.query_id = c.query_id AND c.j = least(ret.returned, pq.n_ideal)) GROUP BY run_id, query_id"""
 
 
 @query(f"WITH {_SEARCH}, {_RUNS}, {_PRICE}")
