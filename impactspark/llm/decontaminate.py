@@ -70,14 +70,14 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return written(both.select("doc", "pos", "term", "next", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("n")).alias("n_words")), "postings")
 
 
-def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The (doc, item, diag) that the rarest neighbours of some phrase name."""
+def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW, near: bool = False) -> DataFrame:
+    """The (doc, item, diag) that the rarest neighbours of some phrase name; for near matches, those that any do."""
     pairs = words.where("next is not null").select("term", "next").distinct()
     counts = written(postings.join(small(pairs), ["term", "next"], "left_semi").groupBy("term", "next").agg(F.count(F.lit(1)).alias("n")), "pair_counts")
     span = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, max(window - 2, 0))
     rated = words.join(small(counts), ["term", "next"], "left").withColumn("rate", F.when(F.col("next").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "ipos", "term", "next")))
     best = rated.withColumn("best", F.min("rate").over(span)).where((F.col("ipos") + window <= F.col("n_words")) | (F.col("ipos") == 0))
-    pair = best.where("best.n > 0").select("item", "best.ipos", "best.term", "best.next").distinct()
+    pair = rated.where("rate.n > 0").select("item", "ipos", "term", "next") if near else best.where("best.n > 0").select("item", "best.ipos", "best.term", "best.next").distinct()
     alone = words.where(F.col("n_words") == 1) if window > 1 else words
     pair, alone = small(written(pair, "anchors")), small(alone.select("item", "ipos", "term"))
     diag = (F.col("pos") - F.col("ipos")).alias("diag")
@@ -99,7 +99,7 @@ def matches(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> Data
 def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
     """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal that two of
     them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once."""
-    named = diagonals(postings, words, window)
+    named = diagonals(postings, words, window, near=True)
     wanted = named.join(small(words), "item").select("doc", "term", "item", "ipos", "n_words", "diag")
     lists = postings.select("doc", "pos", "term").join(small(named.select("doc").distinct()), "doc", "left_semi").distinct()
     near = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("pos", F.col("diag") + F.col("ipos") + F.col("shift"))

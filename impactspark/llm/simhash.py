@@ -126,7 +126,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """node and root, the least node of its component, for every node with a link; large and small stars in turn.
+    """node and root, the least node of its component, for every linked node but the roots; large and small stars in turn.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor costs one round at most.
     """

@@ -13,19 +13,21 @@ for each class, of texts of ``FIT_CHARS`` characters at most); scoring reads eve
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm._fit import labelled_sample, platt, sigmoid
+from impactspark.llm._fit import label_share, labelled_sample, platt, sigmoid
 from impactspark.llm._shared import Block, blocks, id_crc, table
 
 HIDDEN, WORD_BITS, CHAR_BITS = 8, 15, 14
 WINDOW, STRIDE = 32, 24
 FIT_ROWS, FIT_CHARS, EPOCHS, BATCH = 1500, 20_000, 10, 256
+#: Small samples are gone through more often, for so many steps in all, but so many times at most.
+LEAST_STEPS, MOST_EPOCHS = 120, 60
 THRESHOLD = 0.5
 _AT_ONCE = 2048
 
@@ -58,7 +60,6 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     empty: float = 0.0
-    seen: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def new(seed: int = 1, hidden: int = HIDDEN, dtype=np.float32) -> Network:
@@ -226,13 +227,15 @@ def highest(reader: Reader, logits: np.ndarray, without: float = -np.inf) -> np.
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Network:
-    """Fit on whole documents and their labels. Without both labels among texts with words, a constant score."""
+def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, epochs: int = EPOCHS, seed: int = 1) -> Network:
+    """Fit on whole documents and their labels, of which a share is 1 outside the sample. Without both labels among
+    texts with words, a constant score."""
     labels = np.asarray(labels, np.float32)
     net = Network.new(seed)
-    net.empty = float(labels.mean()) if len(labels) else 0.0
+    share = (float(labels.mean()) if len(labels) else 0.0) if share is None else share
+    net.empty = share
     column = pa.array(texts, pa.large_binary())
-    readers, at_doc, held = [], [], []
+    readers, at_doc = [], []
     for at, block in blocks(column):
         readers.append(Reader(block))
         at_doc.append(at)
@@ -244,17 +247,17 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     rng = np.random.default_rng(seed)
     bounds = [np.concatenate((np.searchsorted(x.doc, np.arange(len(x.counts))), [len(x.doc)])) for x in readers]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items() if k not in ("word", "char")}
-    squares = {k: np.full(len(net.p[k]), 1e-6, np.float32) for k in ("word", "char")}
+    squares = {k: np.full(len(net.p[k]), 1e-10, np.float32) for k in ("word", "char")}
     positive = np.flatnonzero(y == 1)
     negative = np.flatnonzero(y == 0)
-    step = 0
+    step, n = 0, max(len(positive), len(negative))
+    epochs = max(epochs, min(MOST_EPOCHS, LEAST_STEPS * BATCH // (2 * n)))
     for epoch in range(epochs):
         held = [x.logits(net) for x in readers] if epoch >= 2 else None
         chosen = np.empty(len(pool), np.int64)
         for i, (r, d) in enumerate(pool):
             a, b = bounds[r][d], bounds[r][d + 1]
             chosen[i] = a + int(np.argmax(held[r][a:b])) if held else rng.integers(a, b)
-        n = max(len(positive), len(negative))
         dealt = np.stack([rng.permutation(np.resize(rng.permutation(x), n)) for x in (positive, negative)], axis=1).ravel()
         for a in range(0, len(dealt), BATCH):
             batch = dealt[a : a + BATCH]
@@ -265,6 +268,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     top = np.concatenate([highest(x, x.logits(net)) for x in readers])
     known = np.isfinite(top)
     net.scale, net.shift = platt(top[known], labels[known])
+    odds = lambda p: np.log(p / (1 - p))  # noqa: E731  the sample has more of the rarer label than there is
+    net.shift += float(odds(min(max(share, 1e-3), 1 - 1e-3)) - odds(float(labels[known].mean())))
     return net
 
 
@@ -321,7 +326,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
     """Learn labels(doc_id, toxic) from the rows that aren't held out."""
     texts, y = labelled_sample(docs, labels, "toxic", rows, chars)
-    return train(texts, y)
+    return train(texts, y, label_share(labels, "toxic"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
