@@ -54,23 +54,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     """Up to ``rows`` texts of each class with their labels, none of them held out, in a fixed order.
 
     The rows are the first by a hash of their ids, of texts of ``chars`` characters at most. Several labels of one
-    id count as the highest; other labels than 0 and 1, and nulls, are no labels.
+    id count as the highest, several texts as the least; other labels than 0 and 1, and nulls, are no labels.
     """
     known = labels.where(F.col(label).isin(0, 1) & (id_crc(F.col("doc_id")) % FOLDS != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     picked = known.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(rows))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y").toArrow()
+    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").groupBy("doc_id", "y").agg(F.min("text").cast("binary").alias("text")).toArrow()
     found = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
     return [x[1] for x in found], np.array([x[2] for x in found], np.float32)
 
 
+def label_share(labels: DataFrame, label: str, held_out: int = 0) -> float:
+    """The share of label 1 among all rows that aren't held out; 0 without any."""
+    known = labels.where(F.col(label).isin(0, 1) & (id_crc(F.col("doc_id")) % FOLDS != held_out))
+    return float(known.agg(F.avg(label)).first()[0] or 0.0)
+
+
 def unlabelled_sample(docs: DataFrame, rows: int, chars: int, seed: int = 13) -> list[bytes]:
     """Up to ``rows`` texts, the first by a hash of id and text, in a fixed order."""
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    got = slim.select("doc_id", F.col("text").cast("binary").alias("text"), order.alias("o")).orderBy("o", "doc_id", "text").limit(rows).toArrow()
-    return got["text"].to_pylist()
+    key = F.xxhash64("doc_id", "text", F.lit(seed)).alias("key")
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars).select(key, "text")
+    picked = slim.select("key").orderBy("key").limit(rows).distinct()  # ids alone are sorted, so no task reads many texts
+    got = slim.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("text").cast("binary").alias("text")).toArrow()
+    return [t for _, t in sorted(zip(got["key"].to_pylist(), got["text"].to_pylist(), strict=True))]
 
 
 #: Tables of the linear model: words, word pairs, word shapes, and byte n-grams of three and four.
