@@ -456,3 +456,48 @@ def ecommerce_run(spark, sf_dir):
     part, seen = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
     rows = part.where("p_size <= 25").join(seen, "p_partkey", "left_anti")
     return price_run(rows.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("price")))
+
+
+# -- Smaller operators --------------------------------------------------------------------------------------------
+
+
+@query(rf"WITH {_TOK} SELECT count(DISTINCT doc_id) AS documents, count(*) AS alpha_tokens FROM tok WHERE regexp_matches(term, '^\p{{L}}')")
+def alpha_token_count(spark, sf_dir):
+    """The number of documents with words, and of their words of letters."""
+    rows = build.token_rows(_docs(spark, sf_dir)).where(F.regexp_like("term", F.lit("^\\p{L}")))
+    return rows.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("alpha_tokens"))
+
+
+_CLASS_SQL = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{n}" for n, p in (("punct", r"\p{P}"), ("digit", r"\p{N}"), ("symbol", r"\p{S}"), ("vowel", "[aeiouAEIOU]"), ("dna", "[acgtACGT]")))
+
+
+@query(f"SELECT doc_id, {_CLASS_SQL} FROM documents")
+def character_classes(spark, sf_dir):
+    """How many characters of some classes each document has."""
+    from impactspark.functions.text import CLASSES
+
+    some = {"punct": "punct", "digit": "digit", "symbol": "symbol", "vowel": "ascii_vowel", "dna": "dna_base"}
+    return _docs(spark, sf_dir).select("doc_id", *(F.regexp_count("text", F.lit(CLASSES[c])).cast("long").alias(f"n_{n}") for n, c in some.items()))
+
+
+@query("SELECT bits_of AS k, floor_log2, ceiling_log2, first_set FROM (SELECT l_orderkey AS bits_of, CAST(length(bin(l_orderkey)) - 1 AS INTEGER) AS floor_log2, CAST(CASE WHEN l_orderkey <= 1 THEN 0 ELSE length(bin(l_orderkey - 1)) END AS INTEGER) AS ceiling_log2, CAST(bit_count((l_orderkey & -l_orderkey) - 1) AS INTEGER) AS first_set FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey > 0))")
+def integer_maths(spark, sf_dir):
+    k = F.col("l_orderkey")
+    keys = table(spark, sf_dir, "lineitem").where("l_orderkey > 0").select("l_orderkey").distinct()
+    return keys.select(k.alias("k"), bits.floor_log2(k).cast("int").alias("floor_log2"), bits.ceiling_log2(k).cast("int").alias("ceiling_log2"), bits.first_set(k).cast("int").alias("first_set"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, q AS query_id, CASE WHEN v = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM (SELECT p_partkey, unnest(['size', 'brand']) AS q, unnest([p_size % 3, CAST(right(p_brand, 1) AS INTEGER) % 2]) AS v FROM part)")
+def wide_assessments(spark, sf_dir):
+    """A wide table of assessments to rows: 1 is relevant, other values are not."""
+    from impactspark.sources.tables import assessments
+
+    wide = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), (F.col("p_size") % 3).alias("size"), (F.substring("p_brand", -1, 1).cast("int") % 2).alias("brand"))
+    return assessments(wide).select("doc_id", "query_id", "score")
+
+
+@query(f"WITH {_TOK}, {_POST}, two AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+|\\p{{N}}+')) AS term FROM benchmark), post2 AS (SELECT term, doc_id, count(*) AS tf FROM two GROUP BY ALL) SELECT term, doc_id, CAST(least(sum(tf), 1024) AS INTEGER) AS tf FROM (SELECT term, doc_id, tf FROM post UNION ALL SELECT term, doc_id, tf FROM post2) GROUP BY term, doc_id")
+def union_postings(spark, sf_dir):
+    """Bulk addition of a second collection's postings under the same ids."""
+    more = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return build.union_postings(index(spark, sf_dir).postings, build.postings(build.token_rows(more)))
