@@ -80,7 +80,7 @@ def price_run(rows: DataFrame) -> DataFrame:
     """(query_id, doc_id, rank, score) of rows(query_id, doc_id, price): by price, then document."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("price", "doc_id"))
     score = F.count(F.lit(1)).over(Window.partitionBy("query_id")) - rank + 1
-    return rows.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), rank.alias("rank"), score.alias("score"))
+    return rows.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), rank.cast("long").alias("rank"), score.alias("score"))
 
 
 def matrix(rows: DataFrame, key: str = "doc_id") -> DataFrame:
