@@ -61,7 +61,7 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 
 def bm25(tf: Column, df: Column, length: Column, documents: Column, mean: Column, k1: float = K1, b: float = B, compat: bool = False) -> Column:
-    """ATIRE's BM25; compat keeps the length correction in single precision."""
+    """BM25 with idf ln(N / df); compat keeps the length correction in single precision."""
     correction = F.lit(k1) * ((F.lit(1.0) - F.lit(b)) + F.lit(b) * length / mean)
     correction = correction.cast("float").cast("double") if compat else correction
     return F.log(documents / df) * (tf * F.lit(k1 + 1.0) / (tf + correction))

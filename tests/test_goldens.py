@@ -1,4 +1,4 @@
-"""Values that the reference's behaviour fixes: tokenizer, stemmer, metrics, gaps, checksums."""
+"""Fixed expected values: tokenizer, stemmer, metrics, gaps, checksums."""
 
 import numpy as np
 import pytest
@@ -163,7 +163,7 @@ def test_statistics(spark):
 
 
 def test_bm25_golden(spark):
-    """Five documents, two with the term; 1.635 with the mean over four, as the compared engine drops its first slot."""
+    """Five documents, two with the term; 1.635 with the mean over four, the published expectation."""
     row = spark.range(1).select(index.bm25(F.lit(12), F.lit(2), F.lit(40.0), F.lit(5), F.lit(250 / 4)).alias("s")).first()
     assert row.s == pytest.approx(1.635, abs=2e-3)
 
