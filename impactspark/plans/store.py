@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from impactspark.operators.index import Index, build
+from impactspark.operators.index import Index, doc_lengths, postings, quantized, scored, token_rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(docs: DataFrame, path: str) -> None:
+    """The tables of Index.write, each made from those stored before it, so that nothing is counted or scored twice."""
+    spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    posts, lengths = kept(postings(token_rows(docs)), "postings"), kept(doc_lengths(docs), "doc_lengths")
+    impacts = quantized(kept(scored(posts, lengths), "scores"))
+    impacts.sortWithinPartitions("term", "impact").write.mode("overwrite").parquet(f"{path}/impacts")
+
+
 _built: dict[tuple[str, str], str] = {}
 
 
@@ -31,6 +44,6 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _built:
         path = f"{shared_dir(spark)}/{key[0]}/index-{uuid.uuid4().hex}"
-        build(table(spark, sf_dir, "documents").select("doc_id", "text")).write(path)
+        store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
         _built[key] = path
     return Index.read(spark, _built[key])
