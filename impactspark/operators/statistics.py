@@ -80,13 +80,18 @@ def fractional_rank(value: str, *within: str) -> Column:
     return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's coefficient; null where either side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.corr(x, y).alias("pearson"))
+    return df.groupBy(*by).agg(correlation(x, y).alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     ranked = df.withColumn("__x", fractional_rank(x, *by)).withColumn("__y", fractional_rank(y, *by))
-    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
+    return ranked.groupBy(*by).agg(correlation("__x", "__y").alias("spearman"))
 
 
 def spearman_matrix(per_run: DataFrame, measures: list[str]) -> DataFrame:
@@ -94,7 +99,7 @@ def spearman_matrix(per_run: DataFrame, measures: list[str]) -> DataFrame:
     long = per_run.unpivot("run_id", measures, "measure", "value").withColumn("place", fractional_rank("value", "measure"))
     a = long.select("run_id", F.col("measure").alias("measure_a"), F.col("place").alias("x"))
     b = long.select("run_id", F.col("measure").alias("measure_b"), F.col("place").alias("y"))
-    return a.join(b, "run_id").where("measure_a < measure_b").groupBy("measure_a", "measure_b").agg(F.corr("x", "y").alias("spearman"))
+    return a.join(b, "run_id").where("measure_a < measure_b").groupBy("measure_a", "measure_b").agg(correlation("x", "y").alias("spearman"))
 
 
 def gap_widths(postings: DataFrame) -> DataFrame:
