@@ -8,6 +8,10 @@ the posting's following term. A posting less the terms' offset in the item names
 position of the item's first word). The lists of all other terms, adjusted by their own offsets, are intersected
 with those diagonals; runs of consecutive item words on a diagonal that are at least as long as a phrase are its
 occurrences. A phrase with two neighbours that no document has is never looked up.
+
+Near matches come from the same postings: most of a phrase's words met close to a diagonal that any two neighbours
+name. A phrase that may lack m words has one of its m + 1 rarest words met, so only diagonals close to such a word
+are counted; that leaves out no near match.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql.window import Window
 from impactspark.llm._shared import table, written
 
 WINDOW = 10
+#: Document positions that meet the diagonals they are near to by one key.
+SPAN = 64
 #: A table is broadcast only after a count and only at this many rows of short words or fewer.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,7 +77,7 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW, near: bool = False) -> DataFrame:
-    """The (doc, item, diag) that the rarest neighbours of some phrase name; for near matches, those that any do."""
+    """The (doc, item, diag) that the rarest neighbours of some phrase name; for near matches, those that any do, repeated."""
     pairs = words.where("next is not null").select("term", "next").distinct()
     counts = written(postings.join(small(pairs), ["term", "next"], "left_semi").groupBy("term", "next").agg(F.count(F.lit(1)).alias("n")), "pair_counts")
     span = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, max(window - 2, 0))
@@ -82,7 +88,7 @@ def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW, near:
     pair, alone = small(written(pair, "anchors")), small(alone.select("item", "ipos", "term"))
     diag = (F.col("pos") - F.col("ipos")).alias("diag")
     named = postings.join(pair, ["term", "next"]).select("doc", "item", diag).unionByName(postings.join(alone, "term").select("doc", "item", diag))
-    return written(named.distinct(), "diagonals")
+    return named if near else written(named.distinct(), "diagonals")
 
 
 def matches(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -96,14 +102,33 @@ def matches(postings: DataFrame, words: DataFrame, window: int = WINDOW) -> Data
     return runs.where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), F.col("n_words"))).select("doc", "item", (F.col("diag") + F.col("a")).alias("begin"), (F.col("diag") + F.col("b") + 1).alias("until"))
 
 
+def rarest(postings: DataFrame, words: DataFrame, window: int, share: float) -> DataFrame:
+    """The (item, ipos, term) of each phrase's rarest words, one more than a near match may lack."""
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    size = F.least(F.lit(window), F.col("n_words"))
+    rated = words.join(small(written(counts, "term_counts")), "term", "left").select("item", "ipos", "term", F.coalesce("cf", F.lit(0)).alias("cf"), "n_words", size.alias("size"))
+    begins = F.sequence(F.greatest(F.lit(0), F.col("ipos") - F.col("size") + 1), F.least(F.col("ipos"), F.col("n_words") - F.col("size")))
+    place = F.row_number().over(Window.partitionBy("item", "begin").orderBy("cf", "ipos"))
+    ranked = rated.withColumn("begin", F.explode(begins)).withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(share) * F.col("size")) + 1).select("item", "ipos", "term").distinct()
+
+
 def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
     """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal that two of
     them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once."""
-    named = diagonals(postings, words, window, near=True)
-    wanted = named.join(small(words), "item").select("doc", "term", "item", "ipos", "n_words", "diag")
-    lists = postings.select("doc", "pos", "term").join(small(named.select("doc").distinct()), "doc", "left_semi").distinct()
-    near = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("pos", F.col("diag") + F.col("ipos") + F.col("shift"))
-    met = lists.join(near, ["doc", "pos", "term"]).select("doc", "item", "diag", "ipos", "n_words").distinct()
+    cell = lambda at: F.floor(at / (2 * slack + 1))
+    key = lambda at: F.xxhash64("doc", "item", cell(at))
+    # Keys that meet by chance, or in one cell but further apart, only have a diagonal counted that comes to nothing.
+    at = F.col("pos") - F.col("ipos")
+    anchors = small(written(rarest(postings, words, window, share), "rarest"))
+    close = postings.join(anchors, "term").select(F.explode(F.array_distinct(F.array(key(at - slack), key(at + slack)))).alias("key"))
+    kept = diagonals(postings, words, window, near=True).withColumn("key", key(F.col("diag"))).join(close, "key", "left_semi").select("doc", "item", "diag").distinct()
+    lengths = small(words.select("item", "n_words").distinct())
+    ends = kept.join(lengths, "item").withColumn("begin", F.greatest(F.lit(0), F.col("diag") - slack)).withColumn("until", F.col("diag") + F.col("n_words") + slack)
+    wanted = small(written(ends.withColumn("span", F.explode(F.sequence(F.floor(F.col("begin") / SPAN), F.floor(F.col("until") / SPAN)))).drop("n_words"), "near_diagonals"))
+    lists = postings.where("term > 0").select("doc", "pos", "term", F.floor(F.col("pos") / SPAN).alias("span"))
+    around = lists.join(wanted, ["doc", "span"]).where((F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("until"))).select("doc", "pos", "term", "item", "diag")
+    met = around.join(small(words), ["item", "term"]).where(F.abs(F.col("pos") - F.col("diag") - F.col("ipos")) <= slack).select("doc", "item", "diag", "ipos", "n_words").distinct()
     some = Window.partitionBy("doc", "item", "diag").orderBy("ipos").rangeBetween(0, window - 1)
     counted = met.withColumn("n", F.count(F.lit(1)).over(some)).groupBy("doc", "item", "diag").agg(F.max("n").alias("n_near"), F.first("n_words").alias("n_words"))
     return counted.where(F.col("n_near") >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_words")))).select("doc", "item", F.col("diag").alias("around"), "n_near")
@@ -118,8 +143,9 @@ def _listed(items: DataFrame) -> DataFrame:
     return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").withColumn("item", F.xxhash64("item_id", F.coalesce("text", F.lit("")))).dropDuplicates(["item"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For every row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, item_ids, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
+    """For every row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, item_ids, contaminated; with
+    ``near`` also n_near_items, near_item_ids and n_near, the most words met of a phrase. Exact items are among the near.
 
     A null text has no words. Repeated rows each get a row. Items with a null id are named by the empty text; items
     of one id and other texts are one item.
@@ -135,8 +161,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     hits = found.select("doc", "begin", "until").distinct().withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("n_hit"))
     named = found.select("doc", "item").distinct().join(small(listed.select("item", "item_id")), "item").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     per_doc = written(hits.join(named, "doc"), "contaminated")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return postings.where("term = 0").select("doc_id", "doc", "n_words").join(small(per_doc), "doc", "left").select(
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("item_ids", none)
+    exact = postings.where("term = 0").select("doc_id", "doc", "n_words").join(small(per_doc), "doc", "left").select(
+        "doc",
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -145,21 +173,34 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         ids.alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+    if not near:
+        return exact.drop("doc")
+    close = proximity(postings, words, window).groupBy("doc", "item").agg(F.max("n_near").alias("n_near")).join(small(listed.select("item", "item_id")), "item")
+    by_doc = written(close.groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("near_item_ids"), F.max("n_near").alias("n_near")), "near")
+    near_ids = F.coalesce("near_item_ids", none)
+    return exact.join(small(by_doc), "doc", "left").withColumns({"n_near_items": F.size(near_ids).cast("long"), "near_item_ids": near_ids, "n_near": F.coalesce("n_near", F.lit(0)).cast("long")}).drop("doc")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no phrase of an item occurs, all columns as they are."""
+    """The rows of docs in which no phrase of an item occurs, whole or nearly; all columns as they are."""
     terms, words = item_words(_listed(items).select("item", "text"))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit("")))
-    hit = written(matches(index(_keyed(docs), terms), words, window).select(F.col("doc").alias("__doc")).distinct(), "contaminated")
+    postings = index(_keyed(docs), terms)
+    found = matches(postings, words, window).select("doc").unionByName(proximity(postings, words, window).select("doc"))
+    hit = written(found.select(F.col("doc").alias("__doc")).distinct(), "contaminated")
     return docs.join(small(hit), key == F.col("__doc"), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
     return found.drop("item_ids")
 
 
+def op9_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_decontaminate, which its SQL fixes, and those of the near matches."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),

@@ -168,6 +168,47 @@ def test_proximity(spark):
     assert {r.doc for r in decontaminate.proximity(postings, words).collect()} == {1} and decontaminate.matches(postings, words).count() == 0
 
 
+def _near(docs, items, window=10, slack=5, share=0.8):
+    """{(doc_id, item_id): words met} by looking at every diagonal that two neighbours name, or a lone word."""
+    cut = lambda t: [w.lower() for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t) if w]
+    out = {}
+    for d, text in docs:
+        ws = cut(text)
+        for i, t in items:
+            iw = cut(t)
+            n = min(window, len(iw))
+            named = {p - k for p in range(len(ws)) for k in range(len(iw)) if (ws[p : p + 2] == iw[k : k + 2] if k + 1 < len(iw) else False) or (ws[p] == iw[k] and (len(iw) == 1 or window == 1))}
+            for at in named:
+                met = [w in ws[max(0, at + k - slack) : max(0, at + k + slack + 1)] for k, w in enumerate(iw)]
+                most = max(sum(met[a : a + n]) for a in range(len(iw) - n + 1))
+                if most >= math.ceil(share * n):
+                    out[d, str(i)] = max(out.get((d, str(i)), 0), most)
+    return out
+
+
+def test_near_matches_reach_the_query_and_the_pipeline(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    quoted = text(30).split()
+    edits = [quoted[:k] + new + quoted[k + 1 :] for k in (4, 9, 12) for new in ([], ["other"], [quoted[k], "more"])]
+    changed = " ".join("other" if k % 8 == 4 else w for k, w in enumerate(quoted))
+    items = [(1, " ".join(quoted)), (2, text(12)), (3, text(5)), (4, "wa wb"), (5, "lone")]
+    docs = [(k, "x y " * k + " ".join(e[:18])) for k, e in enumerate(edits)] + [(50, changed), (51, "nothing at all"), (52, "a lone word")] + [(60 + k, text(int(rng.integers(1, 60)))) for k in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for window in (10, 3, 1):
+        got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window).collect()
+        want = _near(docs, items, window)
+        assert {(r.doc_id, i) for r in got for i in r.near_item_ids} == set(want)
+        assert {r.doc_id: r.n_near for r in got if r.n_near} == {d: max(n for (e, _), n in want.items() if e == d) for d, _ in want}
+        assert all(set(r.item_ids) <= set(r.near_item_ids) and r.n_near_items == len(r.near_item_ids) for r in got)
+    found = {r.doc_id: r for r in QUERIES["op9_decontaminate_near"](spark, str(tmp_path)).collect()}
+    assert found[50].n_hit == 0 and found[50].near_item_ids == ["1"]
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert 51 in kept and not kept & {50, 52} and kept == {d for d, _ in docs} - {d for d, _ in _near(docs, items)}
+
+
 # -- 10: chat -----------------------------------------------------------------------------------------------------
 
 
