@@ -3,7 +3,9 @@
 A word's input is the sum of a hashed word embedding and the mean of its hashed character n-gram embeddings (three
 and four bytes, with word marks), so unseen forms of a stem are read by their characters. Two gated recurrent chains
 read each window of words, one in either direction; attention pools their states into one value. A document's score
-is its highest window, calibrated to a probability. All overlapping windows of the whole text are scored.
+is its highest window, calibrated to a probability. Windows of ``WINDOW`` words begin at every ``STRIDE``-th word of the
+whole text, and the last ends with it: a passage of up to WINDOW - STRIDE + 1 words (21) is whole in one of them
+wherever it stands; a longer one may be split.
 
 Labels are of documents, so training is by multiple instances: each document is represented by its highest window
 under the current weights (at first by a random one). The fit reads a bounded sample of labelled rows (``FIT_ROWS``
@@ -24,7 +26,7 @@ from impactspark.llm._fit import label_share, labelled_sample, platt, sigmoid
 from impactspark.llm._shared import Block, blocks, id_crc, table
 
 HIDDEN, WORD_BITS, CHAR_BITS = 8, 15, 14
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 12
 FIT_ROWS, FIT_CHARS, EPOCHS, BATCH = 1500, 20_000, 10, 256
 #: Small samples are gone through more often, for so many steps in all, but so many times at most.
 LEAST_STEPS, MOST_EPOCHS = 120, 60

@@ -389,6 +389,15 @@ def _made(rng, n, mark):
     return [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"], 60).tolist() + mark(i)) for i in range(n)]
 
 
+def test_long_passages_are_whole_in_a_window_at_every_offset():
+    long = toxicity.WINDOW - toxicity.STRIDE + 1
+    assert long >= 21
+    for n in (21, 32, 33, 50, 100, 101, 107):
+        _, begin = toxicity.windows(np.array([n]))
+        for at in range(n - 21 + 1):
+            assert any(b <= at and at + 21 <= b + toxicity.WINDOW for b in begin)
+
+
 def test_toxicity_learns():
     rng = np.random.default_rng(0)
     texts = [t.encode() for t in _made(rng, 120, lambda i: [f"loath{rng.integers(99)}ing"] if i % 2 else [])]
