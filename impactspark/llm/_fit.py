@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactspark.llm._shared import Block, blocks, id_crc, mix
+from impactspark.llm._shared import Block, blocks, digests, id_crc, mix, numbered, ranges
 
 FOLDS = 5
 
@@ -71,16 +71,28 @@ def label_share(labels: DataFrame, label: str, held_out: int = 0) -> float:
     return float(known.agg(F.avg(label)).first()[0] or 0.0)
 
 
-def unlabelled_sample(docs: DataFrame, rows: int, chars: int, seed: int = 13) -> list[bytes]:
-    """Up to ``rows`` texts, the first by a hash of id and text, in a fixed order."""
-    key = F.xxhash64("doc_id", "text", F.lit(seed)).alias("key")
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars).select(key, "text")
-    picked = slim.select("key").orderBy("key").limit(rows).distinct()  # ids alone are sorted, so no task reads many texts
-    got = slim.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("text").cast("binary").alias("text")).toArrow()
-    return [t for _, t in sorted(zip(got["key"].to_pylist(), got["text"].to_pylist(), strict=True))]
+def sample_key(seed: int = 13) -> Column:
+    """Orders the rows of unlabelled_sample; its lowest bit deals all rows into halves."""
+    return F.xxhash64("doc_id", "text", F.lit(seed))
 
 
-#: Tables of the linear model: words, word pairs, word shapes, and byte n-grams of three and four.
+def unlabelled_sample(docs: DataFrame, rows: int, chars: int) -> tuple[np.ndarray, list[bytes]]:
+    """Keys and texts of up to ``rows`` rows, the first by sample_key(), while all their texts together have ``chars``
+    characters at most; single texts of an eighth of that and more are passed over. Null texts are empty."""
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select(sample_key().alias("key"), F.length(text).alias("n")).where(F.col("n") < chars // 8)
+    first = slim.orderBy("key").limit(rows).collect()  # keys alone are sorted, so no task reads many texts
+    upto = int(np.searchsorted(np.cumsum([r.n for r in first]), chars, side="right")) if first else 0
+    keys = sorted({r.key for r in first[:upto]})
+    if not keys:
+        return np.zeros(0, np.int64), []
+    picked = docs.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+    got = docs.select(sample_key().alias("key"), text.alias("text")).join(F.broadcast(picked), "key").groupBy("key").agg(F.min("text").cast("binary").alias("text")).toArrow()
+    found = sorted(zip(got["key"].to_pylist(), got["text"].to_pylist(), strict=True))
+    return np.array([k for k, _ in found], np.int64), [t for _, t in found]
+
+
+#: Tables of the linear model: words, word pairs, word shapes, and character n-grams of three and four.
 GROUPS = ("one", "two", "shape", "three", "four")
 BITS = {"one": 18, "two": 18, "shape": 12, "three": 16, "four": 18}
 _CLASS = np.zeros(256, np.uint8)
@@ -98,32 +110,48 @@ class Features:
     n_words: np.ndarray
 
 
+def characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of a block, its bytes in one word, and the documents' offsets into them."""
+    data = block.data
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), block.offsets
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(data)))
+    padded = np.concatenate((data, np.zeros(3, np.uint8)))
+    out = data[at].astype(np.uint32)
+    for i in (1, 2, 3):
+        more = np.flatnonzero(size > i)
+        out[more] |= padded[at[more] + i].astype(np.uint32) << np.uint32(8 * i)
+    return out, np.searchsorted(at, block.offsets)
+
+
 def features(block: Block) -> Features:
-    """Hashed word unigrams and pairs (A-Z folded), word shapes, and byte n-grams as they stand."""
+    """Hashed word unigrams and pairs (A-Z folded), word shapes, and character n-grams as they stand."""
     start, end, doc = block.words()
     n = len(block)
     counts = np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, np.int64)
     at = np.concatenate(([0], np.cumsum(counts)))
-    h = Block.hashes(block.folded(), start, end)
+    number, values = numbered(ranges(block.folded(), start, end))
+    h = digests(values)[:, 0][number]
     bucket = lambda x, g: (x >> np.uint64(64 - BITS[g])).astype(np.int32)
     pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     same = np.zeros(len(h), np.uint64)
-    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    same[1:] = (number[1:] == number[:-1]) & (doc[1:] == doc[:-1])
     size = np.minimum(end - start, 15).astype(np.uint64)
     cut = block.data
     shape = same << np.uint64(10) | size << np.uint64(6) | _CLASS[cut[start]].astype(np.uint64) << np.uint64(3) | _CLASS[cut[end - 1]].astype(np.uint64) if len(h) else h
-    wide = cut.astype(np.uint32)
-    three = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16) if len(wide) > 2 else wide[:0]
-    four = three[:-1] | wide[3:] << np.uint32(24) if len(wide) > 3 else wide[:0]
-    bytes_at = block.offsets
-    upto = lambda less, top: (np.minimum(bytes_at[:-1], top), np.clip(np.maximum(bytes_at[1:] - less, bytes_at[:-1]), 0, top))
+    wide, chars_at = characters(block)
+    spread = wide * np.uint32(2654435761)
+    three = (spread[:-2] ^ (spread[1:-1] << np.uint32(11) | spread[1:-1] >> np.uint32(21))) * np.uint32(2246822519) + spread[2:] if len(wide) > 2 else wide[:0]
+    four = (three[:-1] ^ (three[:-1] >> np.uint32(15))) * np.uint32(3266489917) + spread[3:] if len(wide) > 3 else wide[:0]
+    upto = lambda less, top: (np.minimum(chars_at[:-1], top), np.clip(np.maximum(chars_at[1:] - less, chars_at[:-1]), 0, top))
     return Features(
         {
             "one": bucket(h, "one"),
             "two": bucket(pair, "two") if len(h) > 1 else np.zeros(0, np.int32),
             "shape": shape.astype(np.int32),
-            "three": ((three * np.uint32(2654435761)) >> np.uint32(32 - BITS["three"])).astype(np.int32),
-            "four": ((four * np.uint32(2246822519)) >> np.uint32(32 - BITS["four"])).astype(np.int32),
+            "three": (((three ^ three >> np.uint32(15)) * np.uint32(668265263)) >> np.uint32(32 - BITS["three"])).astype(np.int32),
+            "four": (((four ^ four >> np.uint32(15)) * np.uint32(668265263)) >> np.uint32(32 - BITS["four"])).astype(np.int32),
         },
         {
             "one": (at[:-1], at[1:]),

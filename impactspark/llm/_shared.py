@@ -4,26 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary folder."""
+    """The folder named in spark.checkpoint.dir; where that is unset on one machine (tests), a temporary folder."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="impactspark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which goes when the driver ends."""
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        _marked.add(root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,39 +72,31 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of text that one numpy block holds at most, beyond its first document.
-BLOCK = 1 << 21
-
-SEPARATOR = np.zeros(256, bool)
-SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INV = pow(_B, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * np.uint64(pow(base, done, 1 << 64))
-        done += k
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of those taken (case aside)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
     return out
 
 
-_pow = {}
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of id and text, as hex; nulls are told from empty texts. Repeated rows alone share a key."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.md5(F.concat(told(doc_id), F.lit("\u0000"), told(text)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _pow.get("up")
-    if have is None or len(have) < n:
-        size = max(n, BLOCK + (BLOCK >> 2))
-        _pow["up"], _pow["down"] = _powers(_B, size), _powers(_B_INV, size)
-    return _pow["up"], _pow["down"]
+#: Bytes of text that one numpy block holds at most, beyond its first document.
+BLOCK = 1 << 20
 
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix."""
@@ -131,15 +137,25 @@ class Block:
         doc = np.searchsorted(self.offsets, start, side="right") - 1
         return start, end, doc
 
-    @staticmethod
-    def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range, by prefix sums of a polynomial."""
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges, which go up and don't overlap, as a binary array."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    offsets = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each value, equal only for equal values, and the distinct values in order of appearance."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def digests(values: pa.Array) -> np.ndarray:
+    """128-bit hashes of byte strings as rows of two 64-bit numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +181,13 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, Block]]:
         at = to
 
 
-def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by document."""
-    return np.bincount(doc, weights=values, minlength=n) if len(doc) else np.zeros(n)
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of so many bytes of text each, beyond their first row, so that little is held at once."""
+    for batch in batches:
+        _, offsets = column_bytes(batch.column(column))
+        at, n = 0, len(batch)
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+        pa.default_memory_pool().release_unused()

@@ -1,16 +1,22 @@
 """Language-model scoring with an Elias-Fano n-gram trie in memory-mapped levels.
 
-Order two. The first level holds the vocabulary: 64-bit word hashes as Elias-Fano sequences in shards by hash range,
-so a word's number is its place in the level, and exact counts. The second level holds the successors of each
-context in shards by a hash of the pair, so no context is a shard: the contexts of a shard as an Elias-Fano
-sequence, monotone pointers to their successor ranges, and the successors' numbers made monotone by adding each
-range to the last value of the one before it. A pair is found by its context's number, its range's base and one
-successor search for base plus number. Its smoothed probability, Dirichlet-weighted with the add-one unigram below,
-stands beside it as a 16-bit code.
+The first level holds the vocabulary: 128-bit word hashes in shards by hash range, their upper halves as Elias-Fano
+sequences and 32 more bits beside them for comparison, so a word's number is its place in the level, and exact counts.
+Each further level holds the successors of the level before it: a context is the number of a gram there, found one
+level up by its own context, so a gram is reached by descent, word by word. A level's shards have the contexts as an
+Elias-Fano sequence, monotone pointers to their successor ranges, and the successors' word numbers made monotone by
+adding each range to the last value of the one before it. A gram is found by its context's place, its range's base and
+one successor search for base plus word. Beside it stands what its context adds to its probability, as a 16-bit code:
+
+    p(w | h) = c(h w) / (c(h) + mu) + mu / (c(h) + mu) * p(w | shorter h),   p(w) = (c(w) + 1) / (tokens + types + 1)
+
+The first quotient is the code; the weight of the shorter history follows from the context's count. A context lives in
+one shard by its hash; one that is more frequent than a share of a shard is spread by gram, so no context is a shard.
 
 Everything is counted over all training texts; no n-gram is cut off. Counts are gathered as compressed blocks of
-(shard, keys, counts), merged and written by one task for each shard into the shared folder. Scoring tasks map the
-shards they need; on a store that can't be mapped, a shard is copied to a temporary file of the worker first.
+(shard, keys, counts), merged and written by one task for each shard into the shared folder; the shards follow the
+size of the input. Scoring tasks map the shards they need; on a store that can't be mapped, a shard is copied to a
+temporary file of the worker first.
 """
 
 from __future__ import annotations
@@ -18,10 +24,11 @@ from __future__ import annotations
 import mmap
 import os
 import pickle
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +37,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm._shared import Block, blocks, id_crc, mix, scratch_path, table, tasks
+from impactspark.llm._shared import Block, blocks, digests, id_crc, mix, numbered, ranges, scratch_path, table, tasks
 
-START, END, FIRST, UNKNOWN = 0, 1, 2, (1 << 32) - 1
-#: Weight of the unigram against a context's own successors.
-MU = 16.0
+START, END, FIRST, UNKNOWN = 0, 1, 2, -1
+ORDER = 3
+#: Weight of the shorter history, against two words of history and more, and against one.
+MU_LONG, MU = 4.0, 16.0
 #: Probability codes: steps of log10 from 0 down to -FLOOR.
 FLOOR, CODES = 24.0, 65535
 #: Bytes of text counted together before their counts go to the shards.
 TOGETHER = 12 << 20
+#: Bytes of the input's files for each shard of the vocabulary, tokens for each shard of the other levels, at most.
+SHARD_BYTES, SHARD_TOKENS = 64 << 20, 4 << 20
 HELD_OUT = 2
 U = np.uint64
 
@@ -110,38 +120,44 @@ class EliasFano:
         word = np.searchsorted(self.zeros, bucket, side="right") - 1
         return word * 64 + _select(~self.high[word], bucket - self.zeros[word]) - bucket
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value of at least x; n if there is none."""
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value of at least x (n if there is none), and whether it is x."""
         bucket = (x >> U(self.width)).astype(np.int64)
         last = len(self.zeros) * 64 - int(self.ones[-1]) - int(np.bitwise_count(self.high[-1])) - 1
         beyond = bucket >= last
         bucket = np.minimum(bucket, last - 1)
         end = self._upto(bucket)
-        at = np.where(bucket > 0, self._upto(np.maximum(bucket - 1, 0)), 0)
+        lo, hi = np.where(bucket > 0, self._upto(np.maximum(bucket - 1, 0)), 0), end.copy()
         want = x & U((1 << self.width) - 1)
         # Halving within the bucket.
-        lo, hi = at, end
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) >> 1
             less = _unpack(self.low, mid, self.width) < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        return np.where(beyond, self.n, lo)
+        inside = ~beyond & (lo < end)
+        return np.where(beyond, self.n, lo), inside & (_unpack(self.low, np.where(inside, lo, 0), self.width) == want)
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value of at least x; n if there is none."""
+        return self._search(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, -1 where it isn't there."""
+        """The first place of each x, -1 where it isn't there."""
         if not self.n:
             return np.full(len(x), -1)
-        at = self.successor(x)
-        there = at < self.n
-        return np.where(there & (self.access(np.where(there, at, 0)) == x), at, -1)
+        at, there = self._search(x)
+        return np.where(there, at, -1)
 
 
 # -- Levels in files ----------------------------------------------------------------------------------------------
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder; Hadoop's names of stores are told by the names used here."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
 def _save(folder: str, name: str, head: dict, arrays: list[np.ndarray]) -> str:
     """Arrays behind a head that says where they are; the file's path."""
     places, at = [], 0
@@ -149,7 +165,7 @@ def _save(folder: str, name: str, head: dict, arrays: list[np.ndarray]) -> str:
         places.append((at, a.dtype.str, len(a)))
         at += -(-a.nbytes // 64) * 64
     raw = pickle.dumps(head | {"places": places})
-    store, path = pafs.FileSystem.from_uri(folder)
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
     path = f"{path}/{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(path) as out:
@@ -165,7 +181,7 @@ _mapped: dict[str, tuple[dict, list[np.ndarray]]] = {}
 def _load(folder: str, path: str) -> tuple[dict, list[np.ndarray]]:
     """The file's head and its arrays, mapped and not read."""
     if path not in _mapped:
-        store, _ = pafs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         if isinstance(store, pafs.LocalFileSystem):
             file = open(path, "rb")  # noqa: SIM115
         else:
@@ -198,27 +214,31 @@ class Vocabulary:
     types: int
     texts: int
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The numbers of sorted hashes; UNKNOWN where there is none."""
-        out = np.full(len(hashes), UNKNOWN, np.int64)
+    def numbers(self, digest: np.ndarray) -> np.ndarray:
+        """The numbers of words by their hashes; UNKNOWN where there is none."""
+        out = np.full(len(digest), UNKNOWN, np.int64)
+        order = np.argsort(digest[:, 0], kind="stable")
+        hashes, checks = digest[order, 0], (digest[order, 1] >> U(32)).astype(np.uint32)
         cuts = np.searchsorted(_shard(hashes, len(self.paths)), np.arange(len(self.paths) + 1))
         for s, path in enumerate(self.paths):
             a, b = cuts[s], cuts[s + 1]
             if a < b and path:
                 head, arrays = _load(self.folder, path)
-                at = _sequence(head["hashes"], arrays[:4]).find(hashes[a:b] - U(head["base"]))
-                out[a:b] = np.where(at >= 0, at + self.firsts[s], UNKNOWN)
+                level, check = _sequence(head["hashes"], arrays[:4]), arrays[6]
+                x = hashes[a:b] - U(head["base"])
+                at = np.where(hashes[a:b] < U(head["base"]), -1, level.find(x))
+                # Words of one hash and other checks stand side by side.
+                while len(other := np.flatnonzero((at >= 0) & (check[at] != checks[a:b]))):
+                    at[other] += 1
+                    at[other[at[other] >= level.n]] = -1
+                    other = other[at[other] >= 0]
+                    at[other[level.access(at[other]) != x[other]]] = -1
+                out[order[a:b]] = np.where(at >= 0, at + self.firsts[s], UNKNOWN)
         return out
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts by number; zero for unknown words."""
-        out = np.zeros(len(numbers), np.int64)
-        shard = np.searchsorted(self.firsts, numbers, side="right") - 1
-        word = (numbers >= FIRST) & (numbers != UNKNOWN)
-        for s in np.unique(shard[word]):
-            mine = np.flatnonzero(word & (shard == s))
-            _, arrays = _load(self.folder, self.paths[s])
-            out[mine] = arrays[5][arrays[4][numbers[mine] - self.firsts[s]]]
+        out = _counts(self.folder, self.paths, self.firsts, numbers, 4)
         out[(numbers == START) | (numbers == END)] = self.texts
         return out
 
@@ -226,100 +246,186 @@ class Vocabulary:
         return np.log10((counts + 1.0) / (self.tokens + self.types + 1.0))
 
 
+def _counts(folder: str, paths: list[str], firsts: list[int], numbers: np.ndarray, at: int) -> np.ndarray:
+    """Counts by number, coded in a level's arrays at and at + 1."""
+    out = np.zeros(len(numbers), np.int64)
+    mine = np.flatnonzero(numbers >= firsts[0]) if firsts else np.zeros(0, np.int64)
+    shard = np.searchsorted(firsts, numbers[mine], side="right") - 1
+    order = np.argsort(shard, kind="stable")
+    mine, shard = mine[order], shard[order]
+    for s, a, b in _runs(shard):
+        _, arrays = _load(folder, paths[s])
+        out[mine[a:b]] = arrays[at + 1][arrays[at][numbers[mine[a:b]] - firsts[s]]]
+    return out
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    if len(values):
+        cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
+        yield from zip(values[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
 def _shard(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash ranges of equal width."""
     return (((hashes >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
 
-def _pair_hash(keys: np.ndarray) -> np.ndarray:
-    return mix(keys ^ U(0x5851F42D4C957F2D))
+@dataclass
+class Level:
+    """The successors of the grams of the level before; files and first numbers by shard."""
+
+    folder: str
+    paths: list[str]
+    firsts: list[int]
+    #: Contexts that occur more often are spread over the shards.
+    hot: int
+
+    def find(self, contexts: np.ndarray, often: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and code of the grams (contexts[which], word); -1 where there is none. often: the contexts' counts."""
+        number, code = np.full(len(which), -1, np.int64), np.full(len(which), -1, np.int64)
+        known = np.flatnonzero((contexts[which] >= 0) & (words >= 0))
+        shard = _dealt(contexts, often, which[known], words[known], self.hot, len(self.paths))
+        order = np.argsort(shard * len(contexts) + which[known], kind="stable")
+        known, shard = known[order], shard[order]
+        for s, a, b in _runs(shard):
+            if not self.paths[s]:
+                continue
+            head, arrays = _load(self.folder, self.paths[s])
+            above, pointers, successors = (_sequence(head[k], arrays[4 * i : 4 * i + 4]) for i, k in enumerate(("contexts", "pointers", "successors")))
+            mine = known[a:b]
+            new = np.concatenate(([True], which[mine[1:]] != which[mine[:-1]]))
+            at = above.find(contexts[which[mine[new]]].astype(U))
+            there = np.maximum(at, 0)
+            begin, end = pointers.access(there).astype(np.int64), pointers.access(there + 1).astype(np.int64)
+            base = np.where(begin > 0, successors.access(np.maximum(begin - 1, 0)), U(0))
+            own = np.cumsum(new) - 1
+            held = at[own] >= 0
+            mine, own = mine[held], own[held]
+            found = successors.find(base[own] + words[mine].astype(U))
+            good = (found >= begin[own]) & (found < end[own])
+            number[mine[good]] = found[good] + self.firsts[s]
+            code[mine[good]] = arrays[12][found[good]]
+        return number, code
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Training counts by number; zero for none."""
+        return _counts(self.folder, self.paths, self.firsts, numbers, 13)
+
+
+def _dealt(contexts: np.ndarray, often: np.ndarray, which: np.ndarray, words: np.ndarray, hot: int, shards: int) -> np.ndarray:
+    """The shard of each gram: its context's, or its own if the context is hot."""
+    by_context = mix(contexts.astype(U) ^ U(0x5851F42D4C957F2D))
+    h = by_context[which]
+    spread = np.flatnonzero(often[which] > hot)
+    h[spread] = mix(h[spread] ^ mix(words[spread].astype(U)))
+    return _shard(h, shards)
 
 
 @dataclass
 class Trie:
     vocabulary: Vocabulary
-    paths: list[str]
+    levels: list[Level] = field(default_factory=list)
+    mu: float = MU
+    mu_long: float = MU_LONG
 
-    def codes(self, keys: np.ndarray) -> np.ndarray:
-        """Probability codes of pair keys; -1 where the pair isn't there."""
-        out = np.full(len(keys), -1, np.int64)
-        shard = _shard(_pair_hash(keys), len(self.paths))
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.paths) + 1))
-        for s, path in enumerate(self.paths):
-            mine = order[cuts[s] : cuts[s + 1]]
-            if len(mine) and path:
-                head, arrays = _load(self.vocabulary.folder, path)
-                contexts, pointers, successors = (_sequence(head[k], arrays[4 * i : 4 * i + 4]) for i, k in enumerate(("contexts", "pointers", "successors")))
-                context, word = keys[mine] >> U(32), keys[mine] & U(0xFFFFFFFF)
-                at = contexts.find(context)
-                mine, word, at = mine[at >= 0], word[at >= 0], at[at >= 0]
-                if not len(mine):
-                    continue
-                begin, end = pointers.access(at).astype(np.int64), pointers.access(at + 1).astype(np.int64)
-                base = np.where(begin > 0, successors.access(np.maximum(begin - 1, 0)), U(0))
-                found = successors.find(base + word)
-                there = (found >= begin) & (found < end)
-                out[mine[there]] = arrays[12][found[there]]
-        return out
+    def weight(self, order: int) -> float:
+        return self.mu if order == 2 else self.mu_long
 
 
 # -- Counting -----------------------------------------------------------------------------------------------------
 
 
-def _packed(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted keys and their counts by shard, compressed. Keys go as two halves, byte planes apart, the upper by gaps."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(n + 1))
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes apart; those of zeros compress to nothing."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _packed(shard: np.ndarray, upper: np.ndarray, lower: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    """Keys (upper, lower) and their counts, sorted and compressed by shard; the upper parts go by gaps."""
+    order = np.lexsort((lower, upper, shard))
     squeeze = zstandard.ZstdCompressor(level=1)
-    for s in range(n):
-        mine = order[cuts[s] : cuts[s + 1]]
-        if len(mine):
-            k, c = keys[mine], counts[mine].astype(np.uint32)
-            upper, lower = (k >> U(32)).astype(np.uint32), (k & U(0xFFFFFFFF)).astype(np.uint32)
-            planes = [np.diff(upper, prepend=np.uint32(0)), lower, c]
-            yield s, len(k).to_bytes(8, "little") + squeeze.compress(b"".join(p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in planes))
+    for s, a, b in _runs(shard[order]):
+        mine = order[a:b]
+        parts = (np.diff(upper[mine].astype(U), prepend=U(0)), lower[mine].astype(U), counts[mine].astype(U))
+        yield s, len(mine).to_bytes(8, "little") + squeeze.compress(b"".join(map(_planes, parts)))
 
 
-def _opened(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _opened(raw: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=12 * n), np.uint8).reshape(3, 4, n)
-    upper, lower, counts = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
-    return np.cumsum(upper, dtype=np.uint32).astype(U) << U(32) | lower.astype(U), counts.astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=24 * n), np.uint8).reshape(3, 8, n)
+    upper, lower, counts = (np.ascontiguousarray(p.T).view(U).ravel() for p in planes)
+    return [np.cumsum(upper, dtype=U), lower, counts.astype(np.int64)]
 
 
-def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    opened = [_opened(p) for p in parts]
-    keys, counts = np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    upper, lower, counts = (np.concatenate(x) for x in zip(*map(_opened, parts), strict=True))
+    order = np.lexsort((lower, upper))
+    upper, lower, counts = upper[order], lower[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1]))))
+    return upper[first], lower[first], np.add.reduceat(counts, first)
 
 
 class Tokens:
-    """The words of some documents: each document's words by number into the sorted distinct hashes."""
+    """The words of some documents by number into their distinct words, with the start and the end behind these."""
 
     def __init__(self, parts: list[Block]):
-        hashes, per_doc = [], []
+        words, per_doc = [], []
         for b in parts:
             start, end, doc = b.words()
-            hashes.append(Block.hashes(b.folded(), start, end))
+            words.append(ranges(b.folded(), start, end))
             per_doc.append(np.bincount(doc, minlength=len(b)) if len(doc) else np.zeros(len(b), np.int64))
         self.per_doc = np.concatenate(per_doc)
-        self.hashes, self.word = np.unique(np.concatenate(hashes), return_inverse=True)
-        self.ends = np.cumsum(self.per_doc + 1) - 1  # places of the end tokens in the sequence with them
+        word, values = numbered(pa.concat_arrays(words))
+        self.n, self.digest = len(values), digests(values)
+        ends = np.cumsum(self.per_doc + 1) - 1
+        self.begins = ends - self.per_doc
+        self.current = np.full(len(word) + len(self.per_doc), self.n + 1, np.int64)
+        inner = np.ones(len(self.current), bool)
+        inner[ends] = False
+        self.current[inner] = word
+
+    def shifted(self, values: np.ndarray, first: int) -> np.ndarray:
+        """For each token the value of the one before it; first where its text begins."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.begins] = first
+        return out
+
 
-    def sequence(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens, ends included, and of what is before each."""
-        out = np.full(len(self.word) + len(self.per_doc), END, np.int64)
-        inner = np.ones(len(out), bool)
-        inner[self.ends] = False
-        out[inner] = numbers[self.word]
-        before = np.empty_like(out)
-        before[1:] = out[:-1]
-        before[np.concatenate(([0], self.ends[:-1] + 1)) if len(out) else []] = START
-        return out, before
+@dataclass
+class Grams:
+    """The distinct grams of one order among some tokens."""
+
+    #: For each token its gram; -1 where its history is shorter.
+    code: np.ndarray
+    #: For each gram its context among the grams before, and its last word among the words.
+    context: np.ndarray
+    word: np.ndarray
+
+
+def grams(t: Tokens, before: np.ndarray) -> Grams:
+    """before: for each token the number of its context, -1 for none."""
+    has = np.flatnonzero(before >= 0)
+    code = np.full(len(before), -1, np.int64)
+    code[has], keys = numbered(pa.array(before[has] * (t.n + 2) + t.current[has]))
+    context, word = np.divmod(keys.to_numpy(zero_copy_only=False).astype(np.int64), t.n + 2)
+    return Grams(code, context, word)
+
+
+def descend(t: Tokens, model: Trie, orders: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray, np.ndarray]]:
+    """For orders 2 and up: the grams, the numbers and counts of their possible contexts, and the words' numbers."""
+    words = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
+    contexts, often = words, model.vocabulary.counts(words)
+    before = t.shifted(t.current, t.n)
+    for order in range(2, orders + 1):
+        g = grams(t, before)
+        yield g, contexts, often, words
+        if order < orders:
+            level = model.levels[order - 2]
+            contexts, _ = level.find(contexts, often, g.context, words[g.word])
+            often = level.counts(contexts)
+            before = t.shifted(g.code, -1)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
@@ -334,14 +440,10 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
         yield at, Tokens(some)
 
 
-def _keys(current: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return before.astype(U) << U(32) | current.astype(U)
-
-
 PARTS = "shard int, raw binary, texts long, tokens long"
 
 
-def _rows(found: list[tuple[int, bytes]], texts: int, tokens: int) -> pa.RecordBatch:
+def _rows(found: list[tuple[int, bytes]], texts: int = 0, tokens: int = 0) -> pa.RecordBatch:
     s, raw = [x[0] for x in found] or [0], [x[1] for x in found] or [None]
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(raw, pa.binary()), pa.array([texts, *[0] * (len(s) - 1)], pa.int64()), pa.array([tokens, *[0] * (len(s) - 1)], pa.int64())], ["shard", "raw", "texts", "tokens"])
 
@@ -366,73 +468,82 @@ def _built(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "path", "types", "texts", "tokens"])
 
 
+def _coded(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as codes of their distinct values."""
+    distinct, code = np.unique(counts, return_inverse=True)
+    return [code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32), distinct]
+
+
+def _shards_built(texts: DataFrame, shards: int, count: Callable, build: Callable) -> tuple[list[str], list[int], list]:
+    """Paths and sizes by shard, and all rows of build, of which there are a few for each shard."""
+    rows = texts.select("text").mapInArrow(count, PARTS).repartition(shards, "shard").mapInArrow(build, BUILT).collect()
+    paths, sizes = [""] * shards, [0] * shards
+    for r in rows:
+        if r.shard >= 0:
+            paths[r.shard], sizes[r.shard] = r.path, r.types
+    return paths, sizes, rows
+
+
 def vocabulary(texts: DataFrame, folder: str, shards: int) -> Vocabulary:
     """Count the words of texts(text) and write the first level."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                n = np.bincount(t.word, minlength=len(t.hashes))
-                yield _rows(list(_packed(_shard(t.hashes, shards), t.hashes, n, shards)), len(t.per_doc), len(t.word) + len(t.per_doc))
+                n = np.bincount(t.current, minlength=t.n + 2)[: t.n]
+                yield _rows(list(_packed(_shard(t.digest[:, 0], shards), t.digest[:, 0], t.digest[:, 1] >> U(32), n, shards)), len(t.per_doc), len(t.current))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n_texts, n_tokens = _gather(batches)
         rows = [(-1, "", 0, n_texts, n_tokens)]
         for s in sorted(parts):
-            keys, counts = _merged(parts.pop(s))
-            base = int(keys[0])
-            distinct, code = np.unique(counts, return_inverse=True)
-            small = code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
-            ef = EliasFano.build(keys - U(base))
-            path = _save(folder, f"words-{s}", {"base": base, "hashes": (ef.n, ef.width)}, [*ef.arrays(), small, distinct])
-            rows.append((s, path, len(keys), 0, 0))
+            hashes, checks, counts = _merged(parts.pop(s))
+            base = int(hashes[0])
+            ef = EliasFano.build(hashes - U(base))
+            path = _save(folder, f"words-{s}", {"base": base, "hashes": (ef.n, ef.width)}, [*ef.arrays(), *_coded(counts), checks.astype(np.uint32)])
+            rows.append((s, path, len(hashes), 0, 0))
         yield _built(rows)
 
-    rows = texts.select("text").mapInArrow(count, PARTS).repartition(shards, "shard").mapInArrow(build, BUILT).collect()
-    paths, types = [""] * shards, [0] * shards
-    for r in rows:
-        if r.shard >= 0:
-            paths[r.shard], types[r.shard] = r.path, r.types
+    paths, types, rows = _shards_built(texts, shards, count, build)
     firsts = [FIRST + sum(types[:s]) for s in range(shards)]
     n_texts = sum(r.texts for r in rows)
-    if FIRST + sum(types) >= UNKNOWN:
-        raise ValueError("more than 2^32 word types")
     return Vocabulary(folder, paths, firsts, sum(r.tokens for r in rows), sum(types) + (n_texts > 0), n_texts)
 
 
-def trie(texts: DataFrame, words: Vocabulary, shards: int, mu: float = MU) -> Trie:
-    """Count the pairs of texts(text) and write the second level."""
+def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) -> Trie:
+    """Count the grams of texts(text) that are one word longer than the trie's longest and write their level."""
+    order, folder = len(model.levels) + 2, model.vocabulary.folder
+    hot = max(1, model.vocabulary.tokens // (8 * shards))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                keys, n = np.unique(_keys(*t.sequence(words.numbers(t.hashes))), return_counts=True)
-                yield _rows(list(_packed(_shard(_pair_hash(keys), shards), keys, n, shards)), 0, 0)
+                *_, (g, contexts, often, words) = descend(t, model, order)
+                word = words[g.word]
+                shard = _dealt(contexts, often, g.context, word, hot, shards)
+                yield _rows(list(_packed(shard, contexts[g.context], word, np.bincount(g.code[g.code >= 0], minlength=len(word)), shards)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = _gather(batches)[0], []
         for s in sorted(parts):
-            keys, counts = _merged(parts.pop(s))
-            context, word = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
+            context, word, counts = _merged(parts.pop(s))
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            below = 10.0 ** words.log_unigram(words.counts(word))
-            of = words.counts(context[first])
-            size = np.diff(np.append(first, len(keys)))
-            p = np.log10((counts + mu * below) / (np.repeat(of, size) + mu))
-            codes = np.clip(np.rint(-p * (CODES / FLOOR)), 0, CODES).astype(np.uint16)
-            lasts = word[np.append(first[1:], len(keys)) - 1]
-            base = np.concatenate(([0], np.cumsum(lasts)[:-1]))
-            levels = [EliasFano.build(context[first]), EliasFano.build(np.append(first, len(keys))), EliasFano.build(word + np.repeat(base, size))]
+            size = np.diff(np.append(first, len(context)))
+            above = model.levels[-1] if model.levels else model.vocabulary
+            share = counts / (np.repeat(above.counts(context[first].astype(np.int64)), size) + model.weight(order))
+            codes = np.clip(np.rint(-np.log10(share) * (CODES / FLOOR)), 0, CODES).astype(np.uint16)
+            lasts = word[np.append(first[1:], len(word)) - 1]
+            base = np.concatenate((np.zeros(1, U), np.cumsum(lasts, dtype=U)[:-1]))
+            levels = [EliasFano.build(context[first]), EliasFano.build(np.append(first, len(word))), EliasFano.build(word + np.repeat(base, size))]
             head = {k: (e.n, e.width) for k, e in zip(("contexts", "pointers", "successors"), levels, strict=True)}
-            rows.append((s, _save(words.folder, f"pairs-{s}", head, [*(a for e in levels for a in e.arrays()), codes]), len(keys), 0, 0))
+            path = _save(folder, f"grams-{order}-{s}", head, [*(a for e in levels for a in e.arrays()), codes, *([] if last else _coded(counts))])
+            rows.append((s, path, len(word), 0, 0))
         if rows:
             yield _built(rows)
 
-    rows = texts.select("text").mapInArrow(count, PARTS).repartition(shards, "shard").mapInArrow(build, BUILT).collect()
-    paths = [""] * shards
-    for r in rows:
-        paths[r.shard] = r.path
-    return Trie(words, paths)
+    paths, sizes, _ = _shards_built(texts, shards, count, build)
+    firsts = [sum(sizes[:s]) for s in range(shards)]
+    return Trie(model.vocabulary, [*model.levels, Level(folder, paths, firsts, hot)], model.mu, model.mu_long)
 
 
 # -- Scoring ------------------------------------------------------------------------------------------------------
@@ -441,40 +552,34 @@ def trie(texts: DataFrame, words: Vocabulary, shards: int, mu: float = MU) -> Tr
 SCORES = (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
 
 
-def score_column(model: Trie, column: pa.Array, mu: float = MU) -> list[pa.Array]:
+def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
     """n_tokens, n_known, base_score and score of each text."""
-    words, out = model.vocabulary, [[], [], [], []]
+    out = [[], [], [], []]
     for _, t in _groups(column):
-        numbers = words.numbers(t.hashes)
-        current, before = t.sequence(numbers)
-        known = words.counts(numbers)
-        # Counts and unigrams by token: of the distinct words, with the end and unknown words behind them.
-        place = np.full(len(current), len(known), np.int64)
-        inner = np.ones(len(current), bool)
-        inner[t.ends] = False
-        place[inner] = t.word
-        count = np.append(known, words.texts)
-        unigram = words.log_unigram(count)
-        of = np.append(known, words.texts)  # as a context: the start has as many as there are texts
-        ahead = np.empty_like(place)
-        ahead[1:] = place[:-1]
-        ahead[before == START] = len(known)
-        distinct, which = np.unique(_keys(current, before), return_inverse=True)
-        code = model.codes(distinct)[which]
-        backed = np.log10(mu / (of[ahead] + mu)) + unigram[place]
-        p = np.where(code >= 0, code * (-FLOOR / CODES), backed)
-        begin = t.ends - t.per_doc
+        p = None
+        for order, (g, contexts, often, words) in enumerate(descend(t, model, len(model.levels) + 1), 2):
+            if p is None:
+                counts = often
+                unigram = model.vocabulary.log_unigram(counts)
+                p = (10.0**unigram)[t.current]
+            mu = model.weight(order)
+            _, code = model.levels[order - 2].find(contexts, often, g.context, words[g.word])
+            share = np.where(code >= 0, 10.0 ** (code * (-FLOOR / CODES)), 0.0)
+            rest = mu / (often[g.context] + mu)
+            has = np.flatnonzero(g.code >= 0)
+            p[has] = share[g.code[has]] + rest[g.code[has]] * p[has]
         out[0].append(t.per_doc + 1)
-        out[1].append(np.add.reduceat((count > 0)[place].astype(np.int64), begin))
-        out[2].append(np.add.reduceat(unigram[place], begin))
-        out[3].append(np.add.reduceat(p, begin))
+        out[1].append(np.add.reduceat((counts > 0)[t.current].astype(np.int64), t.begins))
+        out[2].append(np.add.reduceat(unigram[t.current], t.begins))
+        out[3].append(np.add.reduceat(np.log10(np.minimum(p, 1.0)), t.begins))
     return [pa.array(np.concatenate(x) if x else [], kind) for x, (_, kind) in zip(out, SCORES, strict=True)]
 
 
 def score(docs: DataFrame, model: Trie) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
-    Null and wordless texts have the end token alone. If nothing was learnt from, every token is unknown.
+    Null and wordless texts have the end token alone. If nothing was learnt from, every token is unknown. Repeated
+    rows each get a row; other columns are not read; an empty table has no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,12 +592,18 @@ def score(docs: DataFrame, model: Trie) -> DataFrame:
     return found.select("doc_id", "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def learn(texts: DataFrame, shards: int | None = None) -> Trie:
+def learn(texts: DataFrame, shards: int | None = None, order: int = ORDER) -> Trie:
+    """The trie of texts(text), of grams up to the order (2 at least). Null texts are empty; no texts give an empty trie."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
-    shards = shards or tasks(spark)
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     folder = scratch_path(spark, "lm")
     folder = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
-    return trie(texts, vocabulary(texts, folder, shards), shards)
+    model = Trie(vocabulary(texts, folder, shards or max(tasks(spark), min(size // SHARD_BYTES, 1 << 16))))
+    for k in range(2, order + 1):
+        model = deepened(texts, model, shards or max(tasks(spark), model.vocabulary.tokens // SHARD_TOKENS), k == order)
+    return model
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules: counts of a text against fixed limits, then hashed n-gram logistic regression against a fixed threshold.
 
-The regression (word and byte n-grams) is trained on labelled quality rows, calibrated to a probability on rows that
+The regression (word and character n-grams) is trained on labelled quality rows, calibrated to a probability on rows that
 the fit has not seen, and scored in Arrow batches. The fit reads a bounded sample (``FIT_ROWS`` of each class, of
 texts of ``FIT_CHARS`` characters at most, none of them held out); rules and scores read whole texts of all rows.
 """
@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from impactspark.llm._fit import Linear, Trainer, labelled_sample, platt, sigmoid
-from impactspark.llm._shared import Block, blocks, mix, table
+from impactspark.llm._shared import Block, blocks, numbered, ranges, table
 
 FIT_ROWS, FIT_CHARS, ROUNDS = 1500, 8_000, 60
+#: SPAN is a power of two.
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN, THRESHOLD = 20, 30, 8, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -28,10 +29,14 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _seen_again(keys: np.ndarray) -> np.ndarray:
-    """For each key whether it is there more than once."""
-    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return n[which] > 1
+def _codes(first: np.ndarray, second: np.ndarray, base: int) -> np.ndarray:
+    """A number for each pair of numbers, the second below base; equal only for equal pairs."""
+    return numbered(pa.array(first * base + second))[0]
+
+
+def _seen_again(codes: np.ndarray) -> np.ndarray:
+    """For each number whether it is there more than once."""
+    return (np.bincount(codes) > 1)[codes] if len(codes) else np.zeros(0, bool)
 
 
 def block_counts(block: Block) -> dict[str, np.ndarray]:
@@ -52,19 +57,20 @@ def block_counts(block: Block) -> dict[str, np.ndarray]:
     full = worded[ends] > worded[begins]
     begins, ends = begins[full], ends[full]
     line_doc = np.searchsorted(block.offsets, begins, side="right") - 1
-    line_key = mix(Block.hashes(data, begins, ends) ^ mix(line_doc.astype(np.uint64)))
-    _, first = np.unique(line_key, return_index=True)
+    line = _codes(line_doc, numbered(ranges(data, begins, ends))[0], len(line_doc) + 1)
+    _, first = np.unique(line, return_index=True)
     n_lines, n_distinct = np.bincount(line_doc, minlength=n), np.bincount(line_doc[first], minlength=n)
     # Words under a span that its document has more than once.
     hit = np.zeros(len(start) + 1, np.int64)
     if len(start) >= SPAN:
-        h = Block.hashes(data, start, end)
-        m = len(h) - SPAN + 1
-        key = mix(doc[:m].astype(np.uint64))
-        for i in range(SPAN):
-            key = mix(key ^ h[i : i + m]) if i % 4 == 3 else key * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
+        # Spans are numbered by halves: words, then pairs of them, then pairs of pairs; equal numbers are equal words.
+        code, width = numbered(ranges(data, start, end))[0], 1
+        while width < SPAN:
+            code = _codes(code[:-width], code[width:], len(start))
+            width *= 2
+        m = len(code)
         whole = np.flatnonzero(doc[:m] == doc[SPAN - 1 :])
-        again = whole[_seen_again(key[whole])]
+        again = whole[_seen_again(_codes(doc[whole], code[whole], len(start)))]
         np.add.at(hit, again, 1)
         np.add.at(hit, again + SPAN, -1)
     repeated = np.cumsum(hit[:-1]) > 0

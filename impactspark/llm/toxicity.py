@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and scored in numpy.
 
 A word's input is the sum of a hashed word embedding and the mean of its hashed character n-gram embeddings (three
-and four bytes, with word marks), so unseen forms of a stem are read by their characters. Two gated recurrent chains
+and four bytes, with word marks), so unseen forms of a stem are read by their characters; word embeddings begin at
+zero, so an unseen word adds nothing of its own, and in training each word of a batch is read as if unseen half the
+times, so that its characters alone must do. Two gated recurrent chains
 read each window of words, one in either direction; attention pools their states into one value. A document's score
 is its highest window, calibrated to a probability. Windows of ``WINDOW`` words begin at every ``STRIDE``-th word of the
 whole text, and the last ends with it: a passage of up to WINDOW - STRIDE + 1 words (21) is whole in one of them
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.llm._fit import label_share, labelled_sample, platt, sigmoid
-from impactspark.llm._shared import Block, blocks, id_crc, table
+from impactspark.llm._shared import Block, blocks, digests, id_crc, numbered, ranges, table
 
 HIDDEN, WORD_BITS, CHAR_BITS = 8, 15, 14
 WINDOW, STRIDE = 32, 12
@@ -67,15 +69,18 @@ class Network:
     def new(seed: int = 1, hidden: int = HIDDEN, dtype=np.float32) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *s, by=0.3: (rng.standard_normal(s) * by).astype(dtype)
-        p = {"word": draw(1 << WORD_BITS, hidden, by=0.1), "char": draw(1 << CHAR_BITS, hidden, by=0.1), "att": draw(2 * hidden, hidden), "pick": draw(hidden), "out": draw(2 * hidden), "bias": np.zeros(1, dtype)}
+        p = {"word": np.zeros((1 << WORD_BITS, hidden), dtype), "char": draw(1 << CHAR_BITS, hidden, by=0.1), "att": draw(2 * hidden, hidden), "pick": draw(hidden), "out": draw(2 * hidden), "bias": np.zeros(1, dtype)}
         for d in "fb":
             for g in "zrh":
                 p |= {f"x{g}{d}": draw(hidden, hidden), f"u{g}{d}": draw(hidden, hidden), f"b{g}{d}": np.full(hidden, 1.0 if g == "z" else 0.0, dtype)}
         return Network(p)
 
-    def vectors(self, word: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def vectors(self, word: np.ndarray, rows: np.ndarray, of: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """The words' inputs; those not seen are read by their characters alone."""
         p, n = self.p, len(word)
         v = p["word"][word]
+        if seen is not None:
+            v = v * seen[:, None].astype(v.dtype)
         if len(rows):
             begin = np.searchsorted(of, np.arange(n))
             count = np.diff(np.append(begin, len(of)))
@@ -192,9 +197,10 @@ class Reader:
     def __init__(self, block: Block):
         folded = block.folded()
         start, end, doc = block.words()
-        hashes = Block.hashes(folded, start, end)
-        _, first, self.id = np.unique(hashes, return_index=True, return_inverse=True)
-        self.inputs = word_inputs(folded, start[first], end[first], hashes[first])
+        self.id, values = numbered(ranges(folded, start, end))
+        first = np.zeros(len(values), np.int64)
+        first[self.id[::-1]] = np.arange(len(start))[::-1]
+        self.inputs = word_inputs(folded, start[first], end[first], digests(values)[:, 0])
         self.n_words = len(first)
         self.counts = np.bincount(doc, minlength=len(block)) if len(doc) else np.zeros(len(block), np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
@@ -266,7 +272,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, ep
             for r in np.unique([pool[i][0] for i in batch]):
                 mine = np.array([i for i in batch if pool[i][0] == r])
                 step += 1
-                _learn(net, readers[r], chosen[mine], y[mine], len(batch), moments, squares, step)
+                _learn(net, readers[r], chosen[mine], y[mine], len(batch), moments, squares, step, rng)
     top = np.concatenate([highest(x, x.logits(net)) for x in readers])
     known = np.isfinite(top)
     net.scale, net.shift = platt(top[known], labels[known])
@@ -275,7 +281,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, ep
     return net
 
 
-def _learn(net: Network, reader: Reader, which: np.ndarray, y: np.ndarray, of: int, moments: dict, squares: dict, step: int) -> None:
+def _learn(net: Network, reader: Reader, which: np.ndarray, y: np.ndarray, of: int, moments: dict, squares: dict, step: int, rng: np.random.Generator) -> None:
     at, mask = reader.places(which)
     used, at = np.unique(at, return_inverse=True)
     pad = len(used) - 1 if used[-1] == reader.n_words else len(used)
@@ -285,7 +291,8 @@ def _learn(net: Network, reader: Reader, which: np.ndarray, y: np.ndarray, of: i
     size = hi - lo
     pick = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
     local = (word[real], rows[pick], np.repeat(np.arange(len(real)), size))
-    v = net.vectors(*local)
+    seen = rng.random(len(real)) < 0.5
+    v = net.vectors(*local, seen)
     keep: dict = {}
     at = at.reshape(WINDOW, -1)
     logit = net.forward(net.gates(v), at, mask, keep)
@@ -297,7 +304,7 @@ def _learn(net: Network, reader: Reader, which: np.ndarray, y: np.ndarray, of: i
         s += 0.001 * (g * g - s)
         net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     chars = dv[local[2]] / np.maximum(size, 1)[local[2], None].astype(np.float32)
-    for k, i, g in (("word", local[0], dv), ("char", local[1], chars)):
+    for k, i, g in (("word", local[0][seen], dv[seen]), ("char", local[1], chars)):
         row, inverse = np.unique(i, return_inverse=True)
         total = np.zeros((len(row), g.shape[1]), np.float32)
         np.add.at(total, inverse, g)
