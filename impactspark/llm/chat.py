@@ -5,9 +5,10 @@ line end. ``###`` and ``</turn>`` are control strings. Inside a text a control s
 stands for the same string with n - 1; one without is the grammar's own, so the language has one parse at most. The
 role is written percent-encoded with its first letter raised, so it holds no colon, blank or line end.
 
-Rendering starts plain. The result is parsed; a conversation whose turns don't come back the same is rendered anew
-one escape level up (one more backslash before each control string), until they do. One level is always enough by
-the grammar; a conversation that still differed would raise an error.
+Every text is rendered with one more backslash before each of its control strings, so none of them stands bare in the
+output. The result is parsed and the turns compared with the source's; a conversation that differs is escaped once
+more, level by level up to ``MOST_LEVELS``, and one that still differs raises an error. By the grammar the first level
+is always enough; the loop is the proof, not a hope.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from impactspark.llm._shared import table
 
-CLOSE = "</turn>"
+MOST_LEVELS = 2
 #: Roles under the loss mask.
 LEARNED = ("assistant",)
 
@@ -31,7 +32,11 @@ def _unescaped(text: Column) -> Column:
 
 
 def _render(turns: Column, level: int) -> Column:
-    text = (lambda t: _escaped(t)) if level else (lambda t: t)
+    def text(t: Column) -> Column:
+        for _ in range(level):
+            t = _escaped(t)
+        return t
+
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("### "), t["head"], F.lit(": "), text(t["text"]), F.lit("\n</turn>\n"))), "")
 
 
@@ -46,33 +51,39 @@ def _role_of(head: Column) -> Column:
     return F.url_decode(code)
 
 
-def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a rendered conversation."""
+def parse(formatted: Column, level: int = 1) -> Column:
+    """The turns (role, text) of a conversation rendered at a level."""
     pieces = F.split(formatted, r"(?<!\\)</turn>\n", -1)
     turns = F.slice(pieces, 1, F.size(pieces) - 1)
 
     def turn(piece: Column) -> Column:
         head = F.regexp_extract(piece, "^### ([^:\\n]*): ", 1)
         begin = F.length(head) + 7  # four before the head, two behind it, counted from 1
-        return F.struct(_role_of(head).alias("role"), _unescaped(F.substring(piece, begin, F.length(piece) - begin)).alias("text"))
+        text = F.substring(piece, begin, F.length(piece) - begin)
+        for _ in range(level):
+            text = _unescaped(text)
+        return F.struct(_role_of(head).alias("role"), text.alias("text"))
 
     return F.transform(turns, turn)
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns (the source's, role and text), level and formatted, one row for each conv_id.
+    """conv_id, level and formatted, one row for each conv_id of conversations(conv_id, turn, role, text).
 
     Turns go by turn, then role, then text (nulls first); null roles and texts are empty. Repeated rows are turns
-    of their own. Rows with a null conv_id are one conversation.
+    of their own. Rows with a null conv_id are one conversation. Other columns are not read; no rows give no rows.
     """
     row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     turns = gathered.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"), head_of(r["role"]).alias("head"))).alias("turns"))
-    same = lambda c: F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == parse(F.col(c))
-    plain = turns.withColumn("plain", _render(F.col("turns"), 0)).withColumn("level", F.when(same("plain"), 0).otherwise(1))
-    final = plain.withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).otherwise(_render(F.col("turns"), 1)))
-    proven = F.when((F.col("level") == 0) | same("formatted"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")))
-    return final.select("conv_id", "level", proven.alias("formatted"))
+    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    done = turns.select("conv_id", "turns", F.lit(1).alias("level"), _render(F.col("turns"), 1).alias("formatted"))
+    for level in range(1, MOST_LEVELS):
+        same = (F.col("level") < level) | (said == parse(F.col("formatted"), level))
+        done = done.select("conv_id", "turns", F.when(same, F.col("level")).otherwise(level + 1).alias("level"), F.when(same, F.col("formatted")).otherwise(_render(F.col("turns"), level + 1)).alias("formatted"))
+    last = (F.col("level") < MOST_LEVELS) | (said == parse(F.col("formatted"), MOST_LEVELS))
+    proven = F.when(last, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")))
+    return done.select("conv_id", "level", proven.alias("formatted"))
 
 
 def loss_spans(turns: Column) -> Column:
@@ -85,7 +96,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("id")
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(case).alias("text"))
     done = formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard))
-    read = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    turns = F.when(F.col("level") == 1, parse(F.col("formatted"))).otherwise(parse(F.col("formatted"), MOST_LEVELS))
+    read = done.select("conv_id", "formatted", turns.alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(loss_spans(F.col("turns")), "")
     return read.select("conv_id", "formatted", "turns", loss.alias("loss"), text.alias("said")).select(
@@ -101,12 +113,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-e AS (SELECT *, regexp_matches(text, '\\(###|</turn>)') OR contains(text, '</turn>' || chr(10)) OR text LIKE '%\' AS clash,
-             regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS escaped FROM c),
+e AS (SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS escaped FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
              coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-             bool_or(clash) AS clash, sum(length(role) + length(text) + 15) AS plain, sum(length(role) + length(escaped) + 15) AS full_length FROM e GROUP BY conv_id)
+             sum(length(role) + length(escaped) + 15) AS full_length FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-       CAST(CASE WHEN clash THEN full_length ELSE plain END AS BIGINT) AS formatted_chars
+       CAST(full_length AS BIGINT) AS formatted_chars
 FROM g
 """
