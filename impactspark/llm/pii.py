@@ -5,20 +5,25 @@ sides of a graph; an edge is an occurrence of an identifier next to a pattern. S
 pattern's confidence for a kind is the share of its distinct identifiers that are believed to be of the kind (one
 unbelieved identifier is added to each pattern), and an unseen identifier is believed by the noisy-or of its
 patterns. Patterns that reach ``CONFIDENT`` with ``SUPPORT`` believed identifiers then mark unseen identifiers:
-tokens of a kind's loose shape (a card number that fails its check digit, a phone number without a plus sign) that
-the base patterns don't take. Base matches always stay; words alone never make an identifier.
+strings of a kind's loose shape (a card number that fails its check digit, a phone number without a plus sign),
+anywhere in the text, that the base patterns don't take. Base matches always stay; words alone never make an
+identifier.
+
+A pattern is the next word (a run of letters and digits) on one side, whole and however far, up to the identifier
+beyond it: nothing is cut, and each stretch between two identifiers is read twice at most.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm._shared import remove, table, written
+from impactspark.llm._shared import fresh, remove, row_key, sliced, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENT, SUPPORT, ROUNDS = 0.8, 5, 3
@@ -31,15 +36,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MAYBE = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^ \t-\r]*[0-9@][^ \t-\r]*")
-_WORD = re.compile(r"[^ \t-\r]+")
-_EDGES = "\"'`.,;!?()[]{}<>|*#$%&"
-#: Loose shapes by kind; what they match whole may be of the kind if its context says so.
-_LOOSE = (
-    re.compile(r"[^@\s]{1,64}@[^@\s]{2,255}"),
-    re.compile(r"[0-9]{1,4}(?:[.:-][0-9]{1,4}){3}"),
-    re.compile(r"[0-9](?:[.-]?[0-9]){11,19}"),
-    re.compile(r"\(?[0-9](?:[().-]?[0-9]){6,14}"),
+_WORD = re.compile(r"[^\W_]+")
+_EDGES = "\"'`.,;!?()[]{}<>|*#$%&:="
+#: Loose shapes: an at sign between what may be of an address; numbers between what is neither letter nor digit.
+_APART = "\\s@\"'`<>,;:()\\[\\]{}=&?#|"
+_MAIL = re.compile(f"(?<![^{_APART}])[^{_APART}]++@[^{_APART}]+")
+_NUMBERS = (
+    (1, re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?:[.:-][0-9]{1,4}){3}(?![0-9A-Za-z])")),
+    (2, re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .-]?[0-9]){11,19}(?![0-9A-Za-z])")),
+    (3, re.compile(r"(?<![0-9A-Za-z+])\(?[0-9](?:(?:[().-]|\)? |\)-)?[0-9]){6,14}(?![0-9A-Za-z])")),
 )
 
 
@@ -83,44 +88,94 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _context(word: str) -> str:
-    """A word as a pattern: folded, digits alike, at most 40 characters."""
-    return re.sub("[0-9]+", "0", word.strip(_EDGES).lower())[:40]
-
-
-def _around(text: str, begin: int, end: int) -> tuple[str, str]:
-    """The words before and behind, what is joined to the span counting as a word."""
-    a = text[max(0, begin - 200) : begin].split()
-    b = _WORD.search(text, end)
-    return _context(a[-1]) if a else "", _context(b[0][:200]) if b else ""
-
-
-def _overlaps(begin: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    return any(a < end and begin < b for _, a, b in spans)
-
-
-def found_in(text: str | None) -> tuple[list[dict], list[dict]]:
-    """The base spans, and every occurrence with its context: seeds (their kind) and candidates (kinds they may be of)."""
-    text = text or ""
-    spans = base_spans(text)
-    seen = []
-    for k, a, b in spans:
-        left, right = _around(text, a, b)
-        seen.append({"instance": text[a:b], "seed": k, "may": 1 << k, "start": a, "end": b, "left": left, "right": right})
-    if spans or _MAYBE.search(text):
-        for m in _TOKEN.finditer(text):
-            token = m[0]
-            if len(token) > 400:
-                continue
-            cut = max(token.rfind("="), token.rfind(":")) + 1 if not _LOOSE[1].fullmatch(token.strip(_EDGES)) else 0
-            inner = token[cut:]
-            begin = m.start() + cut + len(inner) - len(inner.lstrip(_EDGES.replace("(", "")))
-            inner = inner.strip(_EDGES.replace("(", ""))
-            end = begin + len(inner)
-            may = sum(1 << k for k, shape in enumerate(_LOOSE) if shape.fullmatch(inner))
-            if may and not _overlaps(begin, end, spans):
-                left, right = _around(text, begin, end)
-                seen.append({"instance": inner, "seed": -1, "may": may, "start": begin, "end": end, "left": left, "right": right})
-    return [{"k": k, "s": a, "e": b} for k, a, b in spans], seen
+    """A word as a pattern: folded, digits alike."""
+    return re.sub("[0-9]+", "0", word.lower())
+
+
+def _before(text: str, low: int, at: int) -> str:
+    """The last word of text[low:at], looked for in ever longer stretches."""
+    reach = 64
+    while True:
+        begin = max(low, at - reach)
+        last = None
+        for last in _WORD.finditer(text, begin, at):  # noqa: B007
+            pass
+        if begin == low or (last and last.start() > begin):
+            return last[0] if last else ""
+        reach *= 8
+
+
+def _candidates(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kinds as bits) of strings of loose shape, none overlapping another, the first and longest of them."""
+    found: dict[tuple[int, int], int] = {}
+    if "@" in text:
+        for m in _MAIL.finditer(text):
+            cut = m[0].lstrip(_EDGES)
+            begin, cut = m.end() - len(cut), cut.rstrip(_EDGES)
+            sides = cut.partition("@")
+            if sides[0] and sides[2]:
+                found[begin, begin + len(cut)] = 1
+    for kind, shape in _NUMBERS:
+        for m in shape.finditer(text):
+            found[m.span()] = found.get(m.span(), 0) | 1 << kind
+    out: list[tuple[int, int, int]] = []
+    for begin, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or begin >= out[-1][1]:
+            out.append((begin, end, found[begin, end]))
+    return out
+
+
+@dataclass
+class Found:
+    """Base spans and occurrences of many texts, column by column."""
+
+    spans: list[list] = field(default_factory=lambda: [[], [], []])
+    seen: list[list] = field(default_factory=lambda: [[] for _ in range(7)])
+    span_ends: list[int] = field(default_factory=lambda: [0])
+    seen_ends: list[int] = field(default_factory=lambda: [0])
+
+    def read(self, text: str | None) -> None:
+        """The base spans, and every occurrence with its context: seeds (their kind) and candidates (kinds they may be of)."""
+        text = text or ""
+        if _MAYBE.search(text):
+            self._read(text)
+        self.span_ends.append(len(self.spans[0]))
+        self.seen_ends.append(len(self.seen[0]))
+
+    def _read(self, text: str) -> None:
+        spans = base_spans(text)
+        for column, values in zip(self.spans, zip(*spans, strict=True), strict=False):
+            column += values
+        every = [(a, b, k, 1 << k) for k, a, b in spans]
+        taken, at, reach = sorted((a, b) for _, a, b in spans), 0, 0
+        for a, b, may in _candidates(text):
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= a:
+                every.append((a, b, -1, may))
+        every.sort()
+        # Overlapping identifiers stand in one place and share its context.
+        i, low = 0, 0
+        while i < len(every):
+            begin, end, j = every[i][0], every[i][1], i + 1
+            while j < len(every) and every[j][0] < end:
+                end = max(end, every[j][1])
+                j += 1
+            left = _context(_before(text, low, begin))
+            m = _WORD.search(text, end, every[j][0] if j < len(every) else len(text))
+            right = _context(m[0]) if m else ""
+            for a, b, kind, may in every[i:j]:
+                for column, value in zip(self.seen, (text[a:b], kind, may, a, b, left, right), strict=True):
+                    column.append(value)
+            i, low = j, end
+
+    def arrays(self) -> list[pa.Array]:
+        lists = []
+        for ends, columns, kind in ((self.span_ends, self.spans, _SPAN), (self.seen_ends, self.seen, _SEEN)):
+            rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.fields, strict=True)], fields=list(kind.fields))
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows))
+        return lists
 
 
 _SPAN = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
@@ -130,16 +185,18 @@ _SEEN_SQL = "array<struct<instance:string,seed:int,may:int,start:int,end:int,lef
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, pk (a hash of id and text), base spans and occurrences of every row, as a scratch table."""
+    """doc_id, pk (of id and text), base spans and occurrences of every row of docs(doc_id, text), as a scratch table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [found_in(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(_SPAN)), pa.array([f[1] for f in found], pa.list_(_SEEN))], ["doc_id", "pk", "base", "seen"])
+        for batch in sliced(batches, 2):
+            found, texts = Found(), batch.column(2)
+            for i in range(len(texts)):
+                found.read(texts[i].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found.arrays()], ["doc_id", "pk", "base", "seen"])
 
-    slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("pk"), "text")
+    slim = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("pk"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return written(slim.mapInArrow(run, f"doc_id {kind}, pk long, base {_SPANS_SQL}, seen {_SEEN_SQL}"), "pii")
+    return written(slim.mapInArrow(run, f"doc_id {kind}, pk string, base {_SPANS_SQL}, seen {_SEEN_SQL}"), "pii")
 
 
 def patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
@@ -165,7 +222,7 @@ def patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDEN
 
 
 def discovered(found: DataFrame, known: DataFrame) -> DataFrame:
-    """pk and the spans that confident patterns add, for the rows that have some."""
+    """pk and the spans that confident patterns add, for the rows that have some. Repeated rows count once."""
     seen = found.select("pk", F.explode(F.filter("seen", lambda o: o["seed"] < 0)).alias("o")).select("pk", "o.*")
     sides = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")))
     hits = seen.withColumn("pattern", sides).join(known, "pattern").where("shiftright(may, kind) & 1 = 1")
@@ -176,7 +233,7 @@ def discovered(found: DataFrame, known: DataFrame) -> DataFrame:
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind number, start, end) of every row of docs(doc_id, text).
 
-    Null texts are empty. Repeated rows each get a row.
+    Null texts are empty. Repeated rows each get a row. Other columns are not read; an empty table has no rows.
     """
     found = occurrences(docs)
     more = written(discovered(found, patterns(found)), "pii_found")
@@ -186,27 +243,38 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of docs with every span of their texts replaced by its kind in angle brackets; n_chars follows, if there."""
+    """The rows of docs(doc_id, text, ...) with every span of their texts replaced by its kind in angle brackets.
+
+    n_chars follows where a text changes, if it is there. Null and empty texts stay as they are, repeated rows each
+    stay, other columns of any name pass unread, and an empty table stays empty.
+    """
     found = occurrences(docs)
     more = written(discovered(found, patterns(found)), "pii_found")
+    remove(found)
     few = F.broadcast(more) if more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else more
     names = docs.columns
     place = names.index("text")
+    key, extra_name = fresh(names, "pk", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, extra = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
-            out = [t if t is None else replaced(t, [*base_spans(t), *((x["k"], x["s"], x["e"]) for x in m or ())]) for t, m in zip(texts, extra, strict=True)]
+        for batch in sliced(batches, place):
+            texts, extra = batch.column(place), batch.column(len(names))
+            out, sizes = [], {}
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                new = text if text is None else replaced(text, [*base_spans(text), *((x["k"], x["s"], x["e"]) for x in extra[i].as_py() or ())])
+                if new != text:
+                    sizes[i] = len(new)
+                out.append(new)
             columns = [batch.column(i) for i in range(len(names))]
             columns[place] = pa.array(out, batch.schema.field(place).type)
             if "n_chars" in names:
                 i = names.index("n_chars")
-                sizes = [n if s is None else len(s) if s != t else n for s, t, n in zip(out, texts, columns[i].to_pylist(), strict=True)]
-                columns[i] = pa.array(sizes, batch.schema.field(i).type)
+                columns[i] = pa.array([sizes.get(j, n) for j, n in enumerate(columns[i].to_pylist())], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    keyed = docs.withColumn("__pk", F.xxhash64("doc_id", "text")).join(few.select(F.col("pk").alias("__pk"), F.col("more").alias("__more")), "__pk", "left").drop("__pk")
-    return keyed.select(*names, "__more").mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(few.select(F.col("pk").alias(key), F.col("more").alias(extra_name)), key, "left").drop(key)
+    return keyed.select(*names, extra_name).mapInArrow(run, docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
