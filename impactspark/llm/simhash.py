@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm._shared import remove, table, written
+from impactspark.llm._shared import remove, row_key, sliced, table, written
 
 WORDS, MAX_BITS, LONG = 3, 2, 32
 #: Six sets of four byte positions; their complements hold each of the 28 pairs of positions.
@@ -53,15 +53,15 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row_key (a hash of id and text) and fp (signed 64-bit) of every row."""
+    """doc_id, row_key (of id and text) and fp (signed 64-bit) of every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
+        for batch in sliced(batches, 2):
+            texts = batch.column(2).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())], ["doc_id", "row_key", "fp"])
 
-    slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row_key long, fp long")
+    slim = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row_key string, fp long")
 
 
 def byte_at(fp: Column, position: int) -> Column:
@@ -126,7 +126,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """node and root, the least node of its component, for every linked node but the roots; large and small stars in turn.
+    """node and root, the least node of its component, for every linked node of edges(u, v) but the roots; large and small
+    stars in turn. No edges give no rows; repeated edges, and edges either way round, change nothing; null ends are not
+    allowed.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor costs one round at most.
     """
@@ -154,10 +156,11 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, words: int, max_bits: int, long: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; (fp, first, root) of the distinct ones, first being their least id."""
+    """The fingerprints of all rows; (fp, first, root) of the distinct ones, first being their least (no id, id, row key)."""
     fps = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, max_bits, long))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    distinct = written(fps.groupBy("fp").agg(first), "distinct")
+    roots = components(links(distinct.select("fp"), max_bits, long))
     return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -165,28 +168,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     """doc_id, fingerprint (hex) and component_id of every row of docs(doc_id, text).
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows each get a row. Null ids
-    link too but never name a component, unless all its ids are null (component_id is null then).
+    link too but never name a component, unless all its ids are null (component_id is null then). Other columns are
+    not read; an empty table has no rows.
     """
     fps, rooted = _grouped(docs, words, max_bits, long)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    labels = rooted.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, long: int = LONG) -> DataFrame:
-    """One row of docs for each component: that of the least id (nulls last, then of the least row key)."""
+    """One row of docs(doc_id, text, ...) for each component: that of the least id (nulls last, then of the least row key).
+
+    Of repeated rows one stays, if any. Null and wordless texts are one component. Other columns of any name pass as
+    they are; an empty table stays empty. What stays is found by aggregates alone, so no component meets in one task.
+    """
     fps, rooted = _grouped(docs, words, max_bits, long)
-    rows = fps.join(rooted.select("fp", "root"), "fp")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("best.row_key").alias("stays"))
-    shared = written(rows.join(best, "root").groupBy("row_key").agg(F.bool_or(F.col("row_key") == F.col("stays")).alias("stays"), F.count(F.lit(1)).alias("n")), "shared")
-    gone = shared.where("not stays").select(F.col("row_key").alias("__key"))
-    again = shared.where("stays and n > 1").select(F.col("row_key").alias("__key"))
-    key = F.xxhash64("doc_id", "text")
-    kept = docs.join(gone, key == F.col("__key"), "left_anti")
+    stays = written(rooted.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.row_key").alias("key")), "stays")
+    keys = fps.groupBy(F.col("row_key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    gone = written(keys.join(stays, "key", "left_anti").select("key"), "gone")
+    again = written(keys.where("n > 1").join(stays, "key", "left_semi").select("key"), "again")
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    kept = rows.join(gone, "key", "left_anti")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, key == F.col("__key")).dropDuplicates(["__key"]).select(*docs.columns)
-    return kept.join(again, key == F.col("__key"), "left_anti").unionByName(repeated)
+        return kept.select("row.*")
+    repeated = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(again, "key", "left_anti").unionByName(repeated).select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
