@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from impactspark.llm._shared import table, written
+from impactspark.llm._shared import row_key, table, written
 
 WINDOW = 10
 #: Document positions that meet the diagonals they are near to by one key.
@@ -55,10 +55,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, word) of all distinct words of items(item, text), terms from 1; (item, ipos, term, next, n_words)."""
+    """(term, word) of all distinct words of items(item, text), terms above 0; (item, ipos, term, next, n_words).
+
+    Null and wordless texts have no rows."""
     ws = F.filter(pieces(F.col("text")), lambda w: w != "")
     rows = items.select("item", ws.alias("ws")).where(F.size("ws") > 0).select("item", F.size("ws").alias("n_words"), F.posexplode("ws").alias("ipos", "word")).withColumn("word", folded(F.col("word")))
-    terms = written(rows.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).alias("term")), "terms")
+    terms = written(rows.select("word").distinct().select("word", (F.monotonically_increasing_id() + 1).alias("term")), "terms")
     line = Window.partitionBy("item").orderBy("ipos")
     numbered = rows.join(small(terms), "word").select("item", "ipos", "term", F.lead("term").over(line).alias("next"), "n_words")
     return terms, written(numbered, "item_words")
@@ -115,7 +117,8 @@ def rarest(postings: DataFrame, words: DataFrame, window: int, share: float) ->
 
 def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
     """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal that two of
-    them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once."""
+    them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once.
+    Documents and items without words are in no match; empty tables give no rows."""
     cell = lambda at: F.floor(at / (2 * slack + 1))
     key = lambda at: F.xxhash64("doc", "item", cell(at))
     # Keys that meet by chance, or in one cell but further apart, only have a diagonal counted that comes to nothing.
@@ -134,9 +137,9 @@ def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack
     return counted.where(F.col("n_near") >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_words")))).select("doc", "item", F.col("diag").alias("around"), "n_near")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows of one id and text are one document to the index; a null id is an id of its own."""
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit(""))).alias("doc"))
+def _keyed(docs: DataFrame, doc_id: Column) -> DataFrame:
+    """Each row is a document of its own, by its number; the postings are written in one go, so it stands for good."""
+    return docs.select(doc_id.alias("doc_id"), "text", F.monotonically_increasing_id().alias("doc"))
 
 
 def _listed(items: DataFrame) -> DataFrame:
@@ -148,11 +151,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     ``near`` also n_near_items, near_item_ids and n_near, the most words met of a phrase. Exact items are among the near.
 
     A null text has no words. Repeated rows each get a row. Items with a null id are named by the empty text; items
-    of one id and other texts are one item.
+    of one id and other texts are one item. Other columns are not read. Without documents there are no rows, without
+    items no hits.
     """
     listed = _listed(items)
     terms, words = item_words(listed.select("item", "text"))
-    postings = index(_keyed(docs), terms)
+    postings = index(_keyed(docs, F.col("doc_id")), terms)
     found = written(matches(postings, words, window), "matches")
     # Union of the ranges of a document by a running maximum of their ends, so that no hit word is a row.
     line = Window.partitionBy("doc").orderBy("begin", "until")
@@ -182,13 +186,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no phrase of an item occurs, whole or nearly; all columns as they are."""
+    """The rows of docs(doc_id, text, ...) in which no phrase of an item occurs, whole or nearly.
+
+    Null and wordless texts stay; repeated rows stay or go together; other columns of any name pass as they are.
+    Without items everything stays.
+    """
     terms, words = item_words(_listed(items).select("item", "text"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit("")))
-    postings = index(_keyed(docs), terms)
+    key = row_key(F.col("doc_id"), F.col("text"))
+    postings = index(_keyed(docs, key), terms)
     found = matches(postings, words, window).select("doc").unionByName(proximity(postings, words, window).select("doc"))
-    hit = written(found.select(F.col("doc").alias("__doc")).distinct(), "contaminated")
-    return docs.join(small(hit), key == F.col("__doc"), "left_anti")
+    hit = small(written(found.distinct(), "contaminated"))
+    gone = written(postings.where("term = 0").join(hit, "doc", "left_semi").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(small(gone), "key", "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
