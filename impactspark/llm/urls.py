@@ -9,16 +9,16 @@ the most specific decides (a path before a host, more labels or segments first).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from impactspark.llm._shared import table
+from impactspark.llm._shared import table, written
 
 #: Interval tables of at most so many rows are broadcast, after a count.
 BROADCAST_ROWS = 200_000
-#: Path prefixes asked for; a list may hold no deeper ones (refused by intervals()).
-MOST_SEGMENTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -32,14 +32,34 @@ def segments_of(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def patterns_of(url: Column) -> Column:
+@dataclass(frozen=True)
+class Shapes:
+    """What a list's patterns look like, so that captures ask for no others: fewest and most labels, most path segments."""
+
+    fewest: int
+    most: int
+    depth: int
+
+
+def shapes(valid: DataFrame) -> Shapes:
+    """Of the patterns of intervals(); one row comes to the driver. An empty list asks for nothing."""
+    host, slashes = F.substring_index("pattern", "/", 1), F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("/"), F.lit("")))
+    labels = F.size(F.split(host, "\\."))
+    bare = F.when(slashes == 0, labels)
+    row = valid.agg(F.min(bare), F.max(bare), F.max(slashes)).first()
+    return Shapes(row[0] or 1, row[1] or 0, row[2] or 0)
+
+
+def patterns_of(url: Column, of: Shapes) -> Column:
     """Patterns that could cover a URL: ``host``, each domain above it, and ``host/segment/...``; none without a host."""
     host, segments = host_of(url), segments_of(url)
-    labels = F.split(host, "\\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    depth = F.least(F.size(segments), F.lit(MOST_SEGMENTS))
-    paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
+    labels, none = F.split(host, "\\."), F.array().cast("array<string>")
+    n = F.size(labels)
+    first, last = F.greatest(F.lit(1), n - of.most + 1), n - of.fewest + 1
+    domains = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(none)
+    depth = F.least(F.size(segments), F.lit(of.depth))
+    paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))).otherwise(none)
+    return F.when(host == "", none).otherwise(F.array_distinct(F.concat(domains, paths)))
 
 
 def specificity(pattern: Column) -> Column:
@@ -53,11 +73,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until) of entries(pattern, action, effective); until is null where open.
 
     Entries without a pattern or time are dropped; of several at one time for one pattern, 'block' wins; other
-    actions than block and allow are refused, as are patterns deeper than MOST_SEGMENTS.
+    actions than block and allow are refused. Patterns are of any depth. An empty list has no intervals.
     """
-    deep = F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("/"), F.lit(""))) > MOST_SEGMENTS
-    bad = F.raise_error(F.concat(F.lit("unknown action or too deep: "), F.col("pattern"))).cast("string")
-    clean = entries.where("pattern is not null and effective is not null").select(F.lower(F.col("pattern")).alias("pattern"), "effective", F.when(F.col("action").isin("block", "allow") & ~deep, F.col("action")).otherwise(bad).alias("action"))
+    bad = F.raise_error(F.concat(F.lit("unknown action of "), F.col("pattern"))).cast("string")
+    clean = entries.where("pattern is not null and effective is not null").select(F.lower(F.col("pattern")).alias("pattern"), "effective", F.when(F.col("action").isin("block", "allow"), F.col("action")).otherwise(bad).alias("action"))
     one = clean.groupBy("pattern", "effective").agg(F.max("action").alias("action"))
     line = Window.partitionBy("pattern").orderBy("effective")
     return one.select("pattern", "action", F.col("effective").alias("since"), F.lead("effective").over(line).alias("until"))
@@ -66,18 +85,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with verdict ('block', 'allow' or 'none'), pattern and since of the entry that decides.
 
-    Paths are compared as written, hosts folded. A null or hostless URL and a null time have no entry. Repeated
-    captures are judged alike. Columns of captures that bear one of the new names are replaced.
+    Paths are compared case aside, as hosts are. A null or hostless URL and a null time have no entry. Repeated
+    captures are judged alike, each in its own row. Columns of captures that bear one of the new names are replaced,
+    all others, whatever their names, pass as they are. Without entries every verdict is 'none'.
     """
     kept = [c for c in captures.columns if c not in ("verdict", "pattern", "since")]
-    asked = captures.select(F.col(url).alias("u"), F.col(fetched).alias("f")).where("u is not null and f is not null").distinct()
-    keyed = asked.withColumn("key", F.explode(patterns_of(F.col("u")))).withColumn("pattern", F.lower("key"))
-    valid = intervals(entries)
+    rows = captures.select(F.struct("*").alias("row"), F.col(url).alias("u"), F.col(fetched).alias("f"))
+    asked = rows.where("u is not null and f is not null").select("u", "f").distinct()
+    valid = written(intervals(entries), "intervals")
+    keyed = asked.withColumn("key", F.explode(patterns_of(F.col("u"), shapes(valid)))).withColumn("pattern", F.lower("key"))
     valid = F.broadcast(valid) if valid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else valid
     active = keyed.join(valid, "pattern").where("since <= f and (until is null or f < until)")
     best = active.groupBy("u", "f").agg(F.max(F.struct(specificity(F.col("pattern")).alias("rank"), "pattern", "action", "since")).alias("best"))
-    joined = captures.select(*kept).join(best, (F.col(url) == F.col("u")) & (F.col(fetched) == F.col("f")), "left")
-    return joined.select(*kept, F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
+    joined = rows.join(best, ["u", "f"], "left")
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in kept), F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
 
 
 def _digit(text: Column, at: int) -> Column:
