@@ -74,16 +74,32 @@ def _unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return ((words[word] >> off) | high) & U((1 << width) - 1)
 
 
+def _byte_places() -> np.ndarray:
+    """The place of the k-th set bit of each byte."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    out = np.zeros((256, 8), np.uint8)
+    byte, place = np.nonzero(bits)
+    out[byte, (np.cumsum(bits, axis=1) - 1)[byte, place]] = place
+    return out.ravel()
+
+
+_PLACES, _ONES, _HIGH = _byte_places(), U(0x0101010101010101), U(0x8080808080808080)
+
+
 def _select(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th set bit of each word."""
-    x, k, at = x.copy(), k.astype(np.int64), np.zeros(len(x), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(x & U((1 << half) - 1)).astype(np.int64)
-        right = k >= low
-        k -= np.where(right, low, 0)
-        at += np.where(right, half, 0)
-        x = np.where(right, x >> U(half), x)
-    return at
+    """The place of the k-th set bit of each word, which has so many: sums by byte, then a table."""
+    k = k.astype(U)
+    sums = x - ((x >> U(1)) & U(0x5555555555555555))
+    sums = (sums & U(0x3333333333333333)) + ((sums >> U(2)) & U(0x3333333333333333))
+    sums = ((sums + (sums >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    at = np.bitwise_count(((k * _ONES | _HIGH) - sums) & _HIGH).astype(U) << U(3)
+    rank = k - (((sums << U(8)) >> at) & U(255))
+    return at.astype(np.int64) + _PLACES[((((x >> at) & U(255)) << U(3)) | rank).astype(np.int64)]
+
+
+def _ones_below(x: np.ndarray) -> np.ndarray:
+    """How many ones each word has before its lowest zero."""
+    return np.bitwise_count(x & ~(x + U(1))).astype(np.int64)
 
 
 class EliasFano:
@@ -109,25 +125,54 @@ class EliasFano:
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.ones, self.zeros]
 
-    def access(self, i: np.ndarray) -> np.ndarray:
-        """The i-th values."""
+    def _one(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words and places of the i-th ones."""
         word = np.searchsorted(self.ones, i, side="right") - 1
-        at = word * 64 + _select(self.high[word], i - self.ones[word])
+        return word, word * 64 + _select(self.high[word], i - self.ones[word])
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
         return ((at - i).astype(U) << U(self.width)) | _unpack(self.low, i, self.width)
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values; quickest in order."""
+        return self._value(i, self._one(i)[1])
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those after them; the next one is mostly in the same word."""
+        word, at = self._one(i)
+        off = (at & 63).astype(U)
+        rest = (self.high[word] >> off) >> U(1)
+        following = at + 1 + np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        following[far] = self._one(i[far] + 1)[1]
+        return self._value(i, at), self._value(i + 1, following)
+
     def _upto(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have high bits of at most the bucket's."""
         word = np.searchsorted(self.zeros, bucket, side="right") - 1
         return word * 64 + _select(~self.high[word], bucket - self.zeros[word]) - bucket
 
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of the values of each bucket: behind the zero before it as many as there are ones."""
+        begin = np.zeros(len(bucket), np.int64)
+        some = np.flatnonzero(bucket > 0)
+        begin[some] = self._upto(bucket[some] - 1)
+        at = begin + bucket
+        word, off = at >> 6, (at & 63).astype(U)
+        run = _ones_below(self.high[word] >> off)
+        end = begin + run
+        far = np.flatnonzero(run + off.astype(np.int64) >= 64)  # the run goes on in the next word
+        end[far] = self._upto(bucket[far])
+        return begin, end
+
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first value of at least x (n if there is none), and whether it is x."""
         bucket = (x >> U(self.width)).astype(np.int64)
         last = len(self.zeros) * 64 - int(self.ones[-1]) - int(np.bitwise_count(self.high[-1])) - 1
         beyond = bucket >= last
         bucket = np.minimum(bucket, last - 1)
-        end = self._upto(bucket)
-        lo, hi = np.where(bucket > 0, self._upto(np.maximum(bucket - 1, 0)), 0), end.copy()
+        lo, end = self._bucket(bucket)
+        hi = end.copy()
         want = x & U((1 << self.width) - 1)
         # Halving within the bucket.
         while len(open_ := np.flatnonzero(lo < hi)):
@@ -281,45 +326,64 @@ class Level:
     #: Contexts that occur more often are spread over the shards.
     hot: int
 
-    def find(self, contexts: np.ndarray, often: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number and code of the grams (contexts[which], word); -1 where there is none. often: the contexts' counts."""
-        number, code = np.full(len(which), -1, np.int64), np.full(len(which), -1, np.int64)
-        known = np.flatnonzero((contexts[which] >= 0) & (words >= 0))
-        shard = _dealt(contexts, often, which[known], words[known], self.hot, len(self.paths))
-        order = np.argsort(shard * len(contexts) + which[known], kind="stable")
-        known, shard = known[order], shard[order]
+    def find(self, g: Grams, above: Known, words: Known) -> tuple[Known, np.ndarray]:
+        """The grams' numbers, counts left out, and codes; -1 where there is none."""
+        number, code = np.full(len(g.word), -1, np.int64), np.full(len(g.word), -1, np.int64)
+        known, shard = arranged(g, above, words, self.hot, len(self.paths))
+        contexts, rank = above.number, np.zeros(len(g.word), np.int64)
+        rank[known] = np.arange(len(known))
         for s, a, b in _runs(shard):
             if not self.paths[s]:
                 continue
             head, arrays = _load(self.folder, self.paths[s])
-            above, pointers, successors = (_sequence(head[k], arrays[4 * i : 4 * i + 4]) for i, k in enumerate(("contexts", "pointers", "successors")))
+            held_contexts, pointers, successors = (_sequence(head[k], arrays[4 * i : 4 * i + 4]) for i, k in enumerate(("contexts", "pointers", "successors")))
             mine = known[a:b]
-            new = np.concatenate(([True], which[mine[1:]] != which[mine[:-1]]))
-            at = above.find(contexts[which[mine[new]]].astype(U))
-            there = np.maximum(at, 0)
-            begin, end = pointers.access(there).astype(np.int64), pointers.access(there + 1).astype(np.int64)
-            base = np.where(begin > 0, successors.access(np.maximum(begin - 1, 0)), U(0))
-            own = np.cumsum(new) - 1
-            held = at[own] >= 0
-            mine, own = mine[held], own[held]
-            found = successors.find(base[own] + words[mine].astype(U))
-            good = (found >= begin[own]) & (found < end[own])
+            which = g.context[mine]
+            new = np.concatenate(([True], which[1:] != which[:-1]))
+            at = held_contexts.find(contexts[which[new]].astype(U))
+            held = np.flatnonzero(at >= 0)
+            begin, end = (x.astype(np.int64) for x in pointers.pair(at[held]))
+            base = np.zeros(len(held), U)
+            later = np.flatnonzero(begin > 0)
+            base[later] = successors.access(begin[later] - 1)
+            place = np.full(len(at), -1)
+            place[held] = np.arange(len(held))
+            own = place[np.cumsum(new) - 1]
+            mine, own = mine[own >= 0], own[own >= 0]
+            found = successors.find(base[own] + words.number[g.word[mine]].astype(U))
+            good = np.flatnonzero((found >= begin[own]) & (found < end[own]))
             number[mine[good]] = found[good] + self.firsts[s]
             code[mine[good]] = arrays[12][found[good]]
-        return number, code
+        return Known(number, rank), code
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts by number; zero for none."""
         return _counts(self.folder, self.paths, self.firsts, numbers, 13)
 
 
-def _dealt(contexts: np.ndarray, often: np.ndarray, which: np.ndarray, words: np.ndarray, hot: int, shards: int) -> np.ndarray:
-    """The shard of each gram: its context's, or its own if the context is hot."""
-    by_context = mix(contexts.astype(U) ^ U(0x5851F42D4C957F2D))
-    h = by_context[which]
-    spread = np.flatnonzero(often[which] > hot)
-    h[spread] = mix(h[spread] ^ mix(words[spread].astype(U)))
-    return _shard(h, shards)
+@dataclass
+class Known:
+    """Numbers of some words or grams (-1 for unknown ones), their ranks by number among the known, and their counts."""
+
+    number: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray | None = None
+
+
+def arranged(g: Grams, above: Known, words: Known, hot: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of known words and contexts by shard, context and word, and their shards: a context's, or the gram's own
+    if its context is hot. So they are in the order of their numbers, if they have any."""
+    known = np.flatnonzero((above.number >= 0)[g.context] & (words.number >= 0)[g.word])
+    which, word = g.context[known], g.word[known]
+    h = mix(above.number.astype(U) ^ U(0x5851F42D4C957F2D))[which]
+    spread = np.flatnonzero((above.count > hot)[which])
+    h[spread] = mix(h[spread] ^ mix(words.number[word[spread]].astype(U)))
+    shard = _shard(h, shards)
+    if shards * len(above.number) * len(words.number) < 1 << 62:
+        order = np.argsort((shard * len(above.number) + above.rank[which]) * len(words.number) + words.rank[word])
+    else:
+        order = np.lexsort((words.rank[word], above.rank[which], shard))
+    return known[order], shard[order]
 
 
 @dataclass
@@ -337,25 +401,28 @@ class Trie:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Byte planes apart; those of zeros compress to nothing."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Byte planes apart, as many as the greatest value needs, behind their number."""
+    n = max(1, -(-int(values.max()).bit_length() // 8))
+    return bytes([n]) + values.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
-def _packed(shard: np.ndarray, upper: np.ndarray, lower: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    """Keys (upper, lower) and their counts, sorted and compressed by shard; the upper parts go by gaps."""
-    order = np.lexsort((lower, upper, shard))
+def _packed(shard: np.ndarray, upper: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Keys (upper, lower) and their counts, in order by shard and key, compressed; the upper parts go by gaps."""
     squeeze = zstandard.ZstdCompressor(level=1)
-    for s, a, b in _runs(shard[order]):
-        mine = order[a:b]
-        parts = (np.diff(upper[mine].astype(U), prepend=U(0)), lower[mine].astype(U), counts[mine].astype(U))
-        yield s, len(mine).to_bytes(8, "little") + squeeze.compress(b"".join(map(_planes, parts)))
+    for s, a, b in _runs(shard):
+        parts = (np.diff(upper[a:b].astype(U), prepend=U(0)), lower[a:b].astype(U), counts[a:b].astype(U))
+        yield s, (b - a).to_bytes(8, "little") + squeeze.compress(b"".join(map(_planes, parts)))
 
 
 def _opened(raw: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=24 * n), np.uint8).reshape(3, 8, n)
-    upper, lower, counts = (np.ascontiguousarray(p.T).view(U).ravel() for p in planes)
-    return [np.cumsum(upper, dtype=U), lower, counts.astype(np.int64)]
+    data, at, out = zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=24 * n + 3), 0, []
+    for _ in range(3):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, : data[at]] = np.frombuffer(data, np.uint8, n * data[at], at + 1).reshape(data[at], n).T
+        out.append(wide.view(U).ravel())
+        at += 1 + n * data[at]
+    return [np.cumsum(out[0], dtype=U), out[1], out[2].astype(np.int64)]
 
 
 def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,18 +480,20 @@ def grams(t: Tokens, before: np.ndarray) -> Grams:
     return Grams(code, context, word)
 
 
-def descend(t: Tokens, model: Trie, orders: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray, np.ndarray]]:
-    """For orders 2 and up: the grams, the numbers and counts of their possible contexts, and the words' numbers."""
-    words = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
-    contexts, often = words, model.vocabulary.counts(words)
+def descend(t: Tokens, model: Trie, orders: int) -> Iterator[tuple[Grams, Known, Known]]:
+    """For orders 2 and up: the grams, their possible contexts and the words."""
+    number = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
+    rank = np.empty(len(number), np.int64)
+    rank[np.argsort(number)] = np.arange(len(number))
+    words = above = Known(number, rank, model.vocabulary.counts(number))
     before = t.shifted(t.current, t.n)
     for order in range(2, orders + 1):
         g = grams(t, before)
-        yield g, contexts, often, words
+        yield g, above, words
         if order < orders:
             level = model.levels[order - 2]
-            contexts, _ = level.find(contexts, often, g.context, words[g.word])
-            often = level.counts(contexts)
+            above, _ = level.find(g, above, words)
+            above.count = level.counts(above.number)
             before = t.shifted(g.code, -1)
 
 
@@ -491,7 +560,9 @@ def vocabulary(texts: DataFrame, folder: str, shards: int) -> Vocabulary:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
                 n = np.bincount(t.current, minlength=t.n + 2)[: t.n]
-                yield _rows(list(_packed(_shard(t.digest[:, 0], shards), t.digest[:, 0], t.digest[:, 1] >> U(32), n, shards)), len(t.per_doc), len(t.current))
+                order = np.lexsort((t.digest[:, 1], t.digest[:, 0]))
+                hashes, checks = t.digest[order, 0], t.digest[order, 1] >> U(32)
+                yield _rows(list(_packed(_shard(hashes, shards), hashes, checks, n[order])), len(t.per_doc), len(t.current))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n_texts, n_tokens = _gather(batches)
@@ -518,10 +589,10 @@ def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                *_, (g, contexts, often, words) = descend(t, model, order)
-                word = words[g.word]
-                shard = _dealt(contexts, often, g.context, word, hot, shards)
-                yield _rows(list(_packed(shard, contexts[g.context], word, np.bincount(g.code[g.code >= 0], minlength=len(word)), shards)))
+                *_, (g, above, words) = descend(t, model, order)
+                mine, shard = arranged(g, above, words, hot, shards)
+                n = np.bincount(g.code[g.code >= 0], minlength=len(g.word))
+                yield _rows(list(_packed(shard, above.number[g.context[mine]], words.number[g.word[mine]], n[mine])))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = _gather(batches)[0], []
@@ -557,15 +628,15 @@ def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
     out = [[], [], [], []]
     for _, t in _groups(column):
         p = None
-        for order, (g, contexts, often, words) in enumerate(descend(t, model, len(model.levels) + 1), 2):
+        for order, (g, above, words) in enumerate(descend(t, model, len(model.levels) + 1), 2):
             if p is None:
-                counts = often
+                counts = words.count
                 unigram = model.vocabulary.log_unigram(counts)
                 p = (10.0**unigram)[t.current]
             mu = model.weight(order)
-            _, code = model.levels[order - 2].find(contexts, often, g.context, words[g.word])
+            _, code = model.levels[order - 2].find(g, above, words)
             share = np.where(code >= 0, 10.0 ** (code * (-FLOOR / CODES)), 0.0)
-            rest = mu / (often[g.context] + mu)
+            rest = mu / (above.count[g.context] + mu)
             has = np.flatnonzero(g.code >= 0)
             p[has] = share[g.code[has]] + rest[g.code[has]] * p[has]
         out[0].append(t.per_doc + 1)
