@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 
 def fletcher(data: bytes) -> int:
@@ -23,24 +24,35 @@ def fletcher16(text: pd.Series) -> pd.Series:
 
 
 def permutation(seed: int = 1990) -> np.ndarray:
-    """A fixed permutation of the bytes for Pearson's hash."""
+    """A fixed permutation of the bytes for Pearson's hash; any other may be given to pearson()."""
     return np.random.default_rng(seed).permutation(256).astype(np.uint8)
 
 
-_TABLE = permutation().tolist()
+TABLE = permutation().tolist()
 
 
-def pearson(data: bytes, width: int = 8) -> int:
+def pearson(data: bytes, width: int = 8, table: list[int] | None = None) -> int:
     """Pearson's hash of 8, 16, 24 or 32 bits: each further byte of it begins from another first byte."""
-    out = 0
+    t, out = TABLE if table is None else table, 0
     for turn in range(width // 8):
-        h = _TABLE[((data[0] if data else 0) + turn) & 255]
+        h = t[((data[0] if data else 0) + turn) & 255]
         for c in data[1:]:
-            h = _TABLE[h ^ c]
+            h = t[h ^ c]
         out |= h << (8 * turn)
     return out
 
 
-@pandas_udf(IntegerType())
-def pearson16(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else pearson(t.encode(), 16))
+def pearson_hash(text: Column, width: int = 16, table: list[int] | None = None) -> Column:
+    """pearson() of a column, long; values of one text are the same whatever the batch, so each is hashed once."""
+
+    @pandas_udf(LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(texts)
+        found = np.array([pearson(v.encode() if isinstance(v, str) else bytes(v), width, table) for v in values] or [0], np.int64)
+        return pd.Series(np.where(codes < 0, 0, found[np.maximum(codes, 0)])).mask(pd.Series(codes < 0))
+
+    return run(text)
+
+
+def pearson16(text: Column) -> Column:
+    return pearson_hash(text, 16).cast("int")

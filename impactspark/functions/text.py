@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: Runs of letters or of numbers; full adds other alphabetic code points (marks that carry letters).
-PLAIN, FULL = "\\p{L}+|\\p{N}+", "\\p{IsAlphabetic}+|\\p{N}+"
+#: Runs of letters or of numbers.
+PLAIN = "\\p{L}+|\\p{N}+"
 #: Comments, CDATA, processing instructions, definitions and tags; a quoted > does not end a tag.
 MARKUP = "<!--(?s:.*?)-->|<!\\[(?s:.*?)\\]\\]?>|<\\?(?s:.*?)\\?>|<![A-Z](?s:[^>]*)>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 MAX_TOKEN_BYTES = 1024
@@ -30,49 +31,51 @@ def tokens(text: Column, pattern: str = PLAIN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-@lru_cache(1 << 16)
-def fold_char(c: str) -> str:
-    """Compatibility decomposition, without what is neither letter nor number, case-folded."""
-    return "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x)[0] in "LN").casefold()
+def cut(term: Column) -> Column:
+    """At most MAX_TOKEN_BYTES bytes, whole characters."""
+    raw = F.substring(F.encode(term, "utf-8"), 1, MAX_TOKEN_BYTES).cast("string")
+    return F.when(F.octet_length(term) <= MAX_TOKEN_BYTES, term).otherwise(F.rtrim(F.make_valid_utf8(raw), F.lit("\ufffd")))
 
 
-def fold(text: str) -> str:
-    return text.lower() if text.isascii() and text.isalnum() else "".join(map(fold_char, text))
+_WANTED = regex.compile(r"[\p{Alphabetic}\p{N}]")
 
 
-def is_alpha(c: str) -> bool:
-    """Alphabetic: letters, letter numbers and the marks that stand with letters."""
-    return c.isalpha() or unicodedata.category(c) == "Nl"
+@lru_cache(1 << 16)
+def fold_char(c: str) -> str:
+    """Compatibility decomposition, without what is neither alphabetic nor a number, case-folded."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if _WANTED.match(x)).casefold()
 
 
-def is_digit(c: str) -> bool:
-    return unicodedata.category(c) in ("Nd", "Nl", "No")
+def fold(text: str) -> str:
+    return text.lower() if text.isascii() and text.isalnum() else "".join(map(fold_char, text))
 
 
-_TAG = re.compile(MARKUP.replace("(?s:", "(?s:"))
+#: The kinds of tokens, found in this order at each place: markup, runs of alphabetic code points (letters, letter
+#: numbers and the marks that stand with letters), runs of numbers, anything else but white space.
+_TOKENS = regex.compile(f"(?P<markup>{MARKUP})|(?P<alpha>\\p{{Alphabetic}}+)|(?P<numeric>\\p{{N}}+)|(?P<other>\\S)")
+_RUNS = regex.compile(r"\p{Alphabetic}+|\p{N}+")
+_ASCII_RUNS = re.compile("[A-Za-z]+|[0-9]+")
 
 
 def segment(text: str) -> Iterator[tuple[str, str]]:
     """(type, lexeme) of each token: alpha and numeric runs found on the raw code points and folded afterwards, markup
     by its kind, all else one character as 'other'; white space between tokens is skipped."""
-    at, n = 0, len(text)
-    while at < n:
-        c = text[at]
-        if c.isspace():
-            at += 1
-        elif c == "<" and (m := _TAG.match(text, at)):
+    for m in _TOKENS.finditer(text):
+        kind = m.lastgroup
+        if kind == "markup":
             yield _markup_kind(m[0]), m[0]
-            at = m.end()
-        elif is_alpha(c) or is_digit(c):
-            kind, member = ("alpha", is_alpha) if is_alpha(c) else ("numeric", is_digit)
-            end = at + 1
-            while end < n and member(text[end]):
-                end += 1
-            yield kind, _cut(fold(text[at:end]))
-            at = end
         else:
-            yield "other", c
-            at += 1
+            yield kind, m[0] if kind == "other" else _cut(fold(m[0]))
+
+
+def folded_runs(text: str) -> list[str]:
+    """The runs of letters and of numbers, folded; plain ASCII takes the quick way."""
+    if text.isascii():
+        return [w[:MAX_TOKEN_BYTES] for w in _ASCII_RUNS.findall(text.lower())]
+    return [w for w in (_cut(fold(r)) for r in _RUNS.findall(text)) if w]
+
+
+_TAG = re.compile(MARKUP)
 
 
 def _cut(word: str) -> str:
@@ -90,7 +93,7 @@ def _markup_kind(tag: str) -> str:
 
 def indexed(text: str) -> list[str]:
     """The tokens an index takes: alpha and numeric."""
-    return [w for kind, w in segment(text) if kind in ("alpha", "numeric") and w]
+    return folded_runs(_TAG.sub(" ", text) if "<" in text else text)
 
 
 @pandas_udf(ArrayType(StringType()))
@@ -112,19 +115,13 @@ def folded(text: pd.Series) -> pd.Series:
 
 def query_tokens(text: str) -> list[str]:
     """Query words: no markup, runs as in documents."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        c = text[at]
-        if is_alpha(c) or is_digit(c):
-            member = is_alpha if is_alpha(c) else is_digit
-            end = at + 1
-            while end < n and member(text[end]):
-                end += 1
-            out.append(_cut(fold(text[at:end])))
-            at = end
-        else:
-            at += 1
-    return out
+    return folded_runs(text)
+
+
+@pandas_udf(ArrayType(StringType()))
+def full_query_tokens(text: pd.Series) -> pd.Series:
+    """query_tokens() over a column, for indexes with full folding."""
+    return text.map(lambda t: query_tokens(t) if t is not None else [])
 
 
 def raw_query_tokens(text: Column) -> Column:
@@ -211,14 +208,20 @@ def porter(word: str) -> str:
     return word
 
 
-@pandas_udf(StringType())
-def stemmed(word: pd.Series) -> pd.Series:
-    """Apply to distinct terms and join back."""
-    return word.map(lambda w: None if w is None else porter(w) if w.isascii() and w.isalpha() else w)
+#: Stemmers by name: of one lower-case word.
+STEMMERS: dict[str, Callable[[str], str]] = {"none": lambda w: w, "porter": porter}
+
 
+def stemmed(word: str | Column, stemmer: str = "porter") -> Column:
+    """Stems of a column of words; apply to distinct terms and join back. Words of other than ASCII letters stay."""
+    stem = STEMMERS[stemmer]
+
+    @pandas_udf(StringType())
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else stem(w) if w.isascii() and w.isalpha() else w)
+
+    return run(word)
 
-#: Stemmers by name.
-STEMMERS = {"none": lambda w: w, "porter": porter}
 
 #: Character classes as patterns for rlike on one character.
 CLASSES = {
@@ -226,8 +229,34 @@ CLASSES = {
     "punct": "\\p{P}", "space": "\\s", "uspace": "[\\p{Z}\\s]", "mark": "\\p{M}", "symbol": "\\p{S}", "xdigit": "[0-9A-Fa-f]", "graph": "[^\\p{Z}\\p{C}\\s]",
     "xml_name_start": "[:_\\p{IsAlphabetic}]", "xml_name": "[:_.\\-\\p{IsAlphabetic}\\p{N}\\p{M}]",
     "ascii_vowel": "[aeiouAEIOU]", "ascii_vowel_y": "[aeiouyAEIOUY]", "dna_base": "[acgtACGT]", "ascii_alpha": "[A-Za-z]", "ascii_digit": "[0-9]", "ascii_alnum": "[A-Za-z0-9]",
+    "ascii_upper": "[A-Z]", "ascii_lower": "[a-z]", "ascii_space": "[ \\t-\\r]", "ascii_punct": "[!-/:-@\\[-`{-~]", "ascii_cntrl": "[\\x00-\\x1F\\x7F]", "ascii_graph": "[!-~]", "ascii_print": "[ -~]",
 }
 
 
 def is_class(character: Column, name: str) -> Column:
     return F.regexp_like(character, F.lit(f"^(?:{CLASSES[name]})$"))
+
+
+# -- UTF-8 --------------------------------------------------------------------------------------------------------
+
+
+def utf8_bytes(codepoint: Column) -> Column:
+    """How many bytes a code point takes; 0 beyond U+10FFFF."""
+    return F.when(codepoint < 0x80, 1).when(codepoint < 0x800, 2).when(codepoint < 0x10000, 3).when(codepoint <= 0x10FFFF, 4).otherwise(0)
+
+
+def is_utf8(data: Column) -> Column:
+    """Whether bytes are well-formed text."""
+    return F.is_valid_utf8(data.cast("string"))
+
+
+def to_codepoints(text: Column) -> Column:
+    """The code points of a text, from its UTF-32 bytes."""
+    raw = F.encode(text, "utf-32")
+    at = F.sequence(F.lit(1), F.octet_length(raw), F.lit(4))
+    return F.when(F.octet_length(raw) > 0, F.transform(at, lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(4))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def from_codepoints(codepoints: Column) -> Column:
+    """The text of an array of code points."""
+    return F.decode(F.unhex(F.array_join(F.transform(codepoints, lambda c: F.lpad(F.hex(c), 8, "0")), "")), "utf-32")

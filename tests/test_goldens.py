@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from impactspark.functions import bits, checksums, codecs
+from impactspark.functions import bits, checksums, codecs, text
 from impactspark.functions.text import fold, indexed, kmers, porter, query_id, query_text, query_tokens, segment
 from impactspark.operators import evaluation, index, search, statistics
 
@@ -28,7 +28,7 @@ def test_segments_before_folding():
     assert [w for _, w in segment(text)] == ["abc", "123", "αβγ", "123", "aβc", "123", "αbγ", "123", "ab", "℃", "123", "αβγ", "123"]
 
 
-@pytest.mark.parametrize("text, want", [("Example", ["example"]), ("Example QUERY", ["example", "query"]), ("À", ["a"]), ("我", ["我"]), ("𩸽", ["𩸽"]), ("12345", ["12345"]), ("", [])])
+@pytest.mark.parametrize("text, want", [("Example", ["example"]), ("Example QUERY", ["example", "query"]), ("À", ["a"]), ("我", ["我"]), ("𩸽", ["𩸽"]), ("12345", ["12345"]), ("", []), ("½", ["12"]), ("हिन्दी", ["हिन", "दी"]), ("x" * 2000, ["x" * 1024]), ("é" * 600 + "我" * 400, ["e" * 600 + "我" * 141])])
 def test_query_words(text, want):
     assert query_tokens(text) == want
 
@@ -168,6 +168,34 @@ def test_bm25_golden(spark):
     assert row.s == pytest.approx(1.635, abs=2e-3)
 
 
+def test_t_tests(spark):
+    rows = [(r, f"q{i}", m) for r, values in {"a": (0.1, 0.5, 0.3, 0.9), "b": (0.2, 0.4, 0.6, 0.3), "c": (0.2, 0.6, 0.4, 1.0), "d": (0.1, 0.5, 0.3, 0.9)}.items() for i, m in enumerate(values)]
+    per = spark.createDataFrame(rows, "run_id string, query_id string, ap double").withColumn("rr", F.round(F.col("ap") * 8))
+    found = {(r.measure, r.run_a, r.run_b): r for r in statistics.t_test_matrices(per, ["ap", "rr"]).collect()}
+    assert found["ap", "a", "d"].p == 1.0 and found["ap", "a", "d"].t is None
+    assert found["ap", "a", "c"].p == pytest.approx(0, abs=1e-9) and found["ap", "a", "b"].p == pytest.approx(statistics.t_test([0.1, 0.5, 0.3, 0.9], [0.2, 0.4, 0.6, 0.3], 1))
+    assert statistics.p_value(4, 0.5, 0.0) == 0.0 and statistics.t_test([2, 3, 4], [1, 2, 3]) == 0.0
+    assert statistics.t_test_matrix(per, "ap", 2).where("run_a = 'a' and run_b = 'b'").first().p == pytest.approx(2 * found["ap", "a", "b"].p)
+
+
+def test_long_tokens_are_cut(spark):
+    df = spark.createDataFrame([(1, "é" * 600 + " " + "x" * 1024 + " " + "我" * 342)], "doc_id long, text string")
+    assert sorted((len(r.term), len(r.term.encode())) for r in index.token_rows(df).collect()) == [(341, 1023), (512, 1024), (1024, 1024)]
+    assert sorted(len(r.term.encode()) for r in index.token_rows(df, "full").collect()) == [600, 1023, 1024]
+
+
+def test_median_sketch(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("length"), F.col("id").cast("double").alias("value"))
+    both = [{r.length: r.median for r in statistics.by_length(rows, exact).collect()} for exact in (True, False)]
+    assert all(abs(both[0][k] - both[1][k]) <= 3 for k in both[0])
+
+
+def test_utf8(spark):
+    row = spark.createDataFrame([("aé我𩸽", [97, 233, 25105, 171581], bytearray(b"\xff"))], "t string, c array<int>, b binary")
+    got = row.select(text.to_codepoints(F.col("t")), text.from_codepoints(F.col("c")), text.is_utf8(F.col("b")), text.is_utf8(F.encode("t", "utf-8")), F.transform("c", text.utf8_bytes)).first()
+    assert tuple(got) == ([97, 233, 25105, 171581], "aé我𩸽", False, True, [1, 2, 3, 4])
+
+
 def test_gaps():
     v = np.array([4, 5, 7, 9, 12])
     assert codecs.gaps(v).tolist() == [4, 1, 2, 2, 3] and codecs.gaps(v, 2).tolist() == [4, 5, 3, 4, 5]
@@ -182,8 +210,36 @@ def test_codecs(name):
     assert all(np.array_equal(back(there(v), len(v)), v) for v in lists)
 
 
+def test_codecs_of_rising_values():
+    rng = np.random.default_rng(6)
+    for there, back in codecs.RISING.values():
+        for n in (0, 1, 3, 4, 500):
+            v = np.cumsum(rng.integers(1, 90, n))
+            assert np.array_equal(back(there(v), n), v)
+
+
+def test_codecs_do_what_they_are_named_for():
+    """Bytes by hand, and no codec under two names but the published twins."""
+    assert codecs.lyck_encode(np.array([1, 2, 3, 0, 1, 2, 3, 0, 9, 10, 11, 12, 200, 3, 60000])) == bytes([0, 0b01101100, 0b01101100][:1]) + (0b0110110001101100).to_bytes(2, "little") + bytes([1]) + (0x9ABC).to_bytes(2, "little") + bytes([2]) + ((200 << 8) | 3).to_bytes(2, "little") + bytes([3]) + (60000).to_bytes(2, "little")
+    gamma, delta = codecs.CODECS["elias_gamma_bitwise"][0], codecs.CODECS["elias_delta_bitwise"][0]
+    assert gamma(np.array([0, 1, 4])) == bytes([0b10100010, 0b10000000]) and delta(np.array([0, 1, 16])) == bytes([0b10100001, 0b01000100])
+    relative = codecs.Relative(32, (1, 2, 3, 4, 5, 6, 7, 10, 15, 30))
+    assert relative.encode(np.ones(30, np.int64)) == (((1 << 30) - 1) << 2).to_bytes(4, "little")
+    assert relative.encode(np.array([1 << 29])) == (1 << 31 | 3).to_bytes(4, "little")
+    # Nine bits left behind three sevens: the next word's selector is there and its fields take all 32 bits.
+    carried = codecs.Relative(32, (1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 16, 28), True)
+    words = carried.encode(np.array([1 << 27, 1 << 27]))
+    assert len(words) == 8 and int.from_bytes(words[:4], "little") == (1 << 29 | 3 | 3 << 30) and int.from_bytes(words[4:], "little") == 1 << 27
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 40, 500)
+    sizes = {n: there(v) for n, (there, _) in codecs.CODECS.items()}
+    assert len({sizes[n] for n in ("simple_9", "relative_10", "carryover_12", "carry_8b", "simple_8b", "lyck_16", "bitpack_32", "qmx", "qmx_improved")}) == 9
+    assert len(sizes["carryover_12"]) <= len(sizes["simple_9"]) and len(sizes["qmx_improved"]) < len(sizes["qmx"])
+
+
 def test_checksums():
     assert [checksums.fletcher(x) for x in (b"", b"a", b"z")] == [0, 0x6161, 0x7A7A]
+    assert checksums.pearson(b"abc", 8, list(range(256))) == ord("a") ^ ord("b") ^ ord("c")
     assert checksums.pearson(b"abc", 32) >> 16 != checksums.pearson(b"abc", 32) & 0xFFFF and sorted(checksums.permutation().tolist()) == list(range(256))
 
 
