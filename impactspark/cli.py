@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from impactspark import sinks
 from impactspark.engine import Engine
-from impactspark.operators import evaluation, index, statistics
+from impactspark.operators import evaluation, index, search, statistics
+from impactspark.plans import store
 from impactspark.sources import ciff, documents, tables
 
 
@@ -23,11 +25,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=[*documents.READERS, "sparse", "ciff"], default="trec")
     p.add_argument("--stem", action="store_true")
     p.add_argument("--full", action="store_true", help="fold all of Unicode")
+    p.add_argument("--about", help="keep only the terms of this query file")
     p.add_argument("--passthrough", action="store_true", help="frequencies are impacts")
     p = sub.add_parser("search", help="run queries")
     p.add_argument("index")
-    p.add_argument("queries")
-    p.add_argument("out")
+    p.add_argument("queries", help="a query file, - for standard input")
+    p.add_argument("out", help="a folder, - for standard output")
+    p.add_argument("--statistics", help="write each query's postings and time here")
+    p.add_argument("--minimum", type=int, default=0, help="postings read before known scores may end a query")
     p.add_argument("-k", type=int, default=10)
     p.add_argument("--topics", help="read topics, with these of the fields t d n q")
     p.add_argument("--postings", type=int)
@@ -42,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--t-test", action="store_true")
     p.add_argument("--spearman", action="store_true")
     p.add_argument("--per-query", action="store_true")
+    p.add_argument("--depth", type=int, help="look at so many results of each query")
+    p.add_argument("--file-order", action="store_true", help="results rank as they stand in the files, not by their ranks")
+    p.add_argument("--run-queries", action="store_true", help="means are over the queries of a run, not over all judged ones")
     p = sub.add_parser("convert", help="dump an index")
     p.add_argument("index")
     p.add_argument("out")
@@ -61,37 +69,53 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> None:
         lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     else:
         docs = index.dense_ids(documents.read(spark, a.path, a.format), "primary_key").withColumnRenamed("contents", "text")
+        docs.write.mode("overwrite").parquet(made := store.scratch(spark, "documents"))
+        docs = spark.read.parquet(made)
         keys = docs.select("doc_id", "primary_key")
-        found = index.build(docs, stem=a.stem, mode="full" if a.full else "plain", markup=True)
+        found = store.store(docs, store.scratch(spark, "index"), stem=a.stem, mode="full" if a.full else "plain", markup=True, quantize=not a.passthrough)
         posts, lengths = found.postings, found.lengths
-    impacts = index.passed_through(posts) if a.passthrough or a.format == "sparse" else index.quantized(index.scored(posts, lengths))
-    index.Index(posts, lengths, impacts).write(a.out)
+    stemmer, mode = "porter" if a.stem else "none", "full" if a.full else "plain"
+    if a.format in ("ciff", "sparse"):
+        impacts = index.passed_through(posts) if a.passthrough or a.format == "sparse" else index.quantized(index.scored(posts, lengths))
+    else:
+        impacts = found.impacts
+    if a.about:
+        terms = search.query_terms(tables.query_file(spark, a.about), "query", mode, stemmer)
+        posts, impacts = index.about(posts, terms), index.about(impacts, terms)
+    index.Index(posts, lengths, impacts, None, mode, stemmer).write(a.out)
     keys.write.mode("overwrite").parquet(f"{a.out}/keys")
 
 
 def _search(spark: SparkSession, a: argparse.Namespace) -> None:
-    queries = tables.topics(spark, a.queries, a.topics) if a.topics else tables.query_file(spark, a.queries)
+    if a.queries == "-":
+        lines = spark.createDataFrame([(line.rstrip("\n"),) for line in sys.stdin], "value string")
+        queries = tables.queries(lines)
+    else:
+        queries = tables.topics(spark, a.queries, a.topics) if a.topics else tables.query_file(spark, a.queries)
     engine = Engine(spark, mode="u8" if a.u8 else "exact", parser="raw" if a.raw else "query").load(a.index).top(a.k).limit(a.postings, a.percent, a.relative)
+    engine.keys = spark.read.parquet(f"{a.index}/keys")
     if a.oracle:
-        engine.oracle(tables.known_scores(spark, a.oracle))
-    sinks.run_file(engine.search_all(queries), a.out, spark.read.parquet(f"{a.index}/keys"))
+        engine.oracle(tables.known_scores(spark, a.oracle), a.minimum)
+    if a.out == "-":
+        for r in search.trec_run(engine.search_all(queries), engine.keys).orderBy("query_id", "rank").toLocalIterator():
+            print(r.line)
+    else:
+        engine.run_to(queries, a.out, a.statistics)
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     qrels, prices, runs = tables.qrels(spark, a.qrels), tables.prices(spark, a.qrels), tables.runs(spark, a.runs[0])
     for path in a.runs[1:]:
         runs = runs.unionByName(tables.runs(spark, path))
-    rows = evaluation.judged(runs, qrels, prices)
-    per = evaluation.measures(rows).join(evaluation.price_measures(rows, qrels, prices), ["run_id", "query_id"])
+    rows = evaluation.judged(runs, qrels, prices, a.file_order)
+    per = evaluation.vector(rows, qrels, prices, a.depth)
     names = [n for n in per.columns if n not in ("run_id", "query_id")]
     if a.per_query:
         per.orderBy("run_id", "query_id").show(1000, truncate=False)
-    mean = evaluation.averages(per, names)
+    mean = evaluation.averages(per, names, None if a.run_queries else qrels.select("query_id").distinct().count())
     mean.show(truncate=False)
     if a.t_test:
-        for m in ("rr", "f1", "f1_at_30", "ap"):
-            print(m)
-            statistics.t_test_matrix(per, m).orderBy("run_a", "run_b").show(truncate=False)
+        statistics.t_test_matrices(per, statistics.TESTED).orderBy("measure", "run_a", "run_b").show(10_000, truncate=False)
     if a.spearman:
         statistics.spearman_matrix(mean.select("run_id", *(F.col(n).cast("double").alias(n) for n in names)), names).orderBy("measure_a", "measure_b").show(2000, truncate=False)
 

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impactspark import sinks
 from impactspark.functions.text import query_id, query_text
 from impactspark.operators import search
-from impactspark.operators.index import Index, build
+from impactspark.operators.index import Index
+from impactspark.plans import store
 
 MAX_K = 1000
 
@@ -38,11 +40,12 @@ class Engine:
     parser: str = "query"
     budget: dict = field(default_factory=dict)
     known: DataFrame | None = None
+    minimum: int = 0
     statistics: Statistics = field(default_factory=Statistics)
 
-    def build(self, docs: DataFrame, **options) -> Engine:
-        """Index docs(doc_id, text); a primary_key column names results."""
-        self.index = build(docs, **options)
+    def build(self, docs: DataFrame, path: str | None = None, **options) -> Engine:
+        """Index docs(doc_id, text) once, under path or in the session's scratch folder; a primary_key column names results."""
+        self.index = store.store(docs, path or store.scratch(self.spark, "index"), **options)
         self.keys = docs.select("doc_id", "primary_key") if "primary_key" in docs.columns else None
         return self
 
@@ -61,9 +64,9 @@ class Engine:
         self.budget = {"absolute": absolute, "percent_of_documents": percent_of_documents, "relative": relative}
         return self
 
-    def oracle(self, known: DataFrame) -> Engine:
-        """Known scores at rank k, as (query_id, bound)."""
-        self.known = known
+    def oracle(self, known: DataFrame, minimum: int = 0) -> Engine:
+        """Known scores at rank k, as (query_id, bound); reading ends no sooner than after a minimum of postings."""
+        self.known, self.minimum = known, minimum
         return self
 
     @property
@@ -76,15 +79,16 @@ class Engine:
         return self.index
 
     def terms(self, queries: DataFrame) -> DataFrame:
-        return search.query_terms(queries, self.parser)
+        """Words found, folded and stemmed as the index's are."""
+        return search.query_terms(queries, self.parser, self._index().mode, self._index().stemmer)
 
     def search_all(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, rank, rsv) of queries(query_id, query), all in one plan."""
         terms = self.terms(queries)
         if self.known is not None:
-            return search.search_oracle(self._index().impacts, terms, self.known, self.k)
+            return search.search_oracle(self._index(), terms, self.known, self.k, self.minimum)
         n = self.documents if self.budget.get("percent_of_documents") is not None else None
-        return search.search(self._index().impacts, terms, self.k, self.mode, documents=n, **self.budget)
+        return search.search(self._index(), terms, self.k, self.mode, documents=n, **self.budget)
 
     def search(self, text: str) -> list[tuple[str, int, int, int]]:
         """Rows (query id, document, rank, rsv) of one query, 'id words' or words alone."""
@@ -94,3 +98,21 @@ class Engine:
         self.statistics.queries += 1
         self.statistics.seconds += time.monotonic() - began
         return rows
+
+    def processed(self, queries: DataFrame) -> DataFrame:
+        """(query_id, postings_processed) under the budget; the session's statistics count them."""
+        n = self.documents if self.budget.get("percent_of_documents") is not None else None
+        found = search.processed(self._index(), self.terms(queries), documents=n, **self.budget)
+        self.statistics.postings += found.agg(F.coalesce(F.sum("postings_processed"), F.lit(0))).first()[0]
+        return found
+
+    def run_to(self, queries: DataFrame, path: str, statistics: str | None = None, exporter: str = "trec") -> None:
+        """Search queries(query_id, query) and write the run; with a second path, also each query's postings and the batch's
+        time over its queries."""
+        began = time.monotonic()
+        sinks.EXPORTERS[exporter](self.search_all(queries), path, self.keys)
+        seconds, n = time.monotonic() - began, queries.count()
+        self.statistics.queries += n
+        self.statistics.seconds += seconds
+        if statistics:
+            sinks.statistics_file(self.processed(queries), queries, statistics, round(seconds * 1e9 / max(1, n)))

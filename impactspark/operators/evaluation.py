@@ -18,9 +18,15 @@ def judged(runs: DataFrame, qrels: DataFrame, prices: DataFrame | None = None, f
 
     runs(run_id, query_id, doc_id, rank), qrels(query_id, doc_id, score), prices(doc_id, price). Unjudged results
     score 0, unpriced ones cost 0. Adds pos, rel, nth (relevant up to here), graded (their sum), spent and relevant
-    (judged so for the query, whether found or not).
+    (judged so for the query, whether found or not). In file order results stand as their lines do (runs has 'at'),
+    and of a query that comes again further on only the first lines count.
     """
-    line = Window.partitionBy("run_id", "query_id").orderBy("rank", "doc_id")
+    if file_order:
+        lines = Window.partitionBy("run_id").orderBy("at")
+        new = (F.col("query_id") != F.coalesce(F.lag("query_id").over(lines), F.lit("\u0000"))).cast("int")
+        blocks = runs.withColumn("new", new).withColumn("block", F.sum("new").over(lines))
+        runs = blocks.withColumn("least", F.min("block").over(Window.partitionBy("run_id", "query_id"))).where("block = least").drop("new", "block", "least")
+    line = Window.partitionBy("run_id", "query_id").orderBy(*(["at"] if file_order else ["rank", "doc_id"]))
     total = qrels.groupBy("query_id").agg(F.sum((F.col("score") != 0).cast("int")).alias("relevant"))
     rows = runs.join(qrels.select("query_id", "doc_id", F.col("score").alias("judged")), ["query_id", "doc_id"], "left").join(total, "query_id", "left")
     rows = rows.join(prices, "doc_id", "left") if prices is not None else rows.withColumn("price", F.lit(0.0))
@@ -112,6 +118,12 @@ def price_measures(rows: DataFrame, qrels: DataFrame, prices: DataFrame, k: int
     )
 
 
+def vector(rows: DataFrame, qrels: DataFrame, prices: DataFrame, depth: int | None = None) -> DataFrame:
+    """All measures of each run and query, of the first ``depth`` results if given."""
+    plain = measures(rows if depth is None else rows.where(F.col("pos") <= depth))
+    return plain.join(price_measures(rows, qrels, prices, depth=depth), ["run_id", "query_id"])
+
+
 def averages(per_query: DataFrame, columns: list[str], queries: int | Column | None = None) -> DataFrame:
     """Means by run over the run's queries, or over a given number of queries, and the geometric mean of AP."""
     n = F.lit(queries) if queries is not None else F.count(F.lit(1))

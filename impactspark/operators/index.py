@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from impactspark.functions.text import PLAIN, full_tokens, stemmed, tokens, without_markup
+from impactspark.functions.text import PLAIN, cut, full_tokens, stemmed, tokens, without_markup
 
 K1, B = 0.9, 0.4
 MAX_TF, MAX_IMPACT = 1024, 1024
@@ -21,7 +22,8 @@ def token_rows(docs: DataFrame, mode: str = "plain", markup: bool = False, patte
         ws = full_tokens(text)
     else:
         ws = tokens(without_markup(text) if markup else text, pattern)
-    return docs.select("doc_id", F.explode(ws).alias("term"))
+    rows = docs.select("doc_id", F.explode(ws).alias("term"))
+    return rows if mode == "full" else rows.select("doc_id", cut(F.col("term")).alias("term"))
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -29,10 +31,15 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).cast("int").alias("tf"))
 
 
-def stem_postings(posts: DataFrame, posts_term: str = "term") -> DataFrame:
+def stem_postings(posts: DataFrame, stemmer: str = "porter") -> DataFrame:
     """Postings of stems. Distinct terms are stemmed once and joined back."""
-    stems = posts.select(posts_term).distinct().withColumn("stem", F.when(F.length(posts_term) > 2, stemmed(posts_term)).otherwise(F.col(posts_term)))
-    return posts.join(stems, posts_term).groupBy(F.col("stem").alias("term"), "doc_id").agg(F.least(F.sum("tf"), F.lit(MAX_TF)).cast("int").alias("tf"))
+    stems = posts.select("term").distinct().withColumn("stem", stem_of(F.col("term"), stemmer))
+    return posts.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.least(F.sum("tf"), F.lit(MAX_TF)).cast("int").alias("tf"))
+
+
+def stem_of(term: Column, stemmer: str = "porter") -> Column:
+    """Terms of two characters or fewer stay."""
+    return F.when(F.length(term) > 2, stemmed(term, stemmer)).otherwise(term)
 
 
 def union_postings(*parts: DataFrame) -> DataFrame:
@@ -100,13 +107,48 @@ def passed_through(posts: DataFrame) -> DataFrame:
     return posts.select("term", "doc_id", "tf").withColumnRenamed("tf", "impact")
 
 
-def segments(impacts: DataFrame) -> DataFrame:
-    """(term, impact, n, doc_ids): the documents of one impact, in order. For storage; search reads impacts."""
-    return impacts.groupBy("term", "impact").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+#: Documents of one chunk of a list: lists are stored and listed by ranges of ids, so no term meets in one row or task.
+SPAN = 1 << 20
+
+
+def chunk_of(doc_id: Column, span: int = SPAN) -> Column:
+    return F.floor(doc_id / span)
+
+
+def segments(impacts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(term, impact, chunk, n, doc_ids): the documents of one impact, in order, by ranges of ids. For storage; search
+    reads impacts."""
+    return impacts.groupBy("term", "impact", chunk_of(F.col("doc_id"), span).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def gaps(posts: DataFrame, span: int = SPAN) -> DataFrame:
+    """posts and gap, the distance to the term's document before; the first is its id plus 1. Ranges of ids are sorted
+    apart; the first of a range is told the last of those before it by a second pass over one row a range."""
+    rows = posts.withColumn("chunk", chunk_of(F.col("doc_id"), span))
+    lasts = rows.groupBy("term", "chunk").agg(F.max("doc_id").alias("last"))
+    carried = lasts.select("term", "chunk", F.lag("last").over(Window.partitionBy("term").orderBy("chunk")).alias("carried")).where("carried is not null")
+    line = Window.partitionBy("term", "chunk").orderBy("doc_id")
+    near = rows.withColumn("before", F.lag("doc_id").over(line))
+    gap = F.col("doc_id") - F.coalesce("before", "carried", F.lit(-1))
+    return near.join(carried, ["term", "chunk"], "left").select(*posts.columns, gap.alias("gap"))
+
+
+def ungapped(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """(term, doc_id) of (term, place, gap), place ordering a term's gaps: running sums by ranges of places, and the
+    sums of the ranges before."""
+    rows = rows.withColumn("chunk", chunk_of(F.col("place"), span))
+    sums = rows.groupBy("term", "chunk").agg(F.sum("gap").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("term").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.select("term", "chunk", before.alias("carried")).where("carried is not null")
+    line = Window.partitionBy("term", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("near", F.sum("gap").over(line))
+    return near.join(carried, ["term", "chunk"], "left").select("term", (F.col("near") + F.coalesce("carried", F.lit(0)) - 1).alias("doc_id"))
 
 
 def vocabulary(posts: DataFrame, impacts: DataFrame) -> DataFrame:
-    shape = impacts.groupBy("term").agg(F.countDistinct("impact").alias("n_segments"), F.min("impact").alias("min_impact"), F.max("impact").alias("max_impact"))
+    """(term, df, cf, n_segments, min_impact, max_impact)."""
+    levels = impacts.groupBy("term", "impact").agg(F.count(F.lit(1)).alias("n"))
+    shape = levels.groupBy("term").agg(F.count(F.lit(1)).alias("n_segments"), F.min("impact").alias("min_impact"), F.max("impact").alias("max_impact"))
     return document_frequency(posts).join(shape, "term")
 
 
@@ -116,10 +158,15 @@ def forward(impacts: DataFrame) -> DataFrame:
     return impacts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(p["term"], F.lit(":"), p["impact"])), " ").alias("terms"))
 
 
-def human(posts: DataFrame) -> DataFrame:
-    """(term, listed): <doc,tf> pairs by document."""
+def human(posts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(term, chunk, listed): <doc,tf> pairs by document, a row for each range of ids."""
     pair = F.struct("doc_id", "tf")
-    return posts.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(F.lit("<"), p["doc_id"], F.lit(","), p["tf"], F.lit(">"))), "").alias("listed"))
+    return posts.groupBy("term", chunk_of(F.col("doc_id"), span).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(F.lit("<"), p["doc_id"], F.lit(","), p["tf"], F.lit(">"))), "").alias("listed"))
+
+
+def about(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Only the postings of the terms asked for (a topic file's, say): a smaller index that answers them alike."""
+    return posts.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def dense_ids(docs: DataFrame, key: str) -> DataFrame:
@@ -131,31 +178,60 @@ def dense_ids(docs: DataFrame, key: str) -> DataFrame:
     return ordered.join(F.broadcast(before), "__part").withColumn("doc_id", F.col("__at") - F.col("a") + F.col("ahead") + 1).drop("__part", "__at", "a", "ahead")
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets))
+
+
 @dataclass(frozen=True)
 class Index:
-    """An index's tables, as frames."""
+    """An index's tables, as frames, and how its terms were made."""
 
     postings: DataFrame
     lengths: DataFrame
     impacts: DataFrame
-
-    def write(self, path: str, buckets: int | None = None) -> None:
-        """Parquet tables under path. Impacts are dealt and sorted by term, so a query's terms prune row groups."""
-        n = buckets or int(self.impacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
-        self.impacts.repartitionByRange(n, "term", "impact").sortWithinPartitions("term", F.desc("impact"), "doc_id").write.mode("overwrite").parquet(f"{path}/impacts")
+    vocabulary: DataFrame | None = None
+    mode: str = "plain"
+    stemmer: str = "none"
+    #: Impacts have their term's bucket of so many in 'bucket', by which they are filed; 0 if they haven't.
+    buckets: int = 0
+
+    def write(self, path: str, buckets: int | None = None) -> Index:
+        """Parquet tables under path, each stored before the next reads it; the index that reads them.
+
+        Impacts are filed by the bucket of their term and sorted by term within, so a query reads the folders of its
+        terms and of these the row groups. A bucket too large for a task is split, whatever its terms.
+        """
+        spark = self.postings.sparkSession
+
+        def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        kept(self.postings, "postings")
+        kept(self.lengths, "doc_lengths")
+        impacts = self.impacts.select("term", "doc_id", "impact").withColumn("bucket", bucket_of(F.col("term"), n))
+        impacts = kept(impacts.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", F.desc("impact"), "doc_id"), "impacts", "bucket")
+        kept(vocabulary(spark.read.parquet(f"{path}/postings"), impacts), "vocabulary")
+        kept(spark.createDataFrame([(self.mode, self.stemmer, n)], "mode string, stemmer string, buckets int"), "about")
+        return Index.read(spark, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_lengths", "impacts")))
+        row = spark.read.parquet(f"{path}/about").first()
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_lengths", "impacts", "vocabulary")), row.mode, row.stemmer, row.buckets)
 
 
-def build(docs: DataFrame, ranker: str = "bm25", quantize: bool = True, stem: bool = False, mode: str = "plain", markup: bool = False, **options) -> Index:
-    """The index of docs(doc_id, text)."""
+def build(docs: DataFrame, ranker: str = "bm25", quantize: bool = True, stem: bool | str = False, mode: str = "plain", markup: bool = False, store: Callable[[DataFrame, str], DataFrame] | None = None, **options) -> Index:
+    """The index of docs(doc_id, text). Frames are lazy and recompute what is before them, unless ``store`` (a frame and a
+    name to the stored frame) is given: then nothing is counted or scored twice."""
+    store = store or (lambda df, _: df)
+    stemmer = stem if isinstance(stem, str) else "porter" if stem else "none"
     rows = token_rows(docs, mode, markup)
     posts = postings(rows)
-    posts = stem_postings(posts) if stem else posts
-    lengths = doc_lengths(docs, None if mode == "plain" and not markup else rows)
-    scores = scored(posts, lengths, ranker, **options)
-    return Index(posts, lengths, quantized(scores) if quantize else passed_through(posts))
+    posts = store(posts if stemmer == "none" else stem_postings(posts, stemmer), "postings")
+    lengths = store(doc_lengths(docs, None if mode == "plain" and not markup else rows), "doc_lengths")
+    if not quantize:
+        return Index(posts, lengths, passed_through(posts), None, mode, stemmer)
+    return Index(posts, lengths, quantized(store(scored(posts, lengths, ranker, **options), "scores")), None, mode, stemmer)

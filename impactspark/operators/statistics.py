@@ -11,6 +11,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from impactspark.operators.index import gaps
+
 
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
@@ -51,27 +53,55 @@ def t_test(a: list[float], b: list[float], tails: int = 2) -> float:
     d = [x - y for x, y in zip(a, b, strict=True)]
     n, mean = len(d), sum(d) / len(d)
     spread = math.sqrt(sum((x - mean) ** 2 for x in d) / (n - 1))
-    return tails * (1 - student_cdf(abs(mean) / (spread / math.sqrt(n)), n - 1)) if spread else (1.0 if not mean else 0.0)
+    return p_value(n, mean, spread, tails)
+
 
+def p_value(n: int, mean: float, spread: float, tails: int = 1) -> float:
+    """p of a paired t-test from the differences' count, mean and deviation; 1 for fewer than two pairs and without any
+    difference, 0 where all differ alike."""
+    if n <= 1 or not mean:
+        return 1.0
+    return tails * (1 - student_cdf(abs(mean) / (spread / math.sqrt(n)), n - 1)) if spread else 0.0
 
-@pandas_udf(DoubleType())
-def t_probability(t: pd.Series, freedom: pd.Series) -> pd.Series:
-    """Two-tailed p of t with its degrees of freedom."""
-    return pd.Series([None if pd.isna(x) or pd.isna(n) or n < 1 else 2 * (1 - student_cdf(abs(x), n)) for x, n in zip(t, freedom, strict=True)], dtype="float64")
 
+def p_values(n: Column, mean: Column, spread: Column, tails: int = 1) -> Column:
+    """p_value() of each row; there is a row for each pair of runs."""
 
-def t_matrix(per_query: DataFrame, measure: str) -> DataFrame:
-    """(run_a, run_b, n, t) of each pair of runs over the queries both have: an equi-join on the query."""
-    a = per_query.select("query_id", F.col("run_id").alias("run_a"), F.col(measure).alias("x"))
-    b = per_query.select("query_id", F.col("run_id").alias("run_b"), F.col(measure).alias("y"))
+    @pandas_udf(DoubleType())
+    def run(n: pd.Series, mean: pd.Series, spread: pd.Series) -> pd.Series:
+        return pd.Series([p_value(int(a), 0.0 if pd.isna(b) else b, 0.0 if pd.isna(c) else c, tails) for a, b, c in zip(n, mean, spread, strict=True)], dtype="float64")
+
+    return run(n, mean, spread)
+
+
+#: Measures that runs are tested by.
+TESTED = ("rr", "f1", "f1_at_30", "ap", "bp", "bp4", "sp", "cheapest_p", "pb_ndcg", "bp_ndcg")
+
+
+def differences(per_query: DataFrame, measures: list[str] | tuple[str, ...]) -> DataFrame:
+    """(measure, run_a, run_b, n, mean, spread) of each pair of runs over the queries both have: an equi-join on the query."""
+    long = per_query.unpivot(["run_id", "query_id"], list(measures), "measure", "x")
+    a, b = long.withColumnRenamed("run_id", "run_a"), long.withColumnsRenamed({"run_id": "run_b", "x": "y"})
     d = F.col("x") - F.col("y")
-    pairs = a.join(b, "query_id").where("run_a < run_b").groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("spread"))
-    return pairs.select("run_a", "run_b", "n", F.when((F.col("n") > 1) & (F.col("spread") > 0), F.col("mean") / (F.col("spread") / F.sqrt("n"))).alias("t"))
+    return a.join(b, ["measure", "query_id"]).where("run_a < run_b").groupBy("measure", "run_a", "run_b").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("spread"))
+
+
+def t_test_matrices(per_query: DataFrame, measures: list[str] | tuple[str, ...], tails: int = 1) -> DataFrame:
+    """(measure, run_a, run_b, n, t, p) of each pair of runs; t is null where nothing varies. p is of |t|, so a pair stands
+    for both its orders."""
+    found = differences(per_query, [m for m in measures if m in per_query.columns])
+    t = F.when((F.col("n") > 1) & (F.col("spread") > 0), F.col("mean") / (F.col("spread") / F.sqrt("n")))
+    return found.select("measure", "run_a", "run_b", "n", t.alias("t"), p_values(F.col("n"), F.col("mean"), F.col("spread"), tails).alias("p"))
+
+
+def t_matrix(per_query: DataFrame, measure: str) -> DataFrame:
+    """(run_a, run_b, n, t) by one measure."""
+    return t_test_matrices(per_query, [measure]).drop("measure", "p")
 
 
-def t_test_matrix(per_query: DataFrame, measure: str) -> DataFrame:
-    """t_matrix with p, two-tailed; 1 where t is not defined."""
-    return t_matrix(per_query, measure).withColumn("p", F.coalesce(t_probability(F.col("t"), F.col("n") - 1), F.lit(1.0)))
+def t_test_matrix(per_query: DataFrame, measure: str, tails: int = 1) -> DataFrame:
+    """(run_a, run_b, n, t, p) by one measure."""
+    return t_test_matrices(per_query, [measure], tails).drop("measure")
 
 
 def fractional_rank(value: str, *within: str) -> Column:
@@ -104,12 +134,25 @@ def spearman_matrix(per_run: DataFrame, measures: list[str]) -> DataFrame:
 
 def gap_widths(postings: DataFrame) -> DataFrame:
     """(bits, n): how many gaps between a term's documents need so many bits; the first gap is the first id plus 1."""
-    line = Window.partitionBy("term").orderBy("doc_id")
-    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(line), F.lit(-1))
-    bits = F.length(F.bin("gap"))
-    return postings.withColumn("gap", gap).groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def by_length(times: DataFrame) -> DataFrame:
-    """(length, low, mean, median, high) of times(length, value)."""
-    return times.groupBy("length").agg(F.min("value").alias("low"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("high"))
+    return gaps(postings).groupBy(F.length(F.bin("gap")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gap_shapes(postings: DataFrame, percentile: float = 90.0) -> DataFrame:
+    """(n, mean, mode, exception, lists): how many lists have so many gaps, a mean width (rounded up), a most frequent
+    width (the least of them), and a width at which the percentile of their gaps is reached; widths are ceil(log2) of
+    the gap, 1 for none."""
+    width = F.greatest(F.lit(1), F.length(F.bin(F.col("gap") - 1))).alias("w")
+    counts = gaps(postings).select("term", width).groupBy("term", "w").agg(F.count(F.lit(1)).alias("c"))
+    up = Window.partitionBy("term").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("term")))
+    reached = F.min(F.when(F.col("upto") * 100.0 >= F.col("n") * F.lit(percentile), F.col("w")))
+    mode = F.max_by("w", F.struct("c", -F.col("w")))
+    lists = summed.groupBy("term").agg(F.first("n").alias("n"), F.ceil(F.sum(F.col("w") * F.col("c")) / F.first("n")).alias("mean"), mode.alias("mode"), reached.alias("exception"))
+    return lists.groupBy("n", "mean", "mode", "exception").agg(F.count(F.lit(1)).alias("lists"))
+
+
+def by_length(times: DataFrame, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """(length, low, mean, median, high) of times(length, value). The median is a sketch's, merged map-side, unless exact:
+    then the values of a length meet in one task."""
+    median = F.median("value") if exact else F.percentile_approx("value", 0.5, accuracy)
+    return times.groupBy("length").agg(F.min("value").alias("low"), F.avg("value").alias("mean"), median.alias("median"), F.max("value").alias("high"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from impactspark.functions import bits, codecs, checksums
-from impactspark.functions.text import kmers, tokens, without_markup
+from impactspark.functions import bits, checksums, codecs
+from impactspark.functions.text import CLASSES, STEMMERS, from_codepoints, is_utf8, kmers, stemmed, to_codepoints, tokens, utf8_bytes, without_markup
 from impactspark.operators import evaluation, index as build, search, statistics
-from impactspark.plans.store import index, table
+from impactspark.plans.store import index, once, table
+from impactspark.sources import ciff, documents, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,19 +32,19 @@ def query(sql: str | None = None, name: str | None = None):
 # -- SQL in parts -------------------------------------------------------------------------------------------------
 
 _TOK = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS term FROM documents)"
-_POST = "post AS (SELECT term, doc_id, CAST(least(count(*), 1024) AS INTEGER) AS tf FROM tok GROUP BY ALL)"
+_POST = "post AS MATERIALIZED (SELECT term, doc_id, CAST(least(count(*), 1024) AS INTEGER) AS tf FROM tok GROUP BY ALL)"
 _LEN = r"len AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS BIGINT) AS length FROM documents)"
 _STATS = "stats AS (SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS tokens, avg(length) AS mean_length FROM len)"
-_DF = "df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"
-_BM25 = "bm AS (SELECT term, doc_id, tf, ln(documents / df) * (tf * CAST(1.9 AS DOUBLE) / (tf + CAST(0.9 AS DOUBLE) * ((CAST(1.0 AS DOUBLE) - CAST(0.4 AS DOUBLE)) + CAST(0.4 AS DOUBLE) * length / mean_length))) AS score FROM post JOIN df USING (term) JOIN len USING (doc_id), stats)"
+_DF = "df AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"
+_BM25 = "bm AS MATERIALIZED (SELECT term, doc_id, tf, ln(documents / df) * (tf * CAST(1.9 AS DOUBLE) / (tf + CAST(0.9 AS DOUBLE) * ((CAST(1.0 AS DOUBLE) - CAST(0.4 AS DOUBLE)) + CAST(0.4 AS DOUBLE) * length / mean_length))) AS score FROM post JOIN df USING (term) JOIN len USING (doc_id), stats)"
 _BOUNDS = "bounds AS (SELECT min(score) AS low, max(score) AS high FROM bm)"
-_IMP = "imp AS (SELECT term, doc_id, CAST(floor((score - low) / (high - low) * CAST(1023.0 AS DOUBLE)) + 1 AS INTEGER) AS impact FROM bm, bounds)"
+_IMP = "imp AS MATERIALIZED (SELECT term, doc_id, CAST(floor((score - low) / (high - low) * CAST(1023.0 AS DOUBLE)) + 1 AS INTEGER) AS impact FROM bm, bounds)"
 _BASE = ", ".join((_TOK, _POST, _LEN, _STATS, _DF, _BM25, _BOUNDS, _IMP))
 #: Queries are made of terms by their place in the order of document frequency; one term twice, one unknown.
 PLACES = {"q1": (11, 40, 160), "q2": (5, 80, 320, 320), "q3": (20, 640), "q4": (3, 7, 900, 1500)}
 _PLACES = ", ".join(f"('{q}', {p}, {ps.count(p)})" for q, ps in PLACES.items() for p in sorted(set(ps)))
 _QT = f"places(query_id, place, qf) AS (VALUES {_PLACES}), ranked AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS place FROM df), qt AS (SELECT query_id, term, CAST(qf AS INTEGER) AS qf FROM places JOIN ranked USING (place) UNION ALL SELECT 'q3', 'zzzunknown', 1)"
-_HIT = "hit AS (SELECT query_id, term, impact * qf AS seg, doc_id FROM imp JOIN qt USING (term))"
+_HIT = "hit AS MATERIALIZED (SELECT query_id, term, impact * qf AS seg, doc_id FROM imp JOIN qt USING (term))"
 _SEG = "seg AS (SELECT query_id, term, seg, count(*) AS n FROM hit GROUP BY ALL), plan AS (SELECT *, CAST(sum(n) OVER (PARTITION BY query_id ORDER BY seg DESC, n, term ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM seg)"
 _SEARCH = ", ".join((_BASE, _QT, _HIT, _SEG))
 
@@ -88,13 +89,12 @@ def postings(spark, sf_dir):
 
 @query(f"WITH {_TOK}, {_POST}, {_DF} SELECT term, df, cf FROM df")
 def document_frequency(spark, sf_dir):
-    return build.document_frequency(index(spark, sf_dir).postings)
+    return index(spark, sf_dir).vocabulary.select("term", "df", "cf")
 
 
-@query(f"WITH {_BASE} SELECT term, df, cf, CAST(n_segments AS BIGINT) AS n_segments, min_impact, max_impact FROM df JOIN (SELECT term, count(DISTINCT impact) AS n_segments, min(impact) AS min_impact, max(impact) AS max_impact FROM imp GROUP BY term) USING (term)")
+@query(f"WITH {_BASE}, lev AS (SELECT DISTINCT term, impact FROM imp) SELECT term, df, cf, CAST(n_segments AS BIGINT) AS n_segments, min_impact, max_impact FROM df JOIN (SELECT term, count(*) AS n_segments, min(impact) AS min_impact, max(impact) AS max_impact FROM lev GROUP BY term) USING (term)")
 def vocabulary(spark, sf_dir):
-    i = index(spark, sf_dir)
-    return build.vocabulary(i.postings, i.impacts)
+    return index(spark, sf_dir).vocabulary
 
 
 @query(f"WITH {_BASE} SELECT term, doc_id, tf, round(score, 6) AS score FROM bm")
@@ -126,9 +126,9 @@ def impacts_scaled_passthrough(spark, sf_dir):
     return build.quantized(build.scored(i.postings, i.lengths, "none"))
 
 
-@query(f"WITH {_BASE} SELECT term, impact, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM imp GROUP BY ALL")
+@query(f"WITH {_BASE} SELECT term, impact, doc_id // 1048576 AS chunk, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM imp GROUP BY ALL")
 def impact_segments(spark, sf_dir):
-    return build.segments(index(spark, sf_dir).impacts).select("term", "impact", "n", F.array_join("doc_ids", ",").alias("docs"))
+    return build.segments(index(spark, sf_dir).impacts).select("term", "impact", "chunk", "n", F.array_join("doc_ids", ",").alias("docs"))
 
 
 @query(f"WITH {_BASE} SELECT doc_id, string_agg(term || ':' || impact, ' ' ORDER BY term) AS terms FROM imp GROUP BY doc_id")
@@ -136,7 +136,7 @@ def forward_index(spark, sf_dir):
     return build.forward(index(spark, sf_dir).impacts)
 
 
-@query(f"WITH {_TOK}, {_POST} SELECT term, string_agg('<' || doc_id || ',' || tf || '>', '' ORDER BY doc_id) AS listed FROM post GROUP BY term")
+@query(f"WITH {_TOK}, {_POST} SELECT term, doc_id // 1048576 AS chunk, string_agg('<' || doc_id || ',' || tf || '>', '' ORDER BY doc_id) AS listed FROM post GROUP BY ALL")
 def human_dump(spark, sf_dir):
     return build.human(index(spark, sf_dir).postings)
 
@@ -156,33 +156,70 @@ def kmer_index(spark, sf_dir):
     return rows.groupBy("kmer", "doc_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("kmer").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-@query()
+#: Words with their stems under the whole algorithm: the examples of its paper's steps.
+STEMS = (
+    "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan "
+    "falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform "
+    "radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous "
+    "formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow "
+    "inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun "
+    "activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll"
+).split()
+_STEMS = dict(zip(STEMS[::2], STEMS[1::2], strict=True))
+
+
+_STEM_ROWS = ", ".join(f"('{w}', '{v}', '{w}')" for w, v in _STEMS.items())
+
+
+@query(f"SELECT * FROM (VALUES {_STEM_ROWS}) AS t(word, stem, kept)")
 def porter_stem(spark, sf_dir):
-    """Postings of stems, with the number of words behind each."""
-    return build.document_frequency(build.stem_postings(index(spark, sf_dir).postings))
+    """The published examples under each stemmer."""
+    words = spark.createDataFrame([(w,) for w in _STEMS], "word string")
+    return words.select("word", *(stemmed(F.col("word"), name).alias(n) for name, n in zip(sorted(STEMMERS, reverse=True), ("stem", "kept"), strict=True)))
+
 
+#: Full folding as SQL has it, which agrees on the letters of the tables: no decomposed digits, and of the letters that
+#: fold to others only the sharp s.
+_TOK_FULL = r"tok AS (SELECT doc_id, replace(strip_accents(lower(t)), 'ß', 'ss') AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+|\p{N}+')) AS t FROM documents))"
 
-@query()
+
+@query(f"WITH {_TOK_FULL} SELECT term, count(*) AS n FROM tok GROUP BY term")
 def full_folding(spark, sf_dir):
     """Tokens under full Unicode folding, by term."""
     return build.token_rows(_docs(spark, sf_dir), "full").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Code points with their folding.
+FOLDED = {"À": "a", "½": "12", "①": "1", "ß": "ss", "ﬁ": "fi", "Ⅸ": "ix", "œ": "œ", "é": "e", "我": "我", "हिन": "हिन", "Σ": "σ", "İ": "i", "²": "2"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FOLDED.items()) + ") AS t(raw, folded)")
+def folding_values(spark, sf_dir):
+    """Folding of single letters, numbers, marks and ligatures."""
+    from impactspark.functions.text import folded
+
+    return spark.createDataFrame([(a,) for a in FOLDED], "raw string").select("raw", folded(F.col("raw")).alias("folded"))
+
+
 # -- Search -------------------------------------------------------------------------------------------------------
 
 
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, term, qf) of the registered workload."""
-    frequent = build.document_frequency(index(spark, sf_dir).postings).orderBy(F.desc("df"), "term").limit(2000)
-    ranked = frequent.withColumn("place", F.row_number().over(Window.orderBy(F.desc("df"), "term")))  # 2000 rows
-    rows = [(q, p, ps.count(p)) for q, ps in PLACES.items() for p in sorted(set(ps))]
-    places = spark.createDataFrame(rows, "query_id string, place int, qf int")
-    known = ranked.join(F.broadcast(places), "place").select("query_id", "term", "qf")
-    return known.unionByName(spark.createDataFrame([("q3", "zzzunknown", 1)], "query_id string, term string, qf int"))
+    """(query_id, term, qf) of the registered workload, made once from the stored vocabulary."""
+
+    def make() -> DataFrame:
+        frequent = index(spark, sf_dir).vocabulary.select("term", "df").orderBy(F.desc("df"), "term").limit(2000)
+        ranked = frequent.withColumn("place", F.row_number().over(Window.orderBy(F.desc("df"), "term")))  # 2000 rows
+        rows = [(q, p, ps.count(p)) for q, ps in PLACES.items() for p in sorted(set(ps))]
+        places = spark.createDataFrame(rows, "query_id string, place int, qf int")
+        known = ranked.join(F.broadcast(places), "place").select("query_id", "term", "qf")
+        return known.unionByName(spark.createDataFrame([("q3", "zzzunknown", 1)], "query_id string, term string, qf int"))
+
+    return once(spark, sf_dir, "workload", make)
 
 
 def _search(spark, sf_dir, **options):
-    return search.search(index(spark, sf_dir).impacts, workload(spark, sf_dir), **options)
+    return search.search(index(spark, sf_dir), workload(spark, sf_dir), **options)
 
 
 @query(f"WITH {_SEARCH}, {_ALL} {_top('acc')}")
@@ -225,7 +262,7 @@ def search_u8(spark, sf_dir):
 
 @query(f"WITH {_SEARCH} SELECT query_id, max(cum) AS postings_processed FROM plan WHERE cum <= 500 GROUP BY query_id")
 def postings_processed(spark, sf_dir):
-    return search.processed(index(spark, sf_dir).impacts, workload(spark, sf_dir), absolute=500)
+    return search.processed(index(spark, sf_dir), workload(spark, sf_dir), absolute=500)
 
 
 _ORACLE = """num AS (SELECT hit.query_id, hit.doc_id, hit.seg, cum - n + row_number() OVER (PARTITION BY hit.query_id, hit.term, hit.seg ORDER BY hit.doc_id) AS p FROM hit JOIN plan USING (query_id, term, seg)),
@@ -236,10 +273,39 @@ acc AS (SELECT run.query_id, run.doc_id, CAST(sum(seg) AS INTEGER) AS rsv FROM r
         WHERE stop IS NULL OR (crossed <= stop AND p <= stop) GROUP BY ALL)"""
 
 
+_ORACLE_MIN = _ORACLE.replace("crossed AS stop", "greatest(crossed, 400) AS stop")
+
+
 @query(f"WITH {_SEARCH}, {_ORACLE} {_top('acc', 5)}")
 def search_oracle(spark, sf_dir):
     known = spark.createDataFrame([(q, 300) for q in PLACES], "query_id string, bound int")
-    return search.search_oracle(index(spark, sf_dir).impacts, workload(spark, sf_dir), known, 5)
+    return search.search_oracle(index(spark, sf_dir), workload(spark, sf_dir), known, 5)
+
+
+@query(f"WITH {_SEARCH}, {_ORACLE_MIN} {_top('acc', 5)}")
+def search_oracle_minimum(spark, sf_dir):
+    """The same with a minimum of postings read first."""
+    known = spark.createDataFrame([(q, 300) for q in PLACES], "query_id string, bound int")
+    return search.search_oracle(index(spark, sf_dir), workload(spark, sf_dir), known, 5, 400)
+
+
+_BASE_FULL = ", ".join((_TOK_FULL, _POST, "len AS (SELECT d.doc_id, coalesce(n, 0) AS length FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) USING (doc_id))", _STATS, _DF, _BM25, _BOUNDS, _IMP))
+FULL_QUERIES = {"f1": "après the Été", "f2": "Für für qualité", "f3": "más OF"}
+_QT_FULL = "qt AS (SELECT query_id, replace(strip_accents(lower(w)), 'ß', 'ss') AS term, CAST(count(*) AS INTEGER) AS qf FROM (SELECT query_id, unnest(string_split(query, ' ')) AS w FROM (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in FULL_QUERIES.items()) + ") AS q(query_id, query)) GROUP BY ALL)"
+
+
+@query(f"WITH {_BASE_FULL}, {_QT_FULL}, {_HIT}, {_ALL} {_top('acc')}")
+def search_full(spark, sf_dir):
+    """Queries over an index with full folding, folded as it is."""
+    i = index(spark, sf_dir, mode="full")
+    terms = search.query_terms(spark.createDataFrame(list(FULL_QUERIES.items()), "query_id string, query string"), mode=i.mode, stemmer=i.stemmer)
+    return search.search(i, terms)
+
+
+@query(f"WITH {_SEARCH} SELECT term, count(*) AS df FROM imp WHERE term IN (SELECT term FROM qt) GROUP BY term")
+def index_about(spark, sf_dir):
+    """The index of the workload's terms alone."""
+    return build.about(index(spark, sf_dir).postings, workload(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {_SEARCH}, {_ALL} SELECT query_id, rank, concat_ws(' ', query_id, 'Q0', doc_id, rank, rsv, 'impactspark(ID:' || doc_id || '->' || rsv || ')') AS line FROM ({_top('acc')})")
@@ -275,7 +341,7 @@ def _prf(n: int) -> str:
     return f"{p} AS p_at_{n}, {r} AS r_at_{n}, CASE WHEN {p} + ({r}) > 0 THEN 2.0 * {p} * ({r}) / ({p} + ({r})) ELSE 0 END AS f1_at_{n}"
 
 
-_CUTS = (5, 10, 30)
+_CUTS = evaluation.CUTS
 _PER = f"""per AS (SELECT run_id, query_id, count(*) AS returned, first(relevant) AS relevant, CAST(sum(rel) AS BIGINT) AS relevant_returned, sum(judged) AS graded_returned,
 sum(judged) / count(*) AS p, CASE WHEN first(relevant) > 0 THEN sum(rel) / CAST(first(relevant) AS DOUBLE) ELSE 0 END AS r,
 CASE WHEN sum(judged) > 0 THEN 2.0 * (sum(judged) / count(*)) * (sum(rel) / CAST(first(relevant) AS DOUBLE)) / (sum(judged) / count(*) + sum(rel) / CAST(first(relevant) AS DOUBLE)) ELSE 0 END AS f1,
@@ -290,19 +356,30 @@ _ROUND = ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES)
 
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three runs of the workload, judgements from the labels (a third of the documents for each query), prices of the parts."""
-    terms, i = workload(spark, sf_dir), index(spark, sf_dir)
-    some = {"all": {}, "any500": {"absolute": 500}, "any2000": {"absolute": 2000}}
-    parts = [search.search(i.impacts, terms, 100, **b).select(F.lit(name).alias("run_id"), "query_id", "doc_id", "rank") for name, b in some.items()]
-    qids = spark.createDataFrame([(q,) for q in PLACES], "query_id string")
-    qrels = table(spark, sf_dir, "labels").crossJoin(F.broadcast(qids)).where("(doc_id + cast(substr(query_id, 2) as int)) % 3 = 0").select("query_id", "doc_id", F.col("quality").cast("double").alias("score"))  # four queries
+    """Three runs of the workload, judgements from the labels (a third of the documents for each query), prices of the
+    parts; each made once."""
+
+    def runs() -> DataFrame:
+        terms, i = workload(spark, sf_dir), index(spark, sf_dir)
+        some = {"all": {}, "any500": {"absolute": 500}, "any2000": {"absolute": 2000}}
+        parts = [search.search(i, terms, 100, **b).select(F.lit(name).alias("run_id"), "query_id", "doc_id", "rank") for name, b in some.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def qrels() -> DataFrame:
+        qids = spark.createDataFrame([(q,) for q in PLACES], "query_id string")
+        return table(spark, sf_dir, "labels").crossJoin(F.broadcast(qids)).where("(doc_id + cast(substr(query_id, 2) as int)) % 3 = 0").select("query_id", "doc_id", F.col("quality").cast("double").alias("score"))  # four queries
+
     prices = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("doc_id"), F.col("p_retailprice").alias("price"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]), qrels, prices
+    return once(spark, sf_dir, "runs", runs), once(spark, sf_dir, "qrels", qrels), prices
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "judged", lambda: evaluation.judged(*_runs(spark, sf_dir)))
 
 
-def _per_query(spark, sf_dir) -> DataFrame:
-    runs, qrels, prices = _runs(spark, sf_dir)
-    return evaluation.measures(evaluation.judged(runs, qrels, prices), _CUTS)
+def _per_query(spark, sf_dir, depth: int | None = None) -> DataFrame:
+    rows = _judged(spark, sf_dir)
+    return once(spark, sf_dir, f"measures-{depth}", lambda: evaluation.measures(rows if depth is None else rows.where(F.col("pos") <= depth), _CUTS))
 
 
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
@@ -314,6 +391,15 @@ def eval_per_query(spark, sf_dir):
     return _rounded(_per_query(spark, sf_dir), _MEASURES)
 
 
+_PER_DEPTH = _PER.replace(" FROM jud GROUP BY", " FROM jud WHERE pos <= 20 GROUP BY")
+
+
+@query(f"WITH {_SEARCH}, {_RUNS}, {_PER_DEPTH} SELECT run_id, query_id, returned, relevant, relevant_returned, graded_returned, esl, {_ROUND} FROM per")
+def eval_depth(spark, sf_dir):
+    """The same of the first 20 results."""
+    return _rounded(_per_query(spark, sf_dir, 20), _MEASURES)
+
+
 _AVG = ", ".join(f"round(sum({m}) / count(*), 6) AS {m}" for m in _MEASURES)
 
 
@@ -323,31 +409,61 @@ def eval_average(spark, sf_dir):
 
 
 _GAIN = "(5.0 - (" + " + ".join(f"CASE WHEN price >= low + (high - low) * CAST({(1 - math.exp(i)) / (1 - math.exp(5))!r} AS DOUBLE) THEN 1 ELSE 0 END" for i in range(1, 5)) + "))"
-_PRICE = f"""ideal AS (SELECT query_id, doc_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, doc_id) AS j, min(price) OVER (PARTITION BY query_id) AS low, max(price) OVER (PARTITION BY query_id) AS high FROM qrels JOIN price USING (doc_id) WHERE score <> 0),
-pq AS (SELECT query_id, first(low) AS low, first(high) AS high, sum(CASE WHEN j <= 4 THEN price END) AS cheap_k, count(*) AS n_ideal, sum({_GAIN} / log2(j + 1.0)) AS ideal_gain, sum(low / price / log2(j + 1.0)) AS ideal_power FROM ideal GROUP BY query_id),
+def _price(depth: int | None = None) -> str:
+    """SQL of the price measures, of so many results."""
+    most, low = (str(depth), f"least(n_ideal, {depth})") if depth else ("2147483647", "n_ideal")
+    returned = str(depth) if depth else "first(returned)"
+    return f"""ideal AS (SELECT query_id, doc_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, doc_id) AS j, min(price) OVER (PARTITION BY query_id) AS low, max(price) OVER (PARTITION BY query_id) AS high FROM qrels JOIN price USING (doc_id) WHERE score <> 0),
+pq AS (SELECT query_id, first(low) AS low, first(high) AS high, sum(CASE WHEN j <= 4 THEN price END) AS cheap_k, count(*) AS n_ideal, sum(CASE WHEN j <= {most} THEN {_GAIN} / log2(j + 1.0) END) AS ideal_gain, sum(CASE WHEN j <= {most} THEN low / price / log2(j + 1.0) END) AS ideal_power FROM ideal GROUP BY query_id),
 ret AS (SELECT run_id, query_id, count(*) AS returned FROM jud GROUP BY ALL)
-SELECT run_id, query_id, round(coalesce(first(low) / min(CASE WHEN rel = 1 THEN spent END), 0), 6) AS bp, round(coalesce(first(cheap_k) / min(CASE WHEN rel = 1 AND nth = 4 THEN spent END), 0), 6) AS bp4,
-round(coalesce(sum(CASE WHEN rel = 1 AND pos <= n_ideal THEN ideal_price / price END), 0) / first(n_ideal), 6) AS sp, round(coalesce(sum(CASE WHEN rel = 1 AND price <= cut_price THEN 1.0 END), 0) / first(returned), 6) AS cheapest_p,
-round(coalesce(sum(CASE WHEN rel = 1 THEN {_GAIN} / log2(pos + 1.0) END), 0) / first(ideal_gain), 6) AS pb_ndcg, round(coalesce(sum(CASE WHEN rel = 1 THEN low / price / log2(pos + 1.0) END), 0) / first(ideal_power), 6) AS bp_ndcg
+SELECT run_id, query_id, round(coalesce(first(low) / min(CASE WHEN rel = 1 AND pos <= {most} THEN spent END), 0), 6) AS bp, round(coalesce(first(cheap_k) / min(CASE WHEN rel = 1 AND nth = 4 AND pos <= {most} THEN spent END), 0), 6) AS bp4,
+round(coalesce(sum(CASE WHEN rel = 1 AND pos <= {low} THEN ideal_price / price END), 0) / first({low}), 6) AS sp, round(coalesce(sum(CASE WHEN rel = 1 AND pos <= {most} AND price <= cut_price THEN 1.0 END), 0) / {returned}, 6) AS cheapest_p,
+round(coalesce(sum(CASE WHEN rel = 1 AND pos <= {most} THEN {_GAIN} / log2(pos + 1.0) END), 0) / first(ideal_gain), 6) AS pb_ndcg, round(coalesce(sum(CASE WHEN rel = 1 AND pos <= {most} THEN low / price / log2(pos + 1.0) END), 0) / first(ideal_power), 6) AS bp_ndcg
 FROM (SELECT jud.*, pq.* EXCLUDE (query_id), ret.returned, ideal.price AS ideal_price, c.price AS cut_price FROM jud JOIN pq ON jud.query_id = pq.query_id JOIN ret ON jud.query_id = ret.query_id AND jud.run_id = ret.run_id
-  LEFT JOIN ideal ON jud.query_id = ideal.query_id AND jud.nth = ideal.j LEFT JOIN ideal c ON jud.query_id = c.query_id AND c.j = least(ret.returned, pq.n_ideal)) GROUP BY run_id, query_id"""
+  LEFT JOIN ideal ON jud.query_id = ideal.query_id AND jud.nth = ideal.j LEFT JOIN ideal c ON jud.query_id = c.query_id AND c.j = least(ret.returned, pq.n_ideal, {most})) GROUP BY run_id, query_id"""
+
+
+def _price_measures(spark, sf_dir, depth: int | None = None) -> DataFrame:
+    _, qrels, prices = _runs(spark, sf_dir)
+    return once(spark, sf_dir, f"prices-{depth}", lambda: evaluation.price_measures(_judged(spark, sf_dir), qrels, prices, depth=depth))
+
+
+_PRICED = ["bp", "bp4", "sp", "cheapest_p", "pb_ndcg", "bp_ndcg"]
 
 
-@query(f"WITH {_SEARCH}, {_RUNS}, {_PRICE}")
+@query(f"WITH {_SEARCH}, {_RUNS}, {_price()}")
 def eval_price(spark, sf_dir):
-    runs, qrels, prices = _runs(spark, sf_dir)
-    found = evaluation.price_measures(evaluation.judged(runs, qrels, prices), qrels, prices)
-    return _rounded(found, ["bp", "bp4", "sp", "cheapest_p", "pb_ndcg", "bp_ndcg"])
+    return _rounded(_price_measures(spark, sf_dir), _PRICED)
 
 
-@query(f"WITH {_SEARCH}, {_RUNS}, {_PER}, d AS (SELECT a.run_id AS run_a, b.run_id AS run_b, a.ap - b.ap AS d FROM per a JOIN per b USING (query_id) WHERE a.run_id < b.run_id) SELECT run_a, run_b, count(*) AS n, round(CASE WHEN count(*) > 1 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t FROM d GROUP BY ALL")
+@query(f"WITH {_SEARCH}, {_RUNS}, {_price(50)}")
+def eval_price_depth(spark, sf_dir):
+    """The same of the first 50 results."""
+    return _rounded(_price_measures(spark, sf_dir, 50), _PRICED)
+
+
+_T = f"""WITH {_SEARCH}, {_RUNS}, {_PER}, pri AS (WITH {_price()}), lng AS (UNPIVOT (SELECT run_id, query_id, rr, f1, f1_at_30, ap, bp, bp4, sp, cheapest_p, pb_ndcg, bp_ndcg FROM
+(SELECT per.run_id, per.query_id, round(rr, 6) AS rr, round(f1, 6) AS f1, round(f1_at_30, 6) AS f1_at_30, round(ap, 6) AS ap, bp, bp4, sp, cheapest_p, pb_ndcg, bp_ndcg FROM per JOIN pri ON per.run_id = pri.run_id AND per.query_id = pri.query_id))
+ON {', '.join(statistics.TESTED)} INTO NAME measure VALUE value),
+d AS (SELECT a.measure, a.run_id AS run_a, b.run_id AS run_b, a.value - b.value AS d FROM lng a JOIN lng b ON a.query_id = b.query_id AND a.measure = b.measure WHERE a.run_id < b.run_id),
+m AS (SELECT measure, run_a, run_b, count(*) AS n, avg(d) AS mean, coalesce(stddev_samp(d), 0) AS spread FROM d GROUP BY ALL),
+t AS (SELECT *, CASE WHEN n > 1 AND spread > 0 THEN mean / (spread / sqrt(n)) END AS t FROM m)"""
+
+
+def _tests(spark, sf_dir) -> DataFrame:
+    both = eval_per_query(spark, sf_dir).join(eval_price(spark, sf_dir), ["run_id", "query_id"])
+    return statistics.t_test_matrices(both, statistics.TESTED)
+
+
+@query(f"{_T} SELECT measure, run_a, run_b, n, round(t, 6) AS t FROM t")
 def ttest_matrix(spark, sf_dir):
-    return statistics.t_matrix(_per_query(spark, sf_dir), "ap").withColumn("t", F.round("t", 6))
+    return _tests(spark, sf_dir).drop("p").withColumn("t", F.round("t", 6))
 
 
-@query()
+#: One tail of Student's distribution with three degrees of freedom, as the workload has four queries.
+@query(f"{_T} SELECT measure, run_a, run_b, n, round(CASE WHEN n <= 1 OR mean = 0 THEN 1.0 WHEN spread = 0 THEN 0.0 ELSE 0.5 - (abs(t) / sqrt(3) / (1 + t * t / 3) + atan(abs(t) / sqrt(3))) / pi() END, 6) AS p FROM t")
 def ttest_probability(spark, sf_dir):
-    return statistics.t_test_matrix(_per_query(spark, sf_dir), "ap")
+    return _tests(spark, sf_dir).drop("t").withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {_SEARCH}, {_RUNS}, {_PER}, l AS (UNPIVOT (SELECT query_id || run_id AS run_id, round(ap, 9) AS ap, round(rr, 9) AS rr, round(rbp, 9) AS rbp, round(p, 9) AS p FROM per) ON ap, rr, rbp, p INTO NAME measure VALUE value), f AS (SELECT run_id, measure, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2.0 AS place FROM l) SELECT a.measure AS measure_a, b.measure AS measure_b, round(corr(a.place, b.place), 6) AS spearman FROM f a JOIN f b USING (run_id) WHERE a.measure < b.measure GROUP BY ALL")
@@ -375,7 +491,7 @@ def gap_bitwidth_hist(spark, sf_dir):
 
 @query("SELECT l_linenumber AS length, round(min(l_extendedprice), 4) AS low, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(max(l_extendedprice), 4) AS high FROM lineitem GROUP BY l_linenumber")
 def by_length(spark, sf_dir):
-    found = statistics.by_length(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("length"), F.col("l_extendedprice").alias("value")))
+    found = statistics.by_length(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("length"), F.col("l_extendedprice").alias("value")), exact=True)
     return found.select("length", *(F.round(c, 4).alias(c) for c in ("low", "mean", "median", "high")))
 
 
@@ -385,8 +501,18 @@ _LISTS = f"WITH {_TOK}, {_POST}, g AS (SELECT term, doc_id, doc_id - coalesce(la
 
 
 def _gaps(spark, sf_dir) -> DataFrame:
-    line = Window.partitionBy("term").orderBy("doc_id")
-    return index(spark, sf_dir).postings.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(line), F.lit(-1))).alias("gap"))
+    return build.gaps(index(spark, sf_dir).postings.select("term", "doc_id"))
+
+
+_SHAPES = """w AS (SELECT term, CAST(greatest(1, CASE WHEN gap <= 1 THEN 1 ELSE length(bin(gap - 1)) END) AS INTEGER) AS w FROM g),
+c AS (SELECT term, w, count(*) AS c FROM w GROUP BY ALL), u AS (SELECT *, sum(c) OVER (PARTITION BY term ORDER BY w) AS upto, sum(c) OVER (PARTITION BY term) AS n FROM c),
+l AS (SELECT term, CAST(first(n) AS BIGINT) AS n, CAST(ceil(sum(w * c) / first(n)) AS BIGINT) AS mean, arg_max(w, c * 100 - w) AS mode, min(CASE WHEN upto * 100 >= n * 90 THEN w END) AS exception FROM u GROUP BY term)"""
+
+
+@query(f"{_LISTS}, {_SHAPES} SELECT n, mean, mode, exception, count(*) AS lists FROM l GROUP BY ALL")
+def gap_shapes(spark, sf_dir):
+    """Mean and most frequent widths and the width of nine tenths, by list length."""
+    return statistics.gap_shapes(index(spark, sf_dir).postings.select("term", "doc_id"))
 
 
 @query(f"{_LISTS} SELECT term, doc_id, gap FROM g")
@@ -396,8 +522,7 @@ def gap_encode(spark, sf_dir):
 
 @query(f"{_LISTS} SELECT term, doc_id FROM g")
 def gap_decode(spark, sf_dir):
-    line = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _gaps(spark, sf_dir).select("term", (F.sum("gap").over(line) - 1).alias("doc_id"))
+    return build.ungapped(_gaps(spark, sf_dir).withColumnRenamed("doc_id", "place"))
 
 
 @query(f"{_LISTS} SELECT term, CAST(sum((length(bin(gap)) + 6) // 7) AS BIGINT) AS vbyte, CAST(sum(2 * length(bin(gap)) - 1) AS BIGINT) AS gamma, CAST(sum(length(bin(gap)) - 1 + 2 * length(bin(length(bin(gap)))) - 1) AS BIGINT) AS delta FROM g GROUP BY term")
@@ -406,11 +531,41 @@ def code_sizes(spark, sf_dir):
     return _gaps(spark, sf_dir).groupBy("term").agg(F.sum(codecs.vbyte_bytes(g)).alias("vbyte"), F.sum(codecs.gamma_bits(g)).alias("gamma"), F.sum(codecs.delta_bits(g)).alias("delta"))
 
 
-@query()
+def _coded(spark, sf_dir) -> DataFrame:
+    """Every codec over the postings lists' gaps, list by list in ranges of documents."""
+
+    def make() -> DataFrame:
+        chunks = _gaps(spark, sf_dir).groupBy("term", build.chunk_of(F.col("doc_id")).alias("chunk"))
+        lists = chunks.agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))), lambda x: x["gap"]).alias("gaps"))
+        return codecs.roundtrips(lists, "gaps")
+
+    return once(spark, sf_dir, "codecs", make)
+
+
+@query(f"{_LISTS} SELECT codec, (SELECT count(DISTINCT term) FROM g) AS lists, 0::BIGINT AS failures FROM (VALUES {', '.join(f'({c!r})' for c in codecs.CODECS)}) AS c(codec)")
 def codec_roundtrip(spark, sf_dir):
-    """Bytes of every codec over the postings lists' gaps, decoded and compared."""
-    lists = _gaps(spark, sf_dir).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))), lambda x: x["gap"]).alias("gaps"))
-    return codecs.roundtrips(lists, "gaps")
+    """Lists of every codec, and of them those that aren't decoded the same."""
+    return _coded(spark, sf_dir).select("codec", "lists", "failures")
+
+
+_W, _W1 = "length(bin(gap))", "length(bin(gap + 1))"
+_SIZES = {
+    "none": "4 * count(*)",
+    "variable_byte": f"sum(({_W} + 6) // 7)",
+    "nybble_8": f"(sum(({_W} + 2) // 3) + 1) // 2",
+    "elias_gamma": f"(sum(2 * {_W1} - 1) + 7) // 8",
+    "elias_gamma_bitwise": f"(sum(2 * {_W1} - 1) + 7) // 8",
+    "elias_delta": f"(sum({_W1} - 1 + 2 * length(bin({_W1})) - 1) + 7) // 8",
+    "elias_delta_bitwise": f"(sum({_W1} - 1 + 2 * length(bin({_W1})) - 1) + 7) // 8",
+    "stream_vbyte": f"(count(*) + 3) // 4 + sum(({_W} + 7) // 8)",
+}
+_SIZE_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS codec, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT {x} AS b FROM g GROUP BY term)" for c, x in _SIZES.items())
+
+
+@query(f"{_LISTS} {_SIZE_ROWS}")
+def codec_bytes(spark, sf_dir):
+    """Bytes of the codecs whose size is a sum over the values."""
+    return _coded(spark, sf_dir).where(F.col("codec").isin(*_SIZES)).select("codec", "bytes")
 
 
 _SETS = "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.08)"
@@ -439,7 +594,13 @@ def bitset_popcount(spark, sf_dir):
     return _sets(spark, sf_dir).agg(F.sum(F.bit_count("a")).alias("n_a"), F.sum(F.bit_count("b")).alias("n_b"))
 
 
-@query()
+_BYTES = "list_transform(string_split(p_name, ''), lambda c: ord(c))"
+_TURN = "list_reduce(list_prepend(t[(b[1] + {turn}) % 256 + 1], b[2:]), lambda h, c: t[xor(h, c) + 1])"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_BYTES} AS b, {checksums.TABLE} AS t FROM part), f AS (SELECT *, len(b) AS n FROM n)
+SELECT p_partkey, CAST(list_sum(list_transform(range(1, n + 1), lambda i: b[i] * (n - i + 1))) % 255 * 256 + list_sum(b) % 255 AS INTEGER) AS fletcher16,
+CAST({_TURN.format(turn=0)} + 256 * {_TURN.format(turn=1)} AS INTEGER) AS pearson16 FROM f""")
 def checksum(spark, sf_dir):
     """Fletcher-16 and Pearson hashes of the part names."""
     return table(spark, sf_dir, "part").select("p_partkey", checksums.fletcher16(F.col("p_name")).alias("fletcher16"), checksums.pearson16(F.col("p_name")).alias("pearson16"))
@@ -474,8 +635,6 @@ _CLASS_SQL = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS
 @query(f"SELECT doc_id, {_CLASS_SQL} FROM documents")
 def character_classes(spark, sf_dir):
     """How many characters of some classes each document has."""
-    from impactspark.functions.text import CLASSES
-
     some = {"punct": "punct", "digit": "digit", "symbol": "symbol", "vowel": "ascii_vowel", "dna": "dna_base"}
     return _docs(spark, sf_dir).select("doc_id", *(F.regexp_count("text", F.lit(CLASSES[c])).cast("long").alias(f"n_{n}") for n, c in some.items()))
 
@@ -501,3 +660,160 @@ def union_postings(spark, sf_dir):
     """Bulk addition of a second collection's postings under the same ids."""
     more = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return build.union_postings(index(spark, sf_dir).postings, build.postings(build.token_rows(more)))
+
+
+@query("SELECT p_name, row_number() OVER (ORDER BY p_name) AS doc_id FROM (SELECT DISTINCT p_name FROM part)")
+def dense_ids(spark, sf_dir):
+    """Ids by key, from ranges numbered apart."""
+    return build.dense_ids(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name")
+
+
+_ASCII = {"ascii_alpha": "[A-Za-z]", "ascii_digit": "[0-9]", "ascii_alnum": "[A-Za-z0-9]", "ascii_upper": "[A-Z]", "ascii_lower": "[a-z]", "ascii_space": r"[ \t-\r]", "ascii_punct": r"[!-/:-@\[-`{-~]", "ascii_cntrl": r"[\x00-\x1F\x7F]", "ascii_graph": "[!-~]", "ascii_print": "[ -~]", "ascii_vowel": "[aeiouAEIOU]", "ascii_vowel_y": "[aeiouyAEIOUY]", "dna_base": "[acgtACGT]", "xdigit": "[0-9A-Fa-f]"}
+_ASCII_SQL = ", ".join(f"regexp_matches(c, '^{p}$') AS {n}" for n, p in _ASCII.items())
+
+
+@query(f"SELECT code, {_ASCII_SQL} FROM (SELECT CAST(i AS INTEGER) AS code, chr(CAST(i AS INTEGER)) AS c FROM range(1, 128) r(i))")
+def ascii_classes(spark, sf_dir):
+    """Every ASCII character's classes."""
+    c = F.chr(F.col("code"))
+    return spark.range(1, 128).select(F.col("id").cast("int").alias("code")).select("code", *(F.regexp_like(c, F.lit(f"(?s)^(?:{CLASSES[n]})\\z")).alias(n) for n in _ASCII))
+
+
+@query("SELECT CAST(i AS INTEGER) AS code, chr(CAST(i AS INTEGER)) AS text, CAST(octet_length(encode(chr(CAST(i AS INTEGER)))) AS INTEGER) AS size, true AS valid, CAST(i AS INTEGER) AS again FROM range(1, 120000, 37) r(i) WHERE NOT i BETWEEN 55296 AND 57343")
+def utf8_codec(spark, sf_dir):
+    """Code points to text and back, and their lengths in bytes."""
+    rows = spark.range(1, 120000, 37).where("not id between 55296 and 57343").select(F.col("id").cast("int").alias("code"))
+    made = rows.select("code", from_codepoints(F.array("code")).alias("text"))
+    return made.select("code", "text", utf8_bytes(F.col("code")).alias("size"), is_utf8(F.encode("text", "utf-8")).alias("valid"), to_codepoints(F.col("text"))[0].alias("again"))
+
+
+@query("SELECT word, bits, CAST(getbit AS INTEGER) AS third, CAST(bit_count(bits) AS INTEGER) AS members, bits | 8 AS with_third, bits & ~8::BIGINT AS without_third FROM (SELECT l_orderkey // 64 AS word, bit_or(1::BIGINT << CAST(l_orderkey % 64 AS INTEGER)) AS bits, bit_or(CASE WHEN l_orderkey % 64 = 3 THEN 1 ELSE 0 END) AS getbit FROM lineitem WHERE l_orderkey % 64 < 63 AND l_quantity > 40 GROUP BY 1)")
+def bitset_members(spark, sf_dir):
+    """Set, unset, get and count of a bitset's words."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 64 < 63 and l_quantity > 40").select(F.col("l_orderkey").alias("k"), F.lit(True).alias("bits"))
+    w = bits.words(rows, "k", ["bits"])
+    b = F.col("bits")
+    return w.select("word", "bits", bits.get_bit(b, 3).cast("int").alias("third"), F.bit_count(b).alias("members"), bits.set_bit(b, 3).alias("with_third"), bits.unset_bit(b, 3).alias("without_third"))
+
+
+# -- Sources over texts written here ------------------------------------------------------------------------------
+
+
+def _parts(spark, text: str, separator: str) -> DataFrame:
+    """What a reader that splits at a separator would give."""
+    return spark.createDataFrame([(p,) for p in text.split(separator)], "value string")
+
+
+def _lines(spark, text: str) -> DataFrame:
+    return _parts(spark, text, "\n")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """Rows as SQL."""
+    said = lambda v: "NULL" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(said, r))})" for r in rows) + f") AS t({columns})"
+
+
+TREC_TEXT = "<DOC><DOCNO> 1 </DOCNO>one</DOC>\nx <DOC>two</DOC><DOC><DOCNO>13 thirteen</DOC>\n<DOC><DOCNO>12</DOCNO>twelve\n<DOC><DOCNO>14</DOCNO>a\nb</DOC>\n<DOC><DOCNO>11"
+
+
+@query(_values([("1", "<DOC><DOCNO> 1 </DOCNO>one</DOC>"), ("Unknown", "<DOC>two</DOC>"), ("Unknown", "<DOC><DOCNO>13 thirteen</DOC>"), ("14", "<DOC><DOCNO>14</DOCNO>a\nb</DOC>")], "primary_key, contents"))
+def source_trec(spark, sf_dir):
+    """Tagged documents; without a closing tag there is none."""
+    return documents.trec_parts(_parts(spark, TREC_TEXT, "<DOC>"))
+
+
+@query(_values([("T", "<html lang=x><title>T</title>one</html>"), ("Unknown", "<html>two</html>")], "primary_key, contents"))
+def source_html(spark, sf_dir):
+    rows = spark.createDataFrame([("<html lang=x><title>T</title>one</html> <html>two</html><html>open",)], "value string")
+    return documents.tagged(rows, "html", "title", prefix=True)
+
+
+WARC_TEXT = "WARC/1.0\nContent-Length: 4\n\nskip\nWARC/1.0\nWARC-TREC-ID: w-13\nContent-Length: 9\n\nHTTP/1.1\nWARC/1.0\nWARC-TREC-ID: w-27\nContent-Length: 16\n\nHTTP/1.1 200 OK\n"
+
+
+@query(_values([("w-13", "\nHTTP/1.1"), ("w-27", "\nHTTP/1.1 200 OK")], "primary_key, contents"))
+def source_warc(spark, sf_dir):
+    return documents.warc_parts(_parts(spark, WARC_TEXT, f"\n{documents.WARC_KEY}"))
+
+
+@query(_values([(">one", ">one\nACGT\nAC"), (">two x", ">two x\nGG")], "primary_key, contents"))
+def source_fasta(spark, sf_dir):
+    return documents.fasta_parts(_parts(spark, ">one\nACGT\nAC\n>two x\nGG\n", "\n>"))
+
+
+@query(_values([("0", "the", 94), ("0", "big", 1024), ("AnonymousDocument", "a", 1)], "primary_key, term, tf").replace("BIGINT", "INTEGER"))
+def source_sparse_json(spark, sf_dir):
+    return documents.sparse_lines(_lines(spark, '{"id": "0", "vector": {"the": 94, "zero": 0, "big": 5000}}\n{"vector": {"a": 1}}\n{"id": "9"}'))
+
+
+@query(_values([("1", "one two"), ("2", "three"), ("4", "")], "query_id, query"))
+def source_queries(spark, sf_dir):
+    return tables.queries(_lines(spark, "1 one two  \n\n2:three\n4"))
+
+
+TOPICS = "<top>\n<num> Number: 698\n<title> literacy rates Africa\n<desc> Description:\nwhat\n</top>\n<top><num>700<title>gasoline tax, u.s.</top>\n<topic number='51' type='x'><query>Horse Hooves</query><description>d</description></topic>"
+
+
+@query(_values([("698", "literacy rates africa"), ("700", "gasoline tax u s"), ("51", "horse hooves")], "query_id, query"))
+def source_topics(spark, sf_dir):
+    return tables.topics_in(spark.createDataFrame([(bytearray(TOPICS.encode()),)], "content binary"))
+
+
+QRELS = "PRICE 0 a 3.5\n1 0 a 1\nshort\n1  0  b 0\n2 0 c 2"
+
+
+@query(_values([("1", "a", 1.0), ("1", "b", 0.0), ("2", "c", 2.0)], "query_id, doc_id, score"))
+def source_qrels(spark, sf_dir):
+    return tables.qrels_in(_lines(spark, QRELS))
+
+
+@query(_values([("a", 3.5)], "doc_id, price"))
+def source_prices(spark, sf_dir):
+    return tables.prices_in(_lines(spark, QRELS))
+
+
+RUN = "1 Q0 a 1 9.5 mine\n1 Q0 b 2 8 mine\n\n2 Q0 a 1 7 mine"
+
+
+@query(_values([("mine", "1", "a", 1.0, 9.5), ("mine", "1", "b", 2.0, 8.0), ("mine", "2", "a", 1.0, 7.0)], "run_id, query_id, doc_id, rank, score"))
+def source_runs(spark, sf_dir):
+    return tables.runs_in(_lines(spark, RUN)).drop("at")
+
+
+@query(_values([("1", 20), ("2", 3)], "query_id, bound").replace("BIGINT", "INTEGER"))
+def source_known_scores(spark, sf_dir):
+    return tables.known_in(_lines(spark, "1 20\n\n2 3"))
+
+
+def _ciff(spark) -> DataFrame:
+    data = ciff.encode([("a", [(0, 1), (2, 3)]), ("b", [(1, 2000)])], [("x", 4), ("y", 5), ("z", 6)], "test")
+    return ciff.rows_in(spark.createDataFrame([(bytearray(data),)], "content binary"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1::BIGINT, 1), ('a', 3::BIGINT, 3), ('b', 2::BIGINT, 1024)) AS t(term, doc_id, tf)")
+def source_ciff_postings(spark, sf_dir):
+    return ciff.postings(_ciff(spark))
+
+
+@query(_values([(1, "x", 4), (2, "y", 5), (3, "z", 6)], "doc_id, primary_key, length"))
+def source_ciff_documents(spark, sf_dir):
+    return ciff.documents(_ciff(spark))
+
+
+@query("WITH imp AS (SELECT * FROM (VALUES ('a', 5, 1), ('a', 5, 3), ('a', 9, 2), ('b', 2, 9)) AS t(term, impact, doc_id)) SELECT term, impact, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(doc_id - 1 AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM imp GROUP BY ALL")
+def dump_and_back(spark, sf_dir):
+    """Segments to binary lists and back."""
+    from impactspark.sinks import dumped
+
+    impacts = spark.createDataFrame([("a", 1, 5), ("a", 3, 5), ("a", 2, 9), ("b", 9, 2)], "term string, doc_id long, impact int")
+    raw = dumped(build.segments(impacts)).select(F.concat_ws(" ", "term", "impact").alias("path"), F.col("data").alias("content"))
+    back = documents.dump_lists(raw).select(F.split(F.substring_index("list", "#", 1), " ").alias("k"), "ids")
+    return back.select(F.col("k")[0].alias("term"), F.col("k")[1].cast("int").alias("impact"), F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT x, round(p, 6) AS p FROM (VALUES (-1.0::DOUBLE, 0.158655), (0.0::DOUBLE, 0.5), (1.0::DOUBLE, 0.841345), (1.96::DOUBLE, 0.975002)) AS t(x, p)".replace("round(p, 6)", "round(CAST(p AS DOUBLE), 6)"))
+def normal_distribution(spark, sf_dir):
+    """The normal distribution at known points."""
+    points = [(x, statistics.normal_cdf(x)) for x in (-1.0, 0.0, 1.0, 1.96)]
+    return spark.createDataFrame(points, "x double, p double").withColumn("p", F.round("p", 6))

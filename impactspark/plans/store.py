@@ -1,49 +1,80 @@
-"""Where intermediate tables go, and the index of a table folder, built once in a session."""
+"""Where intermediate tables go, and tables that a session makes once for a folder: its index, runs, workloads."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from impactspark.operators.index import Index, doc_lengths, postings, quantized, scored, token_rows
+from impactspark.operators.index import Index, build
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir, or a temporary folder where it is unset on one machine (tests)."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="impactspark-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder, which goes when the driver ends."""
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        _marked.add(root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(docs: DataFrame, path: str) -> None:
-    """The tables of Index.write, each made from those stored before it, so that nothing is counted or scored twice."""
+def store(docs: DataFrame, path: str, **options) -> Index:
+    """The index of docs(doc_id, text) as tables under path; each is made from those stored before it, so nothing is
+    counted or scored twice."""
     spark = docs.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}-making/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}-making/{name}")
 
-    posts, lengths = kept(postings(token_rows(docs)), "postings"), kept(doc_lengths(docs), "doc_lengths")
-    impacts = quantized(kept(scored(posts, lengths), "scores"))
-    impacts.sortWithinPartitions("term", "impact").write.mode("overwrite").parquet(f"{path}/impacts")
+    found = build(docs, store=kept, **options).write(path)
+    making = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}-making")
+    making.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(making, True)
+    return found
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str, str], str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the folder's documents, stored as Parquet on first use."""
-    key = spark.sparkContext.applicationId, sf_dir
+def index(spark: SparkSession, sf_dir: str, **options) -> Index:
+    """The index of the folder's documents, stored on first use."""
+    key = spark.sparkContext.applicationId, sf_dir, repr(sorted(options.items()))
     if key not in _built:
-        path = f"{shared_dir(spark)}/{key[0]}/index-{uuid.uuid4().hex}"
-        store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+        path = scratch(spark, "index")
+        store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, **options)
         _built[key] = path
     return Index.read(spark, _built[key])
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once in a session for a folder."""
+    key = spark.sparkContext.applicationId, sf_dir, f"table {name}"
+    if key not in _built:
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _built[key] = path
+    return spark.read.parquet(_built[key])

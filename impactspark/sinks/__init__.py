@@ -17,9 +17,14 @@ def run_file(results: DataFrame, path: str, keys: DataFrame | None = None, name:
     search.trec_run(results, keys, name).orderBy("query_id", "rank").select("line").write.mode("overwrite").text(path)
 
 
-def statistics_file(processed: DataFrame, queries: DataFrame, path: str) -> None:
-    """A line for each query: id, text, postings read."""
-    line = F.concat(F.lit("<id>"), "query_id", F.lit("</id><query>"), "query", F.lit("</query><postings>"), F.coalesce("postings_processed", F.lit(0)), F.lit("</postings>"))
+#: Writers of runs by name.
+EXPORTERS = {"trec": run_file}
+
+
+def statistics_file(processed: DataFrame, queries: DataFrame, path: str, nanoseconds: int | None = None) -> None:
+    """A line for each query: id, text, postings read and, if known, the time (a batch's is shared by its queries)."""
+    time = [] if nanoseconds is None else [F.lit(f"<time_ns>{nanoseconds}</time_ns>")]
+    line = F.concat(F.lit("<id>"), "query_id", F.lit("</id><query>"), "query", F.lit("</query><postings>"), F.coalesce("postings_processed", F.lit(0)), F.lit("</postings>"), *time)
     queries.join(processed, "query_id", "left").orderBy("query_id").select(line).write.mode("overwrite").text(path)
 
 
@@ -31,17 +36,19 @@ def forward_file(impacts: DataFrame, path: str, keys: DataFrame | None = None) -
 
 
 def human_file(postings: DataFrame, path: str, dictionary_only: bool = False) -> None:
-    rows = index.human(postings)
-    line = F.col("term") if dictionary_only else F.concat("term", F.lit("->"), "listed")
-    rows.orderBy("term").select(line).write.mode("overwrite").text(path)
+    """A line for each term and range of ids: 'term-><doc,tf>...'; the terms alone for a dictionary."""
+    if dictionary_only:
+        postings.select("term").distinct().orderBy("term").write.mode("overwrite").text(path)
+    else:
+        index.human(postings).orderBy("term", "chunk").select(F.concat("term", F.lit("->"), "listed")).write.mode("overwrite").text(path)
 
 
 def dumped(segments: DataFrame) -> DataFrame:
-    """(term, data): for each segment, high impacts first, a 32-bit length and 0-based 32-bit ids."""
+    """(term, impact, chunk, data) of index.segments(): a 32-bit length and 0-based 32-bit ids. A term's lists, high
+    impacts first, are its rows in that order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"term": b.term, "impact": b.impact, "data": [np.array([len(ids), *np.asarray(ids, np.int64)], "<u4").tobytes() for ids in b.doc_ids]})
+            yield b[["term", "impact", "chunk"]].assign(data=[np.array([len(ids), *(np.asarray(ids, np.int64) - 1)], "<u4").tobytes() for ids in b.doc_ids])
 
-    raw = segments.select("term", "impact", F.transform("doc_ids", lambda d: d - 1).alias("doc_ids")).mapInPandas(run, "term string, impact int, data binary")
-    return raw.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("impact", "data")), asc=False), lambda s: s["data"]).alias("parts")).select("term", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("data"))
+    return segments.select("term", "impact", "chunk", "doc_ids").mapInPandas(run, "term string, impact int, chunk long, data binary")
