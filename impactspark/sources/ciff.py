@@ -89,7 +89,13 @@ _ROW = "kind string, at long, term string, df long, cf long, postings array<stru
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of both kinds, 'list' and 'document', as they stand in the files."""
+    """Rows of both kinds, 'list' and 'document', as they stand in the files. The messages have no marks between them, so
+    a file is one task; writers of large indexes make many files."""
+    return rows_in(binary_files(spark, path))
+
+
+def rows_in(files: DataFrame) -> DataFrame:
+    """Of files(content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,7 +114,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _frame(rows)
 
-    return binary_files(spark, path).mapInPandas(run, _ROW)
+    return files.mapInPandas(run, _ROW)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,88 +50,91 @@ def tagged(text: DataFrame, doc_tag: str = "DOC", key_tag: str = "DOCNO", column
 
 
 def trec(spark: SparkSession, path: str, doc_tag: str = "DOC", key_tag: str = "DOCNO") -> DataFrame:
-    """Files are split at closing tags, not read whole, so a large file is many tasks."""
-    closing = f"</{doc_tag}>"
-    parts = spark.read.text(path, lineSep=closing).where(F.col("value").contains(f"<{doc_tag}>"))
-    # What follows the last closing tag lacks one and comes as a part as well: only a full element counts, so
-    # an unterminated last document is told by the file's end, where Spark keeps no separator.
-    whole = F.regexp_extract("value", f"(?s)<{re.escape(doc_tag)}>.*$", 0)
-    ended = parts.select(F.concat(whole, F.lit(closing)).alias("value"), F.col("value").alias("raw"))
-    return tagged(ended, doc_tag, key_tag)
+    """Files are split at opening tags, not read whole, so a large file is many tasks. What stands before a file's first
+    opening tag, and a document whose closing tag is missing, are no documents."""
+    return trec_parts(spark.read.text(path, lineSep=f"<{doc_tag}>"), doc_tag, key_tag)
 
 
-def html(spark: SparkSession, path: str, key_tag: str = "title") -> DataFrame:
-    return tagged(spark.read.text(path, wholetext=True), "html", key_tag, prefix=True)
+def trec_parts(parts: DataFrame, doc_tag: str = "DOC", key_tag: str = "DOCNO") -> DataFrame:
+    """Documents of what stands behind opening tags."""
+    whole = F.regexp_extract("value", f"(?s)^.*?</{re.escape(doc_tag)}>", 0)
+    return tagged(parts.select(F.concat(F.lit(f"<{doc_tag}>"), whole).alias("value")).where(F.length("value") > len(doc_tag) + 2), doc_tag, key_tag)
 
 
-_WARC_ID, _WARC_SIZE = re.compile(rb"WARC-TREC-ID:[ \t]*([^\r\n]*)"), re.compile(rb"Content-Length:[ \t]*([0-9]+)")
+def html(spark: SparkSession, path: str, key_tag: str = "title") -> DataFrame:
+    return tagged(spark.read.text(path, wholetext=True), "html", key_tag, prefix=True)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[str, str]]:
-    """Records with a WARC-TREC-ID: the bytes that Content-Length counts behind its line."""
-    at = 0
-    while name := _WARC_ID.search(data, at):
-        size = _WARC_SIZE.search(data, name.end())
-        if not size:
-            return
-        begin = data.find(b"\n", size.end()) + 1
-        if not begin:
-            return
-        end = begin + int(size[1])
-        yield name[1].decode(errors="replace").strip(), data[begin:end].decode(errors="replace")
-        at = end
+WARC_KEY = "WARC-TREC-ID:"
 
 
-def fasta_records(data: bytes) -> Iterator[tuple[str, str]]:
-    """Records from '>' to the next line that begins with one; the key is the first line with its '>'."""
-    for part in re.split(rb"\n(?=>)", data):
-        if part.startswith(b">"):
-            text = part.decode(errors="replace").rstrip("\n")
-            yield text.split("\n", 1)[0].strip(), text
+def warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records with a WARC-TREC-ID: the bytes that Content-Length counts behind its line.
 
+    Files are split at lines that begin with the id's name and streamed, whatever their size; one that isn't
+    compressed is many tasks. A line of a payload that begins with that name ends its record.
+    """
+    return warc_parts(spark.read.text(path, lineSep=f"\n{WARC_KEY}"))
 
-def _parsed(spark: SparkSession, path: str, records) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b.content:
-                rows = list(records(content))
-                yield pd.DataFrame(rows, columns=["primary_key", "contents"])
 
-    return binary_files(spark, path).mapInPandas(run, SCHEMA)
+def warc_parts(parts: DataFrame) -> DataFrame:
+    """Records of what stands behind the id's name; other parts have no length or begin with a record's first line."""
+    head = F.regexp_extract("value", "(?s)^.*?\\nContent-Length:[ \\t]*[0-9]+[^\\n]*\\n", 0)
+    size = F.regexp_extract(head, "Content-Length:[ \\t]*([0-9]+)[^\\n]*\\n$", 1).cast("int")
+    body = F.substring(F.col("value").cast("binary"), F.octet_length(head) + 1, size)
+    key = F.trim(F.regexp_extract("value", "^[ \\t]*([^\\r\\n]*)", 1))
+    return parts.where((head != "") & ~F.col("value").startswith("WARC/")).select(key.alias("primary_key"), F.make_valid_utf8(body.cast("string")).alias("contents"))
 
 
-def warc(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, warc_records)
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """Records from '>' to the next line that begins with one; the key is the first line with its '>'. Files are split at
+    such lines and streamed."""
+    return fasta_parts(spark.read.text(path, lineSep="\n>"))
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, fasta_records)
+def fasta_parts(parts: DataFrame) -> DataFrame:
+    """Records of what stands between lines' '>'; a file's first still has its own."""
+    text = F.rtrim(F.concat(F.when(F.col("value").startswith(">"), "").otherwise(">"), "value"), F.lit("\n"))
+    return parts.where(F.trim("value") != "").select(F.trim(F.substring_index(text, "\n", 1)).alias("primary_key"), text.alias("contents"))
 
 
 def sparse_json(spark: SparkSession, path: str) -> DataFrame:
     """(primary_key, term, tf) of lines {"id": ..., "vector": {term: weight}}; weights end at 1024, zeros go."""
-    lines = spark.read.schema("id string, vector map<string,int>").json(path)
-    return lines.select(F.coalesce("id", F.lit(ANONYMOUS)).alias("primary_key"), F.explode("vector").alias("term", "w")).where("w > 0").select("primary_key", "term", F.least("w", F.lit(1024)).alias("tf"))
+    return sparse_lines(spark.read.text(path))
+
+
+def sparse_lines(lines: DataFrame) -> DataFrame:
+    """Lines with a list in place of an object, or none, have no terms."""
+    one = lines.select(F.from_json("value", "id string, vector map<string,int>").alias("d")).select("d.*")
+    return one.select(F.coalesce("id", F.lit(ANONYMOUS)).alias("primary_key"), F.explode("vector").alias("term", "w")).where("w > 0").select("primary_key", "term", F.least("w", F.lit(1024)).alias("tf"))
 
 
 def postings_dump(spark: SparkSession, path: str) -> DataFrame:
     """(list, ids) of binary dumps: a 32-bit length and as many 32-bit ids, again and again."""
+    return dump_lists(binary_files(spark, path))
+
+
+def dump_lists(files: DataFrame) -> DataFrame:
+    """Of files(path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b.path, b.content, strict=True):
-                at, rows = 0, []
+                at, rows, n_rows = 0, [], 0
                 while at + 4 <= len(content):
                     n = int.from_bytes(content[at : at + 4], "little")
-                    rows.append((f"{name}#{len(rows)}", np.frombuffer(content, "<u4", n, at + 4).astype(np.int64).tolist()))
-                    at += 4 + 4 * n
+                    rows.append((f"{name}#{n_rows}", np.frombuffer(content, "<u4", n, at + 4).astype(np.int64).tolist()))
+                    at, n_rows = at + 4 + 4 * n, n_rows + 1
+                    if len(rows) == 2048:
+                        yield pd.DataFrame(rows, columns=["list", "ids"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=["list", "ids"])
 
-    return binary_files(spark, path).mapInPandas(run, "list string, ids array<long>")
+    return files.mapInPandas(run, "list string, ids array<long>")
 
 
 #: Readers by format name.
-READERS = {"trec": trec, "html": html, "warc": warc, "fasta": fasta, "files": whole_files}
+READERS: dict[str, Callable[..., DataFrame]] = {"trec": trec, "html": html, "warc": warc, "fasta": fasta, "files": whole_files}
 
 
 def read(spark: SparkSession, path: str, format: str, **options) -> DataFrame:

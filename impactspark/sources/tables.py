@@ -16,8 +16,12 @@ from impactspark.sources.documents import binary_files
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query): a line each, the id first; blank lines are passed over."""
+    return queries(spark.read.text(path))
+
+
+def queries(lines: DataFrame) -> DataFrame:
     line = F.rtrim("value")
-    parts = spark.read.text(path).select(line.alias("line")).where("line != ''")
+    parts = lines.select(line.alias("line")).where("line != ''")
     return parts.select(F.regexp_extract("line", "^([^\" \\t:]*)", 1).alias("query_id"), F.regexp_extract("line", "^[^\" \\t:]*[\" \\t:]+(.*)$", 1).alias("query"))
 
 
@@ -40,40 +44,62 @@ def topics_of(text: str, tags: str = "tq") -> list[tuple[str, str]]:
 
 
 def topics(spark: SparkSession, path: str, tags: str = "tq") -> DataFrame:
+    return topics_in(binary_files(spark, path), tags)
+
+
+def topics_in(files: DataFrame, tags: str = "tq") -> DataFrame:
+    """Of files(content)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b.content:
                 yield pd.DataFrame(topics_of(content.decode(errors="replace"), tags), columns=["query_id", "query"])
 
-    return binary_files(spark, path).mapInPandas(run, "query_id string, query string")
+    return files.mapInPandas(run, "query_id string, query string")
 
 
-def _columns(spark: SparkSession, path: str, n: int) -> DataFrame:
+def _columns(lines: DataFrame, n: int) -> DataFrame:
     parts = F.filter(F.split("value", "\\s+"), lambda x: x != "")
-    return spark.read.text(path).select(parts.alias("c")).where(F.size("c") >= n)
+    return lines.select(parts.alias("c"), F.monotonically_increasing_id().alias("at")).where(F.size("c") >= n)
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
+    return qrels_in(spark.read.text(path))
+
+
+def qrels_in(lines: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): four columns, the second unused; short lines and prices are passed over."""
-    rows = _columns(spark, path, 4).select(F.get("c", F.lit(0)).alias("query_id"), F.get("c", F.lit(2)).alias("doc_id"), F.get("c", F.lit(3)).cast("double").alias("score"))
+    rows = _columns(lines, 4).select(F.get("c", F.lit(0)).alias("query_id"), F.get("c", F.lit(2)).alias("doc_id"), F.get("c", F.lit(3)).cast("double").alias("score"))
     return rows.where("query_id != 'PRICE'")
 
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
+    return prices_in(spark.read.text(path))
+
+
+def prices_in(lines: DataFrame) -> DataFrame:
     """(doc_id, price) of the PRICE lines."""
-    rows = _columns(spark, path, 4).where(F.get("c", F.lit(0)) == "PRICE")
+    rows = _columns(lines, 4).where(F.get("c", F.lit(0)) == "PRICE")
     return rows.select(F.get("c", F.lit(2)).alias("doc_id"), F.get("c", F.lit(3)).cast("double").alias("price"))
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, query_id, doc_id, rank, score) of six columns."""
+    return runs_in(spark.read.text(path))
+
+
+def runs_in(lines: DataFrame) -> DataFrame:
+    """(run_id, query_id, doc_id, rank, score, at) of six columns; at grows along the lines."""
     c = lambda i: F.get("c", F.lit(i))
-    return _columns(spark, path, 6).select(c(5).alias("run_id"), c(0).alias("query_id"), c(2).alias("doc_id"), c(3).cast("double").alias("rank"), c(4).cast("double").alias("score"))
+    return _columns(lines, 6).select(c(5).alias("run_id"), c(0).alias("query_id"), c(2).alias("doc_id"), c(3).cast("double").alias("rank"), c(4).cast("double").alias("score"), "at")
 
 
 def known_scores(spark: SparkSession, path: str) -> DataFrame:
+    return known_in(spark.read.text(path))
+
+
+def known_in(lines: DataFrame) -> DataFrame:
     """(query_id, bound)."""
-    return _columns(spark, path, 2).select(F.get("c", F.lit(0)).alias("query_id"), F.get("c", F.lit(1)).cast("int").alias("bound"))
+    return _columns(lines, 2).select(F.get("c", F.lit(0)).alias("query_id"), F.get("c", F.lit(1)).cast("int").alias("bound"))
 
 
 def price_run(rows: DataFrame) -> DataFrame:

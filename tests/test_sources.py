@@ -1,14 +1,16 @@
 """Sources, sinks, engine, command line and stream ingest over files written here."""
 
 import gzip
+import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from impactspark import cli, sinks
 from impactspark.engine import Engine
-from impactspark.operators import index
+from impactspark.operators import evaluation, index, search
 from impactspark.sources import ciff, documents, tables
 from impactspark.streaming import current, ingest
 
@@ -28,6 +30,31 @@ def test_trec(spark, tmp_path):
     assert [k for k, _ in got] == ["1", "3", "4", "Unknown"] and got[0][1] == "<DOC><DOCNO> 1 </DOCNO>one</DOC>"
 
 
+def test_broken_documents(spark, tmp_path):
+    """An unterminated document is none, at the end of a file or before another; a broken key is no key."""
+    (tmp_path / "a").write_text("preamble <DOC><DOCNO>10</DOCNO>ten</DOC>\n<DOC><DOCNO>13 thirteen</DOC>\n<DOC><DOCNO>12</DOCNO>twelve\n")
+    (tmp_path / "b").write_text("<DOC><DOCNO>12</DOCNO>twelve <DOC><DOCNO>1</DOCNO>one</DOC> tail <DOC><DOCNO>11")
+    (tmp_path / "c").write_text("nothing here")
+    assert [k for k, _ in _keys(documents.trec(spark, str(tmp_path)))] == ["1", "10", "Unknown"]
+
+
+def test_large_files_are_many_tasks(spark, tmp_path):
+    """Records of files cut into splits: each comes once, wherever the cuts are."""
+    record = lambda i: f"WARC/1.0\r\nWARC-TREC-ID: w-{i}\r\nContent-Length: {len(str(i)) + 300}\r\n{i}{'x' * 300}\r\n"
+    (tmp_path / "w").write_text("".join(map(record, range(400))), newline="")
+    (tmp_path / "f").write_text("".join(f">k{i}\n{'ACGT' * 50}\n" for i in range(400)))
+    (tmp_path / "t").write_text("".join(f"<DOC><DOCNO>{i}</DOCNO>{'x ' * 100}</DOC>\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for reader, name, key in ((documents.warc, "w", "w-{}"), (documents.fasta, "f", ">k{}"), (documents.trec, "t", "{}")):
+            found = reader(spark, str(tmp_path / name))
+            assert found.rdd.getNumPartitions() > 4
+            assert sorted(r.primary_key for r in found.collect()) == sorted(key.format(i) for i in range(400))
+        assert {len(r.contents) for r in documents.warc(spark, str(tmp_path / "w")).collect()} == {301, 302, 303}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_custom_tags_and_html(spark, tmp_path):
     (tmp_path / "a.html").write_text("<html lang='en'><title>T</title>x</html><html><title>U</title></html><html>open")
     assert [k for k, _ in _keys(documents.html(spark, str(tmp_path)))] == ["T", "U"]
@@ -101,11 +128,23 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_binary_dump(spark, tmp_path):
     impacts = spark.createDataFrame([("a", 1, 5), ("a", 3, 5), ("a", 2, 9)], "term string, doc_id long, impact int")
-    row = sinks.dumped(index.segments(impacts)).first()
-    (tmp_path / "d").write_bytes(bytes(row.data))
+    rows = sinks.dumped(index.segments(impacts)).orderBy("impact", ascending=False).collect()
+    (tmp_path / "d").write_bytes(b"".join(bytes(r.data) for r in rows))
     assert [r.ids for r in documents.postings_dump(spark, str(tmp_path / "d")).collect()] == [[1], [0, 2]]
 
 
+def test_lists_are_stored_by_ranges(spark):
+    """A term of all documents is many rows; gaps go on from range to range."""
+    posts = spark.range(1, 101).select(F.lit("all").alias("term"), (F.col("id") * F.col("id")).alias("doc_id"), F.lit(1).alias("tf"))
+    cut = index.segments(posts.withColumnRenamed("tf", "impact"), 1000).orderBy("chunk").collect()
+    assert len(cut) == 11 and [d for r in cut for d in r.doc_ids] == [i * i for i in range(1, 101)]
+    gaps = index.gaps(posts, 1000)
+    assert [r.gap for r in gaps.orderBy("doc_id").collect()] == [2, *(2 * i + 1 for i in range(1, 100))]
+    back = index.ungapped(gaps.withColumnRenamed("doc_id", "place"), 1000)
+    assert sorted(r.doc_id for r in back.collect()) == [i * i for i in range(1, 101)]
+    assert "".join(r.listed for r in index.human(posts, 1000).orderBy("chunk").collect()) == "".join(f"<{i * i},1>" for i in range(1, 101))
+
+
 def test_engine(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"{i} {' '.join(TEN[:i])}") for i in range(1, 11)], "doc_id long, text string")
     engine = Engine(spark).build(docs).top(3)
@@ -120,6 +159,60 @@ def test_engine(spark, tmp_path):
         Engine(spark).search("x")
 
 
+def test_queries_are_folded_as_the_index(spark):
+    docs = spark.createDataFrame([(1, "un café noir"), (2, "½ हिन्दी"), (3, "motoring caresses"), (4, "other words")], "doc_id long, text string")
+    engine = Engine(spark).build(docs, mode="full")
+    found = lambda q: [r[1] for r in engine.search(q)]
+    assert found("q café") == found("q CAFE") == [1] and found("q 12") == found("q ½") == [2] and found("q हिन्दी") == [2]
+    stemmed = Engine(spark).build(docs, stem=True)
+    assert [r[1] for r in stemmed.search("q motor")] == [r[1] for r in stemmed.search("q motoring")] == [3]
+
+
+def test_a_query_reads_its_buckets_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(20))) for i in range(200)], "doc_id long, text string")
+    engine = Engine(spark).build(docs, str(tmp_path / "i")).top(5)
+    terms = engine.terms(spark.createDataFrame([("q", "w1")], "query_id string, query string"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = search.search(engine.index, terms, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.split("\n") if "FileScan" in line and "bucket" in line)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", scan) and "PushedFilters: [In(term, [1,w])" in scan
+    assert engine.index.buckets == 4 and engine.index.vocabulary.count() == 301  # w and the numbers
+    assert sorted(engine.search("q w1 w2")) == sorted(Engine(spark).load(str(tmp_path / "i")).top(5).search("q w1 w2"))
+
+
+def test_runs_and_statistics_files(spark, tmp_path, capsys, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} {' '.join(TEN[:i])}", f"d{i}") for i in range(1, 11)], "doc_id long, text string, primary_key string")
+    engine = Engine(spark).build(docs, str(tmp_path / "i")).top(2).limit(absolute=4)
+    engine.run_to(spark.createDataFrame([("7", "five two")], "query_id string, query string"), str(tmp_path / "run"), str(tmp_path / "stats"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "run")).collect())[1].startswith("7 Q0 d9 1 564 ")
+    line = spark.read.text(str(tmp_path / "stats")).first().value
+    assert line.startswith("<id>7</id><query>five two</query><postings>4</postings><time_ns>") and engine.statistics.postings == 4 and engine.statistics.mean_seconds > 0
+    docs.select("doc_id", "primary_key").write.parquet(str(tmp_path / "i" / "keys"))
+    monkeypatch.setattr("sys.stdin", io.StringIO("8 one\n\n"))
+    cli.main(["search", str(tmp_path / "i"), "-", "-"])
+    assert "8 Q0 d10 1 " in capsys.readouterr().out
+
+
+def test_index_about_some_terms(spark, tmp_path):
+    (tmp_path / "docs").write_text(TREC)
+    (tmp_path / "topics").write_text("7 five Two\n")
+    cli.main(["index", str(tmp_path / "docs"), str(tmp_path / "index"), "--about", str(tmp_path / "topics"), "--full"])
+    found = index.Index.read(spark, str(tmp_path / "index"))
+    assert sorted(r.term for r in found.vocabulary.collect()) == ["five", "two"] and found.mode == "full"
+
+
+def test_evaluation_in_file_order(spark):
+    lines = "1 Q0 b 2 1 r\n1 Q0 a 1 2 r\n2 Q0 a 1 1 r\n1 Q0 c 1 9 r\n"
+    runs = tables.runs_in(spark.createDataFrame([(x,) for x in lines.split("\n")], "value string").coalesce(1))
+    rels = spark.createDataFrame([("1", "b", 1.0), ("2", "a", 1.0)], "query_id string, doc_id string, score double")
+    place = lambda **o: {(r.query_id, r.doc_id): r.pos for r in evaluation.judged(runs, rels, **o).collect()}
+    assert place(file_order=True) == {("1", "b"): 1, ("1", "a"): 2, ("2", "a"): 1}
+    assert place() == {("1", "a"): 1, ("1", "c"): 2, ("1", "b"): 3, ("2", "a"): 1}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"{' '.join(TEN[:i])} é") for i in range(1, 11)], "doc_id long, text string").repartition(5)
     docs.write.parquet(str(tmp_path / "in"))
