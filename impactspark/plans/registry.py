@@ -379,7 +379,7 @@ def _judged(spark, sf_dir) -> DataFrame:
 
 def _per_query(spark, sf_dir, depth: int | None = None) -> DataFrame:
     rows = _judged(spark, sf_dir)
-    return once(spark, sf_dir, f"measures-{depth}", lambda: evaluation.measures(rows if depth is None else rows.where(F.col("pos") <= depth), _CUTS))
+    return evaluation.measures(rows if depth is None else rows.where(F.col("pos") <= depth), _CUTS)
 
 
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
@@ -425,7 +425,7 @@ FROM (SELECT jud.*, pq.* EXCLUDE (query_id), ret.returned, ideal.price AS ideal_
 
 def _price_measures(spark, sf_dir, depth: int | None = None) -> DataFrame:
     _, qrels, prices = _runs(spark, sf_dir)
-    return once(spark, sf_dir, f"prices-{depth}", lambda: evaluation.price_measures(_judged(spark, sf_dir), qrels, prices, depth=depth))
+    return evaluation.price_measures(_judged(spark, sf_dir), qrels, prices, depth=depth)
 
 
 _PRICED = ["bp", "bp4", "sp", "cheapest_p", "pb_ndcg", "bp_ndcg"]
