@@ -25,6 +25,8 @@ from impactspark.llm._shared import row_key, table, written
 WINDOW = 10
 #: Document positions that meet the diagonals they are near to by one key.
 SPAN = 64
+#: Places of one cell, in which diagonals and rare words meet; what a place of zero is written as.
+CELL, ZERO = 32, 1 << 30
 #: A table is broadcast only after a count and only at this many rows of short words or fewer.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,11 +87,12 @@ def diagonals(postings: DataFrame, words: DataFrame, window: int = WINDOW, near:
     span = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, max(window - 2, 0))
     rated = words.join(small(counts), ["term", "next"], "left").withColumn("rate", F.when(F.col("next").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "ipos", "term", "next")))
     best = rated.withColumn("best", F.min("rate").over(span)).where((F.col("ipos") + window <= F.col("n_words")) | (F.col("ipos") == 0))
-    pair = rated.where("rate.n > 0").select("item", "ipos", "term", "next") if near else best.where("best.n > 0").select("item", "best.ipos", "best.term", "best.next").distinct()
+    item = ["item", "no"] if near else ["item"]
+    pair = rated.where("rate.n > 0").select(*item, "ipos", "term", "next") if near else best.where("best.n > 0").select("item", "best.ipos", "best.term", "best.next").distinct()
     alone = words.where(F.col("n_words") == 1) if window > 1 else words
-    pair, alone = small(written(pair, "anchors")), small(alone.select("item", "ipos", "term"))
+    pair, alone = small(written(pair, "anchors")), small(alone.select(*item, "ipos", "term"))
     diag = (F.col("pos") - F.col("ipos")).alias("diag")
-    named = postings.join(pair, ["term", "next"]).select("doc", "item", diag).unionByName(postings.join(alone, "term").select("doc", "item", diag))
+    named = postings.join(pair, ["term", "next"]).select("doc", *item, diag).unionByName(postings.join(alone, "term").select("doc", *item, diag))
     return named if near else written(named.distinct(), "diagonals")
 
 
@@ -115,17 +118,36 @@ def rarest(postings: DataFrame, words: DataFrame, window: int, share: float) ->
     return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(share) * F.col("size")) + 1).select("item", "ipos", "term").distinct()
 
 
+def item_numbers(words: DataFrame) -> DataFrame:
+    """(item, no): items numbered from 0 without gaps, by the parts of a stored table and the rows before each part."""
+    part, bits = F.shiftrightunsigned("at", 33), F.lit((1 << 33) - 1)
+    stored = written(words.select("item").distinct().withColumn("at", F.monotonically_increasing_id()), "items")
+    before, offsets = 0, []
+    for r in stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a part
+        offsets.append((r.part, before))
+        before += r.n
+    ahead = F.broadcast(words.sparkSession.createDataFrame(offsets, "part long, ahead long"))
+    return stored.withColumn("part", part).join(ahead, "part").select("item", (F.col("ahead") + F.col("at").bitwiseAND(bits)).alias("no"))
+
+
 def proximity(postings: DataFrame, words: DataFrame, window: int = WINDOW, slack: int = 5, share: float = 0.8) -> DataFrame:
     """Near matches as (doc, item, around, n_near): item words met within ``slack`` positions of a diagonal that two of
     them name, if they are at least ``share`` of a phrase. Exact occurrences are among them; an item word counts once.
     Documents and items without words are in no match; empty tables give no rows."""
-    cell = lambda at: F.floor(at / (2 * slack + 1))
-    key = lambda at: F.xxhash64("doc", "item", cell(at))
-    # Keys that meet by chance, or in one cell but further apart, only have a diagonal counted that comes to nothing.
+    # A diagonal is two numbers: its document, and its item's number above its place. Both are small, so they pack well on
+    # their way, and the cells in which diagonals meet the rare words' are reckoned from them, not carried.
+    numbers = item_numbers(words)
+    numbered = lambda df: df.join(small(numbers), "item")
+    packed = lambda at: F.shiftleft(F.col("no"), 32).bitwiseOR((at + ZERO).cast("long"))
+    place = lambda key: key.bitwiseAND(F.lit((1 << 32) - 1))
+    cell = lambda key: F.shiftrightunsigned(key, 32) * (1 << 28) + F.floor(place(key) / CELL)
     at = F.col("pos") - F.col("ipos")
-    anchors = small(written(rarest(postings, words, window, share), "rarest"))
-    close = postings.join(anchors, "term").select(F.explode(F.array_distinct(F.array(key(at - slack), key(at + slack)))).alias("key"))
-    kept = diagonals(postings, words, window, near=True).withColumn("key", key(F.col("diag"))).join(close, "key", "left_semi").select("doc", "item", "diag").distinct()
+    anchors = small(numbered(written(rarest(postings, words, window, share), "rarest")))
+    around = F.array_distinct(F.array(cell(packed(at - slack)), cell(packed(at + slack))))
+    close = postings.join(anchors, "term").select("doc", F.explode(around).alias("cell"))
+    named = diagonals(postings, numbered(words), window, near=True).select("doc", packed(F.col("diag")).alias("key"))
+    met = named.join(close.withColumnRenamed("doc", "of"), (F.col("doc") == F.col("of")) & (cell(F.col("key")) == F.col("cell")), "left_semi").distinct()
+    kept = met.withColumn("no", F.shiftrightunsigned("key", 32)).join(small(numbers), "no").select("doc", "item", (place(F.col("key")) - ZERO).cast("int").alias("diag"))
     lengths = small(words.select("item", "n_words").distinct())
     ends = kept.join(lengths, "item").withColumn("begin", F.greatest(F.lit(0), F.col("diag") - slack)).withColumn("until", F.col("diag") + F.col("n_words") + slack)
     wanted = small(written(ends.withColumn("span", F.explode(F.sequence(F.floor(F.col("begin") / SPAN), F.floor(F.col("until") / SPAN)))).drop("n_words"), "near_diagonals"))
