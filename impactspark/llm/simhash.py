@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from impactspark.llm._shared import remove, row_key, sliced, table, written
 
 WORDS, MAX_BITS, LONG = 3, 2, 32
+#: Keys of rows that go are broadcast after a count, up to so many (some 100 bytes each).
+BROADCAST_ROWS = 500_000
 #: Six sets of four byte positions; their complements hold each of the 28 pairs of positions.
 COVER = ((4, 5, 6, 7), (2, 3, 6, 7), (2, 3, 4, 5), (0, 1, 6, 7), (0, 1, 4, 5), (0, 1, 2, 3))
 
@@ -188,6 +190,7 @@ def drop_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, l
     keys = fps.groupBy(F.col("row_key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     gone = written(keys.join(stays, "key", "left_anti").select("key"), "gone")
     again = written(keys.where("n > 1").join(stays, "key", "left_semi").select("key"), "again")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     rows = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     kept = rows.join(gone, "key", "left_anti")
     if again.isEmpty():
