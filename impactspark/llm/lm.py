@@ -682,3 +682,22 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = id_crc(F.col("doc_id")) % 7
     found = score(docs, learn(docs.where(rest != HELD_OUT)))
     return found.select("doc_id", (rest == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_lm_score: all but the model's score, by the same operator."""
+    return op6_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)))"
+
+OP6_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, xor({_CRC}, 4294967295::BIGINT) % 7 = 2 AS held_out,
+             list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), s GROUP BY doc_id
+"""

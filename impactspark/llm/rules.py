@@ -134,3 +134,20 @@ def judge(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataF
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return judge(docs, fit(docs, labels))
+
+
+def op8_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8_quality_rules: the counts and base_failed, by the same operator."""
+    return op8_quality_rules(spark, sf_dir).drop("score", "kept")
+
+
+OP8_COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+w AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS span FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, span) > 1),
+c AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM r) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM n
+"""
