@@ -29,6 +29,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -220,27 +221,39 @@ def _save(folder: str, name: str, head: dict, arrays: list[np.ndarray]) -> str:
     return path
 
 
+#: Files that a worker has mapped at a time; a level's shards are read one after another, so few are enough.
+MAPPED = 8
 _mapped: dict[str, tuple[dict, list[np.ndarray]]] = {}
+_copies: dict[str, IO[bytes]] = {}
+
+
+def _opened_file(folder: str, path: str) -> IO[bytes]:
+    """The file, or the worker's copy of it, which is made once and gone with the worker."""
+    store, _ = _store(folder)
+    if isinstance(store, pafs.LocalFileSystem):
+        return open(path, "rb")
+    if path not in _copies:
+        file = tempfile.TemporaryFile()  # noqa: SIM115
+        with store.open_input_stream(path) as source:
+            while part := source.read(1 << 22):
+                file.write(part)
+        file.flush()
+        _copies[path] = file
+    return os.fdopen(os.dup(_copies[path].fileno()), "rb")
 
 
 def _load(folder: str, path: str) -> tuple[dict, list[np.ndarray]]:
-    """The file's head and its arrays, mapped and not read."""
-    if path not in _mapped:
-        store, _ = _store(folder)
-        if isinstance(store, pafs.LocalFileSystem):
-            file = open(path, "rb")  # noqa: SIM115
-        else:
-            file = tempfile.TemporaryFile()  # noqa: SIM115  gone with the worker
-            with store.open_input_stream(path) as source:
-                while part := source.read(1 << 22):
-                    file.write(part)
-            file.flush()
-        with file:
-            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        size = int.from_bytes(data[:8], "little")
-        head = pickle.loads(data[8 : 8 + size])
-        base = -(-(size + 8) // 64) * 64
-        _mapped[path] = head, [np.frombuffer(data, dtype, n, base + at) for at, dtype, n in head["places"]]
+    """The file's head and its arrays, mapped and not read; the file mapped longest ago gives way."""
+    if path in _mapped:
+        return _mapped[path]
+    while len(_mapped) >= MAPPED:
+        del _mapped[next(iter(_mapped))]
+    with _opened_file(folder, path) as file:
+        data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int.from_bytes(data[:8], "little")
+    head = pickle.loads(data[8 : 8 + size])
+    base = -(-(size + 8) // 64) * 64
+    _mapped[path] = head, [np.frombuffer(data, dtype, n, base + at) for at, dtype, n in head["places"]]
     return _mapped[path]
 
 
@@ -329,10 +342,8 @@ class Level:
     def find(self, g: Grams, above: Known, words: Known) -> tuple[Known, np.ndarray]:
         """The grams' numbers, counts left out, and codes; -1 where there is none."""
         number, code = np.full(len(g.word), -1, np.int64), np.full(len(g.word), -1, np.int64)
-        known, shard = arranged(g, above, words, self.hot, len(self.paths))
-        contexts, rank = above.number, np.zeros(len(g.word), np.int64)
-        rank[known] = np.arange(len(known))
-        for s, a, b in _runs(shard):
+        known, contexts = np.flatnonzero((above.number >= 0)[g.context] & (words.number >= 0)[g.word]), above.number
+        for s, a, b in _runs(g.shard[known]):
             if not self.paths[s]:
                 continue
             head, arrays = _load(self.folder, self.paths[s])
@@ -354,7 +365,7 @@ class Level:
             good = np.flatnonzero((found >= begin[own]) & (found < end[own]))
             number[mine[good]] = found[good] + self.firsts[s]
             code[mine[good]] = arrays[12][found[good]]
-        return Known(number, rank), code
+        return Known(number, np.arange(len(number))), code
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts by number; zero for none."""
@@ -363,29 +374,13 @@ class Level:
 
 @dataclass
 class Known:
-    """Numbers of some words or grams (-1 for unknown ones), their ranks by number among the known, and their counts."""
+    """Numbers of some words or grams (-1 for unknown ones), ranks in which the known ones go by number, and counts."""
 
     number: np.ndarray
     rank: np.ndarray
     count: np.ndarray | None = None
 
 
-def arranged(g: Grams, above: Known, words: Known, hot: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of known words and contexts by shard, context and word, and their shards: a context's, or the gram's own
-    if its context is hot. So they are in the order of their numbers, if they have any."""
-    known = np.flatnonzero((above.number >= 0)[g.context] & (words.number >= 0)[g.word])
-    which, word = g.context[known], g.word[known]
-    h = mix(above.number.astype(U) ^ U(0x5851F42D4C957F2D))[which]
-    spread = np.flatnonzero((above.count > hot)[which])
-    h[spread] = mix(h[spread] ^ mix(words.number[word[spread]].astype(U)))
-    shard = _shard(h, shards)
-    if shards * len(above.number) * len(words.number) < 1 << 62:
-        order = np.argsort((shard * len(above.number) + above.rank[which]) * len(words.number) + words.rank[word])
-    else:
-        order = np.lexsort((words.rank[word], above.rank[which], shard))
-    return known[order], shard[order]
-
-
 @dataclass
 class Trie:
     vocabulary: Vocabulary
@@ -462,38 +457,52 @@ class Tokens:
 
 @dataclass
 class Grams:
-    """The distinct grams of one order among some tokens."""
+    """The distinct grams of one order among some tokens, by shard, context and word: so in the order of their numbers."""
 
     #: For each token its gram; -1 where its history is shorter.
     code: np.ndarray
-    #: For each gram its context among the grams before, and its last word among the words.
+    #: For each gram its context among the grams before, its last word among the words, and its shard.
     context: np.ndarray
     word: np.ndarray
+    shard: np.ndarray
 
 
-def grams(t: Tokens, before: np.ndarray) -> Grams:
-    """before: for each token the number of its context, -1 for none."""
+def grams(t: Tokens, before: np.ndarray, above: Known, words: Known, hot: int, shards: int) -> Grams:
+    """before: for each token its context, -1 for none. A gram's shard is its context's, or its own if that is hot."""
     has = np.flatnonzero(before >= 0)
+    context, word = before[has], t.current[has]
+    h = mix(above.number.astype(U) ^ U(0x5851F42D4C957F2D))
+    shard = _shard(h, shards)[context]
+    spread = np.flatnonzero((above.count > hot)[context])
+    shard[spread] = _shard(mix(h[context[spread]] ^ mix(words.number[word[spread]].astype(U))), shards)
+    if shards * len(above.number) * len(words.number) < 1 << 62:
+        key = (shard * len(above.number) + above.rank[context]) * len(words.number) + words.rank[word]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    else:
+        order = np.lexsort((words.rank[word], above.rank[context], shard))
+        new = np.ones(len(order), bool)
+        new[1:] = (context[order[1:]] != context[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
     code = np.full(len(before), -1, np.int64)
-    code[has], keys = numbered(pa.array(before[has] * (t.n + 2) + t.current[has]))
-    context, word = np.divmod(keys.to_numpy(zero_copy_only=False).astype(np.int64), t.n + 2)
-    return Grams(code, context, word)
+    code[has[order]] = np.cumsum(new) - 1
+    first = order[new]
+    return Grams(code, context[first], word[first], shard[first])
 
 
-def descend(t: Tokens, model: Trie, orders: int) -> Iterator[tuple[Grams, Known, Known]]:
-    """For orders 2 and up: the grams, their possible contexts and the words."""
+def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int]]) -> Iterator[tuple[Grams, Known, Known]]:
+    """For orders 2 and up, dealt by (hot, shards): the grams, their possible contexts and the words."""
     number = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
     rank = np.empty(len(number), np.int64)
     rank[np.argsort(number)] = np.arange(len(number))
     words = above = Known(number, rank, model.vocabulary.counts(number))
     before = t.shifted(t.current, t.n)
-    for order in range(2, orders + 1):
-        g = grams(t, before)
+    for i, (hot, shards) in enumerate(dealt):
+        g = grams(t, before, above, words, hot, shards)
         yield g, above, words
-        if order < orders:
-            level = model.levels[order - 2]
-            above, _ = level.find(g, above, words)
-            above.count = level.counts(above.number)
+        if i + 1 < len(dealt):
+            above, _ = model.levels[i].find(g, above, words)
+            above.count = model.levels[i].counts(above.number)
             before = t.shifted(g.code, -1)
 
 
@@ -589,10 +598,9 @@ def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                *_, (g, above, words) = descend(t, model, order)
-                mine, shard = arranged(g, above, words, hot, shards)
+                *_, (g, above, words) = descend(t, model, [*((v.hot, len(v.paths)) for v in model.levels), (hot, shards)])
                 n = np.bincount(g.code[g.code >= 0], minlength=len(g.word))
-                yield _rows(list(_packed(shard, above.number[g.context[mine]], words.number[g.word[mine]], n[mine])))
+                yield _rows(list(_packed(g.shard, above.number[g.context], words.number[g.word], n)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = _gather(batches)[0], []
@@ -628,7 +636,7 @@ def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
     out = [[], [], [], []]
     for _, t in _groups(column):
         p = None
-        for order, (g, above, words) in enumerate(descend(t, model, len(model.levels) + 1), 2):
+        for order, (g, above, words) in enumerate(descend(t, model, [(v.hot, len(v.paths)) for v in model.levels]), 2):
             if p is None:
                 counts = words.count
                 unigram = model.vocabulary.log_unigram(counts)

@@ -487,6 +487,19 @@ def test_words_of_one_hash_are_told_by_their_checks(spark, monkeypatch):
     assert model.counts(model.numbers(asked)).tolist() == [4, 0, 1, 0, 2, 0]
 
 
+def test_lm_files_that_cannot_be_mapped(spark, monkeypatch):
+    """Copies for the worker, few of them mapped at a time, score as the files do."""
+    texts = [(i, f"a b c w{i} d{i % 3}") for i in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm.learn(frame, 5)
+    column = pa.array([t for _, t in texts])
+    want = [x.to_pylist() for x in lm.score_column(model, column)]
+    monkeypatch.setattr(lm, "MAPPED", 1)
+    monkeypatch.setattr(lm, "_mapped", {})
+    monkeypatch.setattr(lm.pafs, "LocalFileSystem", tuple)
+    assert [x.to_pylist() for x in lm.score_column(model, column)] == want and len(lm._copies) > 5
+
+
 def test_lm_odd(odd, none):
     model = lm.learn(odd, 3)
     rows = lm.score(odd, model).collect()
