@@ -72,7 +72,7 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> None:
         docs.write.mode("overwrite").parquet(made := store.scratch(spark, "documents"))
         docs = spark.read.parquet(made)
         keys = docs.select("doc_id", "primary_key")
-        found = store.store(docs, store.scratch(spark, "index"), stem=a.stem, mode="full" if a.full else "plain", markup=True, quantize=not a.passthrough)
+        found = store.store(docs, store.scratch(spark, "index") if a.about else a.out, stem=a.stem, mode="full" if a.full else "plain", markup=True, quantize=not a.passthrough)
         posts, lengths = found.postings, found.lengths
     stemmer, mode = "porter" if a.stem else "none", "full" if a.full else "plain"
     if a.format in ("ciff", "sparse"):
@@ -82,7 +82,8 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.about:
         terms = search.query_terms(tables.query_file(spark, a.about), "query", mode, stemmer)
         posts, impacts = index.about(posts, terms), index.about(impacts, terms)
-    index.Index(posts, lengths, impacts, None, mode, stemmer).write(a.out)
+    if a.about or a.format in ("ciff", "sparse"):
+        index.Index(posts, lengths, impacts, None, mode, stemmer).write(a.out)
     keys.write.mode("overwrite").parquet(f"{a.out}/keys")
 
 

@@ -430,9 +430,6 @@ def qmx(length: bool) -> tuple[Callable, Callable]:
     """Blocks of 128 or 256 bits first, then selectors (width above, run length less one below), read from the back in the
     order of the blocks. The published form ends with the selectors' place in variable bytes; the improved one leaves
     it out, as selectors read from the back need none.
-
-    A. Trotman, Compression, SIMD, and Postings Lists, 2014; A. Trotman and J. Lin, In Vacuo and In Situ Evaluation of
-    SIMD Codecs, 2016.
     """
 
     def encode(v: np.ndarray) -> bytes:

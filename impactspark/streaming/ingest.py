@@ -28,8 +28,8 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, available_now: bool = Tr
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current(spark: SparkSession, path: str, **options) -> index.Index:
-    """The index over all batches so far; frequencies, lengths and bounds are of the whole."""
+def current(spark: SparkSession, path: str, mode: str = "plain", **options) -> index.Index:
+    """The index over all batches so far, of the mode they were taken in; frequencies, lengths and bounds are of the whole."""
     posts = index.union_postings(spark.read.parquet(f"{path}/postings").drop("batch"))
     lengths = spark.read.parquet(f"{path}/doc_lengths").groupBy("doc_id").agg(F.sum("length").alias("length"))
-    return index.Index(posts, lengths, index.quantized(index.scored(posts, lengths, **options)))
+    return index.Index(posts, lengths, index.quantized(index.scored(posts, lengths, **options)), None, mode)
