@@ -155,7 +155,7 @@ def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def digests(values: pa.Array) -> np.ndarray:
     """128-bit hashes of byte strings as rows of two 64-bit numbers."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values.to_numpy(zero_copy_only=False))), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -155,9 +155,8 @@ class EliasFano:
 
     def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of the values of each bucket: behind the zero before it as many as there are ones."""
-        begin = np.zeros(len(bucket), np.int64)
-        some = np.flatnonzero(bucket > 0)
-        begin[some] = self._upto(bucket[some] - 1)
+        begin = self._upto(np.maximum(bucket, 1) - 1)
+        begin[bucket == 0] = 0
         at = begin + bucket
         word, off = at >> 6, (at & 63).astype(U)
         run = _ones_below(self.high[word] >> off)
@@ -172,17 +171,31 @@ class EliasFano:
         last = len(self.zeros) * 64 - int(self.ones[-1]) - int(np.bitwise_count(self.high[-1])) - 1
         beyond = bucket >= last
         bucket = np.minimum(bucket, last - 1)
-        lo, end = self._bucket(bucket)
-        hi = end.copy()
+        begin, end = self._bucket(bucket)
         want = x & U((1 << self.width) - 1)
-        # Halving within the bucket.
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = _unpack(self.low, mid, self.width) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        inside = ~beyond & (lo < end)
-        return np.where(beyond, self.n, lo), inside & (_unpack(self.low, np.where(inside, lo, 0), self.width) == want)
+        there = np.zeros(len(x), bool)
+        # Most buckets have few values, so the first one settles most searches.
+        some = np.flatnonzero(begin < end)
+        first, low = _unpack(self.low, begin[some], self.width), want[some]
+        there[some] = first == low
+        less = first < low
+        rest, low = some[less], low[less]
+        lo, hi = begin[rest] + 1, end[rest]
+        # Halving within the others.
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            a, b = lo[open_], hi[open_]
+            mid = (a + b) >> 1
+            less = _unpack(self.low, mid, self.width) < low[open_]
+            lo[open_] = a = np.where(less, mid + 1, a)
+            hi[open_] = b = np.where(less, b, mid)
+            open_ = open_[a < b]
+        begin[rest] = lo
+        inside = np.flatnonzero(lo < end[rest])
+        there[rest[inside]] = _unpack(self.low, lo[inside], self.width) == low[inside]
+        begin[beyond] = self.n
+        there[beyond] = False
+        return begin, there
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value of at least x; n if there is none."""
@@ -422,7 +435,9 @@ def _opened(raw: bytes) -> list[np.ndarray]:
 
 def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upper, lower, counts = (np.concatenate(x) for x in zip(*map(_opened, parts), strict=True))
-    order = np.lexsort((lower, upper))
+    wide = int(lower.max()) + 1
+    # One number for both keys where they fit; it sorts many times as fast.
+    order = np.argsort(upper * U(wide) + lower) if (int(upper.max()) + 1) * wide < 1 << 64 else np.lexsort((lower, upper))
     upper, lower, counts = upper[order], lower[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1]))))
     return upper[first], lower[first], np.add.reduceat(counts, first)
@@ -472,26 +487,33 @@ def grams(t: Tokens, before: np.ndarray, above: Known, words: Known, hot: int, s
     has = np.flatnonzero(before >= 0)
     context, word = before[has], t.current[has]
     h = mix(above.number.astype(U) ^ U(0x5851F42D4C957F2D))
-    shard = _shard(h, shards)[context]
+    own = _shard(h, shards)
     spread = np.flatnonzero((above.count > hot)[context])
-    shard[spread] = _shard(mix(h[context[spread]] ^ mix(words.number[word[spread]].astype(U))), shards)
-    if shards * len(above.number) * len(words.number) < 1 << 62:
-        key = (shard * len(above.number) + above.rank[context]) * len(words.number) + words.rank[word]
+    dealt = _shard(mix(h[context[spread]] ^ mix(words.number[word[spread]].astype(U))), shards)
+    each = len(above.number) * len(words.number)
+    if shards * each < 1 << 62:
+        key = ((own * len(above.number) + above.rank) * len(words.number))[context] + words.rank[word]
+        key[spread] += (dealt - own[context[spread]]) * each
         order = np.argsort(key)
         key = key[order]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        shard = np.repeat(np.arange(shards), np.diff(np.searchsorted(key[new], np.arange(shards + 1) * each)))
     else:
+        shard = own[context]
+        shard[spread] = dealt
         order = np.lexsort((words.rank[word], above.rank[context], shard))
         new = np.ones(len(order), bool)
         new[1:] = (context[order[1:]] != context[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
+        shard = shard[order[new]]
     code = np.full(len(before), -1, np.int64)
     code[has[order]] = np.cumsum(new) - 1
     first = order[new]
-    return Grams(code, context[first], word[first], shard[first])
+    return Grams(code, context[first], word[first], shard)
 
 
-def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int]]) -> Iterator[tuple[Grams, Known, Known]]:
-    """For orders 2 and up, dealt by (hot, shards): the grams, their possible contexts and the words."""
+def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int]]) -> Iterator[tuple[Grams, Known, Known, np.ndarray | None]]:
+    """For orders 2 and up, dealt by (hot, shards): the grams, their possible contexts, the words, and the grams' codes,
+    none for an order that the trie does not have."""
     number = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
     rank = np.empty(len(number), np.int64)
     rank[np.argsort(number)] = np.arange(len(number))
@@ -499,9 +521,10 @@ def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int]]) -> Iterator[tu
     before = t.shifted(t.current, t.n)
     for i, (hot, shards) in enumerate(dealt):
         g = grams(t, before, above, words, hot, shards)
-        yield g, above, words
+        found, codes = model.levels[i].find(g, above, words) if i < len(model.levels) else (None, None)
+        yield g, above, words, codes
         if i + 1 < len(dealt):
-            above, _ = model.levels[i].find(g, above, words)
+            above = found
             above.count = model.levels[i].counts(above.number)
             before = t.shifted(g.code, -1)
 
@@ -598,7 +621,7 @@ def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                *_, (g, above, words) = descend(t, model, [*((v.hot, len(v.paths)) for v in model.levels), (hot, shards)])
+                *_, (g, above, words, _) = descend(t, model, [*((v.hot, len(v.paths)) for v in model.levels), (hot, shards)])
                 n = np.bincount(g.code[g.code >= 0], minlength=len(g.word))
                 yield _rows(list(_packed(g.shard, above.number[g.context], words.number[g.word], n)))
 
@@ -628,6 +651,8 @@ def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) ->
 # -- Scoring ------------------------------------------------------------------------------------------------------
 
 
+#: The shares that codes stand for; the last is that of -1, of grams that aren't there.
+_SHARES = np.append(10.0 ** (np.arange(CODES + 1) * (-FLOOR / CODES)), 0.0)
 SCORES = (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
 
 
@@ -636,14 +661,13 @@ def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
     out = [[], [], [], []]
     for _, t in _groups(column):
         p = None
-        for order, (g, above, words) in enumerate(descend(t, model, [(v.hot, len(v.paths)) for v in model.levels]), 2):
+        for order, (g, above, words, codes) in enumerate(descend(t, model, [(v.hot, len(v.paths)) for v in model.levels]), 2):
             if p is None:
                 counts = words.count
                 unigram = model.vocabulary.log_unigram(counts)
                 p = (10.0**unigram)[t.current]
             mu = model.weight(order)
-            _, code = model.levels[order - 2].find(g, above, words)
-            share = np.where(code >= 0, 10.0 ** (code * (-FLOOR / CODES)), 0.0)
+            share = _SHARES[codes]
             rest = mu / (above.count[g.context] + mu)
             has = np.flatnonzero(g.code >= 0)
             p[has] = share[g.code[has]] + rest[g.code[has]] * p[has]

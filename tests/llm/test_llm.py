@@ -500,6 +500,43 @@ def test_lm_files_that_cannot_be_mapped(spark, monkeypatch):
     assert [x.to_pylist() for x in lm.score_column(model, column)] == want and len(lm._copies) > 5
 
 
+def test_lm_looks_every_order_up_once(monkeypatch, spark):
+    """Scoring finds the grams of each order once for a group of texts, and no more often than there are orders."""
+    frame = spark.createDataFrame([(i, f"a b c w{i} d{i % 3}") for i in range(20)], "doc_id long, text string")
+    model = lm.learn(frame, 3, 4)
+    asked, find = [], lm.Level.find
+    monkeypatch.setattr(lm.Level, "find", lambda self, *a: asked.append(model.levels.index(self)) or find(self, *a))
+    lm.score_column(model, pa.array(["a b c w1 d1", None, "x"]))
+    assert asked == [0, 1, 2]
+
+
+def test_lm_merges_by_one_number_or_by_two(monkeypatch):
+    """Blocks of counts merge alike whether or not both keys fit in one number; those that fit are sorted once."""
+    rng = np.random.default_rng(5)
+    for top, calls in ((1 << 20, 0), (1 << 63, 1)):
+        blocks = [np.unique(rng.integers(0, 40, (200, 2)), axis=0) for _ in range(5)]
+        keys = [(b[:, 0].astype(np.uint64) * np.uint64(top // 40), b[:, 1].astype(np.uint64)) for b in blocks]
+        parts = [next(lm._packed(np.zeros(len(u), np.int64), u, w, np.full(len(u), i + 1)))[1] for i, (u, w) in enumerate(keys)]
+        want = collections.Counter()
+        for i, (u, w) in enumerate(keys):
+            for k in zip(u.tolist(), w.tolist(), strict=True):
+                want[k] += i + 1
+        sorts, lexsort = [], np.lexsort
+        monkeypatch.setattr(lm.np, "lexsort", lambda k: sorts.append(1) or lexsort(k))  # noqa: B023
+        upper, lower, counts = lm._merged(parts)
+        monkeypatch.undo()
+        assert list(zip(upper.tolist(), lower.tolist(), counts.tolist(), strict=True)) == [(*k, want[k]) for k in sorted(want)] and len(sorts) == calls
+
+
+def test_elias_fano_crowded_buckets():
+    """Repeated values and full buckets: the first of equal values, and none beside them."""
+    v = np.sort(np.concatenate([np.repeat([3, 3, 1000], 50), np.arange(5000, 5200), [1 << 30]])).astype(np.uint64)
+    e, q = lm.EliasFano.build(v), np.concatenate([v, v + np.uint64(1), np.array([0, 1 << 40], np.uint64)])
+    at = np.searchsorted(v, q)
+    assert (e.successor(q) == at).all()
+    assert (e.find(q) == np.where(np.isin(q, v), at, -1)).all()
+
+
 def test_lm_odd(odd, none):
     model = lm.learn(odd, 3)
     rows = lm.score(odd, model).collect()
