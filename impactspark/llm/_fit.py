@@ -149,8 +149,8 @@ def features(block: Block) -> Features:
         {
             "one": bucket(h, "one"),
             "two": bucket(pair, "two") if len(h) > 1 else np.zeros(0, np.int32),
-            "shape": shape.astype(np.int32),
-            "three": (((three ^ three >> np.uint32(15)) * np.uint32(668265263)) >> np.uint32(32 - BITS["three"])).astype(np.int32),
+            "shape": shape.astype(np.uint16),
+            "three": (((three ^ three >> np.uint32(15)) * np.uint32(668265263)) >> np.uint32(32 - BITS["three"])).astype(np.uint16),
             "four": (((four ^ four >> np.uint32(15)) * np.uint32(668265263)) >> np.uint32(32 - BITS["four"])).astype(np.int32),
         },
         {

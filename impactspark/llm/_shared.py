@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -153,6 +155,13 @@ def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def released() -> None:
+    """Give memory that is free back to the system: Arrow's pool and the C heap keep the most a fit ever held."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux") and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def digests(values: pa.Array) -> np.ndarray:
     """128-bit hashes of byte strings as rows of two 64-bit numbers."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values.to_numpy(zero_copy_only=False))), ">u8").astype(np.uint64).reshape(-1, 2)

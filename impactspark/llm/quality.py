@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.llm._fit import FOLDS, Linear, Trainer, labelled_sample, platt, sample_key, sigmoid, unlabelled_sample
-from impactspark.llm._shared import id_crc, sliced, table
+from impactspark.llm._shared import id_crc, released, sliced, table
 
 FIT_ROWS, FIT_CHARS, FIT_TOTAL, ROUNDS, APART = 1200, 8_000, 6_000_000, 60, 4
 THRESHOLD = 0.3
@@ -132,8 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = F
     prior = 0.5
     if positive and texts:
         models = first_models(positive, [[t for t, k in zip(texts, keys, strict=True) if k & 1 == half] for half in (0, 1)])
-        prior = class_prior(unseen(models, positive), corpus_bins(free, models))
-    return train(positive, texts, prior, [t for t, a in zip(known, apart, strict=True) if a], y[apart])
+        seen = unseen(models, positive)
+        released()  # before the pass over the corpus, and after the second fit
+        prior = class_prior(seen, corpus_bins(free, models))
+    model = train(positive, texts, prior, [t for t, a in zip(known, apart, strict=True) if a], y[apart])
+    del known, positive, texts
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:

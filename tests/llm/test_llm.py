@@ -5,7 +5,9 @@ import hashlib
 import itertools
 import math
 import re
+import threading
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -700,6 +702,26 @@ def test_prior_and_positive_unlabelled(spark):
     assert np.isfinite(model.scores(pa.array([None, b"", b"x" * 100000], pa.large_binary()))).all()
 
 
+def test_quality_fit_gives_its_memory_back(spark):
+    """Of what a fit took, the driver's Python keeps little; the rest once stayed in free lists for all later stages."""
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    quality.fit(docs, labels)  # imports and connections
+    _shared.released()
+    before, most, done = held(), [0.0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most[0] = max(most[0], held())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    model = quality.fit(docs, labels)
+    done.set()
+    watcher.join()
+    assert model.tables and held() - before < max(8, 0.2 * (most[0] - before))
+
+
 def test_unlabelled_sample_keeps_its_bounds(spark):
     rows = [(i, "x" * (i % 50)) for i in range(500)] + [(1000, "y" * 5000), (1001, None), (1001, None)]
     keys, texts = _fit.unlabelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), 100, 2000)
