@@ -136,7 +136,7 @@ class Block:
         begins[edges] = inside[edges]
         ends[edges - 1] = inside[edges - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        doc = np.searchsorted(self.offsets, start, side="right") - 1
+        doc = np.repeat(np.arange(len(self)), np.diff(np.searchsorted(start, self.offsets)))
         return start, end, doc
 
 def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:

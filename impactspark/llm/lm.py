@@ -11,7 +11,9 @@ one successor search for base plus word. Beside it stands what its context adds
     p(w | h) = c(h w) / (c(h) + mu) + mu / (c(h) + mu) * p(w | shorter h),   p(w) = (c(w) + 1) / (tokens + types + 1)
 
 The first quotient is the code; the weight of the shorter history follows from the context's count. A context lives in
-one shard by its hash; one that is more frequent than a share of a shard is spread by gram, so no context is a shard.
+one shard by its hash; one whose words are all more frequent than a share of a shard is spread by gram, so no context is
+a shard. Grams of three words are counted in one pass with those of two and live beside their contexts: such a shard has
+a range for every gram of the shard above, in place of a sequence of contexts; the spread ones have shards of their own.
 
 Everything is counted over all training texts; no n-gram is cut off. Counts are gathered as compressed blocks of
 (shard, keys, counts), merged and written by one task for each shard into the shared folder; the shards follow the
@@ -58,12 +60,16 @@ U = np.uint64
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Values as a bit string of fixed width, in 64-bit words with one spare."""
-    out, bits = [], np.arange(width, dtype=U)
-    for a in range(0, len(values), 1 << 15):  # a multiple of 64, so every part ends at a word
-        out.append(np.packbits(((values[a : a + (1 << 15), None] >> bits) & U(1)).astype(np.uint8).ravel(), bitorder="little"))
-    raw = np.concatenate(out) if out else np.zeros(0, np.uint8)
-    return np.concatenate((raw, np.zeros(-len(raw) % 8 + 16, np.uint8))).view(U)
+    """Values as a bit string of fixed width, in 64-bit words with two spare."""
+    out = np.zeros(-(-len(values) * width // 64) + 2, U)
+    if width and len(values):
+        bit = np.arange(len(values), dtype=np.int64) * width
+        word, off = bit >> 6, (bit & 63).astype(U)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # a value begins in every word, as none is wider
+        out[: len(first)] = np.bitwise_or.reduceat(values << off, first)
+        over = np.flatnonzero(off + U(width) > U(64))
+        out[word[over] + 1] |= values[over] >> (U(64) - off[over])
+    return out
 
 
 def _unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -71,7 +77,7 @@ def _unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(len(at), U)
     bit = at.astype(U) * U(width)
     word, off = (bit >> U(6)).astype(np.int64), bit & U(63)
-    high = (words[word + 1] << ((U(64) - off) & U(63))) * (off > U(0))
+    high = (words[word + 1] << U(1)) << (U(63) - off)  # in two steps, as a shift by 64 is none
     return ((words[word] >> off) | high) & U((1 << width) - 1)
 
 
@@ -148,50 +154,50 @@ class EliasFano:
         following[far] = self._one(i[far] + 1)[1]
         return self._value(i, at), self._value(i + 1, following)
 
-    def _upto(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values have high bits of at most the bucket's."""
-        word = np.searchsorted(self.zeros, bucket, side="right") - 1
-        return word * 64 + _select(~self.high[word], bucket - self.zeros[word]) - bucket
+    def _zero(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of the k-th zeros, turned over, and the numbers and places of these words' zeros."""
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        x = ~self.high[word]
+        return x, word, _select(x, k - self.zeros[word])
 
     def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of the values of each bucket: behind the zero before it as many as there are ones."""
-        begin = self._upto(np.maximum(bucket, 1) - 1)
-        begin[bucket == 0] = 0
-        at = begin + bucket
-        word, off = at >> 6, (at & 63).astype(U)
-        run = _ones_below(self.high[word] >> off)
-        end = begin + run
-        far = np.flatnonzero(run + off.astype(np.int64) >= 64)  # the run goes on in the next word
-        end[far] = self._upto(bucket[far])
+        x, word, at = self._zero(np.maximum(bucket - 1, 0))
+        begin = word * 64 + at + 1 - bucket
+        rest = (x >> at.astype(U)) >> U(1)  # turned over: the run ends at the lowest one
+        end = begin + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+        far = np.flatnonzero((rest == 0) | (bucket == 0))  # the run goes on in the next word, or has no zero before it
+        if len(far):
+            _, word, at = self._zero(bucket[far])
+            end[far] = word * 64 + at - bucket[far]
+            begin[far[bucket[far] == 0]] = 0
         return begin, end
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first value of at least x (n if there is none), and whether it is x."""
         bucket = (x >> U(self.width)).astype(np.int64)
         last = len(self.zeros) * 64 - int(self.ones[-1]) - int(np.bitwise_count(self.high[-1])) - 1
-        beyond = bucket >= last
-        bucket = np.minimum(bucket, last - 1)
+        beyond = np.flatnonzero(bucket >= last)
+        bucket[beyond] = last - 1
         begin, end = self._bucket(bucket)
         want = x & U((1 << self.width) - 1)
-        there = np.zeros(len(x), bool)
         # Most buckets have few values, so the first one settles most searches.
-        some = np.flatnonzero(begin < end)
-        first, low = _unpack(self.low, begin[some], self.width), want[some]
-        there[some] = first == low
-        less = first < low
-        rest, low = some[less], low[less]
-        lo, hi = begin[rest] + 1, end[rest]
+        first, some = _unpack(self.low, begin, self.width), begin < end
+        there = (first == want) & some
+        rest = np.flatnonzero((first < want) & some)
+        lo, hi, low = begin[rest] + 1, end[rest], want[rest]
         # Halving within the others.
         open_ = np.flatnonzero(lo < hi)
+        a, b, sought = lo[open_], hi[open_], low[open_]
         while len(open_):
-            a, b = lo[open_], hi[open_]
             mid = (a + b) >> 1
-            less = _unpack(self.low, mid, self.width) < low[open_]
-            lo[open_] = a = np.where(less, mid + 1, a)
-            hi[open_] = b = np.where(less, b, mid)
-            open_ = open_[a < b]
+            less = _unpack(self.low, mid, self.width) < sought
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            more = a < b
+            lo[open_] = a
+            open_, a, b, sought = open_[more], a[more], b[more], sought[more]
         begin[rest] = lo
-        inside = np.flatnonzero(lo < end[rest])
+        inside = np.flatnonzero(lo < hi)
         there[rest[inside]] = _unpack(self.low, lo[inside], self.width) == low[inside]
         begin[beyond] = self.n
         there[beyond] = False
@@ -349,36 +355,49 @@ class Level:
     folder: str
     paths: list[str]
     firsts: list[int]
-    #: Contexts that occur more often are spread over the shards.
+    #: Contexts that may occur more often are spread over the shards.
     hot: int
+    #: If grams live beside their contexts: the first context of each shard. Spread grams have as many shards behind.
+    homes: list[int] | None = None
+
+    @property
+    def dealt(self) -> tuple[int, int, bool]:
+        return self.hot, len(self.paths) if self.homes is None else len(self.homes), self.homes is not None
 
     def find(self, g: Grams, above: Known, words: Known) -> tuple[Known, np.ndarray]:
-        """The grams' numbers, counts left out, and codes; -1 where there is none."""
-        number, code = np.full(len(g.word), -1, np.int64), np.full(len(g.word), -1, np.int64)
-        known, contexts = np.flatnonzero((above.number >= 0)[g.context] & (words.number >= 0)[g.word]), above.number
+        """The grams' numbers and codes, -1 where there is none, and counts unless the level has none."""
+        number, code, count = np.full(len(g.word), -1, np.int64), np.full(len(g.word), -1, np.int64), None
+        known = np.flatnonzero((above.number >= 0)[g.context] & (words.number >= 0)[g.word])
         for s, a, b in _runs(g.shard[known]):
             if not self.paths[s]:
                 continue
             head, arrays = _load(self.folder, self.paths[s])
             held_contexts, pointers, successors = (_sequence(head[k], arrays[4 * i : 4 * i + 4]) for i, k in enumerate(("contexts", "pointers", "successors")))
             mine = known[a:b]
-            which = g.context[mine]
-            new = np.concatenate(([True], which[1:] != which[:-1]))
-            at = held_contexts.find(contexts[which[new]].astype(U))
-            held = np.flatnonzero(at >= 0)
-            begin, end = (x.astype(np.int64) for x in pointers.pair(at[held]))
-            base = np.zeros(len(held), U)
+            context, word = above.number[g.context[mine]], words.number[g.word[mine]].astype(U)
+            new = np.concatenate(([True], context[1:] != context[:-1]))
+            own = np.cumsum(new) - 1
+            if held_contexts.n:
+                at, held = held_contexts._search(context[new].astype(U))
+                if not held.all():
+                    kept = held[own]
+                    mine, word, own, at = mine[kept], word[kept], (np.cumsum(held) - 1)[own[kept]], at[held]
+            else:  # every gram of the shard above has its range
+                at = context[new] - self.homes[s]
+            begin, end = (x.astype(np.int64) for x in pointers.pair(at))
+            base = np.zeros(len(at), U)
             later = np.flatnonzero(begin > 0)
             base[later] = successors.access(begin[later] - 1)
-            place = np.full(len(at), -1)
-            place[held] = np.arange(len(held))
-            own = place[np.cumsum(new) - 1]
-            mine, own = mine[own >= 0], own[own >= 0]
-            found = successors.find(base[own] + words.number[g.word[mine]].astype(U))
-            good = np.flatnonzero((found >= begin[own]) & (found < end[own]))
-            number[mine[good]] = found[good] + self.firsts[s]
-            code[mine[good]] = arrays[12][found[good]]
-        return Known(number, np.arange(len(number))), code
+            # Words are above 0, so what is found stands behind the range before; it may stand in a later one.
+            found, there = successors._search(base[own] + word)
+            good = np.flatnonzero(there & (found < end[own]))
+            mine, found = mine[good], found[good]
+            number[mine] = found + self.firsts[s]
+            code[mine] = arrays[12][found]
+            if len(arrays) > 13:
+                count = np.zeros(len(number), np.int64) if count is None else count
+                count[mine] = arrays[14][arrays[13][found]]
+        return Known(number, np.arange(len(number)), count), code
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts by number; zero for none."""
@@ -387,11 +406,15 @@ class Level:
 
 @dataclass
 class Known:
-    """Numbers of some words or grams (-1 for unknown ones), ranks in which the known ones go by number, and counts."""
+    """Numbers of some words or grams (-1 for unknown ones), ranks in which the known ones go by number, and counts;
+    what deals their successors: hashes, the count of their rarest word, and their own shards."""
 
     number: np.ndarray
     rank: np.ndarray
     count: np.ndarray | None = None
+    hash: np.ndarray | None = None
+    most: np.ndarray | None = None
+    shard: np.ndarray | None = None
 
 
 @dataclass
@@ -433,14 +456,22 @@ def _opened(raw: bytes) -> list[np.ndarray]:
     return [np.cumsum(out[0], dtype=U), out[1], out[2].astype(np.int64)]
 
 
-def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    upper, lower, counts = (np.concatenate(x) for x in zip(*map(_opened, parts), strict=True))
+def _summed(keyed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys (upper, lower) and counts, which are taken out of the list: the distinct keys in order and their counts;
+    the order of all keys, and where in it a new one begins."""
+    upper, lower, counts = keyed
+    keyed.clear()
     wide = int(lower.max()) + 1
     # One number for both keys where they fit; it sorts many times as fast.
     order = np.argsort(upper * U(wide) + lower) if (int(upper.max()) + 1) * wide < 1 << 64 else np.lexsort((lower, upper))
     upper, lower, counts = upper[order], lower[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1]))))
-    return upper[first], lower[first], np.add.reduceat(counts, first)
+    new = np.concatenate(([True], (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1])))
+    first = np.flatnonzero(new)
+    return upper[first], lower[first], np.add.reduceat(counts, first), order, new
+
+
+def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _summed([np.concatenate(x) for x in zip(*map(_opened, parts), strict=True)])[:3]
 
 
 class Tokens:
@@ -475,24 +506,26 @@ class Grams:
     """The distinct grams of one order among some tokens, by shard, context and word: so in the order of their numbers."""
 
     #: For each token its gram; -1 where its history is shorter.
-    code: np.ndarray
+    code: np.ndarray | None
     #: For each gram its context among the grams before, its last word among the words, and its shard.
     context: np.ndarray
     word: np.ndarray
     shard: np.ndarray
 
 
-def grams(t: Tokens, before: np.ndarray, above: Known, words: Known, hot: int, shards: int) -> Grams:
-    """before: for each token its context, -1 for none. A gram's shard is its context's, or its own if that is hot."""
+def grams(t: Tokens, before: np.ndarray, above: Known, words: Known, hot: int, shards: int, home: bool) -> Grams:
+    """before: for each token its context, -1 for none. A gram's shard is dealt by its context (home: the context's own
+    shard), or by the gram if the context may be hot (home: behind the others)."""
     has = np.flatnonzero(before >= 0)
     context, word = before[has], t.current[has]
-    h = mix(above.number.astype(U) ^ U(0x5851F42D4C957F2D))
-    own = _shard(h, shards)
-    spread = np.flatnonzero((above.count > hot)[context])
-    dealt = _shard(mix(h[context[spread]] ^ mix(words.number[word[spread]].astype(U))), shards)
-    each = len(above.number) * len(words.number)
+    own = above.shard if home else _shard(above.hash, shards)
+    spread = np.flatnonzero((above.most > hot)[context])
+    dealt = _shard(_chained(above, words, context[spread], word[spread]), shards)
+    if home:
+        dealt, shards = dealt + shards, 2 * shards
+    each = len(above.rank) * len(words.number)
     if shards * each < 1 << 62:
-        key = ((own * len(above.number) + above.rank) * len(words.number))[context] + words.rank[word]
+        key = ((own * len(above.rank) + above.rank) * len(words.number))[context] + words.rank[word]
         key[spread] += (dealt - own[context[spread]]) * each
         order = np.argsort(key)
         key = key[order]
@@ -511,34 +544,59 @@ def grams(t: Tokens, before: np.ndarray, above: Known, words: Known, hot: int, s
     return Grams(code, context[first], word[first], shard)
 
 
-def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int]]) -> Iterator[tuple[Grams, Known, Known, np.ndarray | None]]:
-    """For orders 2 and up, dealt by (hot, shards): the grams, their possible contexts, the words, and the grams' codes,
-    none for an order that the trie does not have."""
-    number = np.concatenate((model.vocabulary.numbers(t.digest), [START, END]))
+def _hashed(numbers: np.ndarray) -> np.ndarray:
+    return mix(numbers.astype(U) ^ U(0x5851F42D4C957F2D))
+
+
+def _chained(above: Known, words: Known, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of grams by those of their contexts and the numbers of their last words."""
+    return mix(above.hash[context] ^ mix(words.number.astype(U))[word])
+
+
+def _first(t: Tokens, vocabulary: Vocabulary) -> Known:
+    """The words, the start and the end."""
+    number = np.concatenate((vocabulary.numbers(t.digest), [START, END]))
     rank = np.empty(len(number), np.int64)
     rank[np.argsort(number)] = np.arange(len(number))
-    words = above = Known(number, rank, model.vocabulary.counts(number))
+    count = vocabulary.counts(number)
+    return Known(number, rank, count, _hashed(number), count)
+
+
+def _dealing(found: Known, g: Grams, above: Known, words: Known, hot: int, home: bool) -> Known:
+    """The grams as contexts of the next order, dealt by (hot, home); hashes where that order needs them."""
+    found.most, found.shard = np.minimum(above.most[g.context], words.count[g.word]), g.shard
+    if home:
+        at = np.flatnonzero(found.most > hot)
+        found.hash = np.zeros(len(g.word), U)
+        found.hash[at] = _chained(above, words, g.context[at], g.word[at])
+    else:
+        found.hash = _hashed(found.number)
+    return found
+
+
+def descend(t: Tokens, model: Trie, dealt: list[tuple[int, int, bool]]) -> Iterator[tuple[Grams, Known, Known, np.ndarray | None]]:
+    """For orders 2 and up, dealt by (hot, shards, home): the grams, their possible contexts, the words, and the grams'
+    codes, none for an order that the trie does not have."""
+    words = above = _first(t, model.vocabulary)
     before = t.shifted(t.current, t.n)
-    for i, (hot, shards) in enumerate(dealt):
-        g = grams(t, before, above, words, hot, shards)
+    for i, deal in enumerate(dealt):
+        g = grams(t, before, above, words, *deal)
         found, codes = model.levels[i].find(g, above, words) if i < len(model.levels) else (None, None)
         yield g, above, words, codes
         if i + 1 < len(dealt):
-            above = found
-            above.count = model.levels[i].counts(above.number)
+            found.count = np.zeros(len(found.number), np.int64) if found.count is None else found.count
+            above = _dealing(found, g, above, words, dealt[i + 1][0], dealt[i + 1][2])
             before = t.shifted(g.code, -1)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
-    some, size, at = [], 0, 0
-    for begin, block in blocks(column):
-        if some and size + len(block.data) > TOGETHER:
-            yield at, Tokens(some)
-            some, size, at = [], 0, begin
-        some.append(block)
-        size += len(block.data)
-    if some:
-        yield at, Tokens(some)
+    """The texts in groups of about equal bytes, so that none needs much more memory than the others."""
+    found = list(blocks(column))
+    ends = np.cumsum([len(block.data) for _, block in found])
+    many = max(1, -(-int(ends[-1]) // TOGETHER)) if found else 1
+    group = [int((end - len(block.data) / 2) * many / max(1, ends[-1])) for end, (_, block) in zip(ends, found, strict=True)]
+    for _, a, b in _runs(np.array(group, np.int64)):
+        yield found[a][0], Tokens([block for _, block in found[a:b]])
 
 
 PARTS = "shard int, raw binary, texts long, tokens long"
@@ -575,10 +633,10 @@ def _coded(counts: np.ndarray) -> list[np.ndarray]:
     return [code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32), distinct]
 
 
-def _shards_built(texts: DataFrame, shards: int, count: Callable, build: Callable) -> tuple[list[str], list[int], list]:
-    """Paths and sizes by shard, and all rows of build, of which there are a few for each shard."""
+def _shards_built(texts: DataFrame, shards: int, count: Callable, build: Callable, kinds: int = 1) -> tuple[list[str], list[int], list]:
+    """Paths and sizes by shard, and all rows of build, of which there are a few for each shard; one kind behind another."""
     rows = texts.select("text").mapInArrow(count, PARTS).repartition(shards, "shard").mapInArrow(build, BUILT).collect()
-    paths, sizes = [""] * shards, [0] * shards
+    paths, sizes = [""] * shards * kinds, [0] * shards * kinds
     for r in rows:
         if r.shard >= 0:
             paths[r.shard], sizes[r.shard] = r.path, r.types
@@ -613,33 +671,44 @@ def vocabulary(texts: DataFrame, folder: str, shards: int) -> Vocabulary:
     return Vocabulary(folder, paths, firsts, sum(r.tokens for r in rows), sum(types) + (n_texts > 0), n_texts)
 
 
+def _level(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray, often: np.ndarray, mu: float, last: bool, homes: int = 0) -> str:
+    """Write the grams (context, word), in order, with their counts and how often their contexts are there. With homes,
+    the contexts are places among so many, each of which gets a range, and are not written."""
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    size = np.diff(np.append(first, len(context)))
+    codes = np.clip(np.rint(-np.log10(counts / (often + mu)) * (CODES / FLOOR)), 0, CODES).astype(np.uint16)
+    lasts = word[np.append(first[1:], len(word)) - 1]
+    base = np.concatenate((np.zeros(1, U), np.cumsum(lasts, dtype=U)[:-1]))
+    held = np.zeros(0, U) if homes else context[first]
+    begins = np.searchsorted(context, np.arange(homes + 1, dtype=U)) if homes else np.append(first, len(word))
+    levels = [EliasFano.build(held), EliasFano.build(begins), EliasFano.build(word + np.repeat(base, size))]
+    head = {k: (e.n, e.width) for k, e in zip(("contexts", "pointers", "successors"), levels, strict=True)}
+    return _save(folder, name, head, [*(a for e in levels for a in e.arrays()), codes, *([] if last else _coded(counts))])
+
+
+def _hot(model: Trie, shards: int) -> int:
+    return max(1, model.vocabulary.tokens // (8 * shards))
+
+
 def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) -> Trie:
     """Count the grams of texts(text) that are one word longer than the trie's longest and write their level."""
-    order, folder = len(model.levels) + 2, model.vocabulary.folder
-    hot = max(1, model.vocabulary.tokens // (8 * shards))
+    order, folder, hot = len(model.levels) + 2, model.vocabulary.folder, _hot(model, shards)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in _groups(batch.column(0)):
-                *_, (g, above, words, _) = descend(t, model, [*((v.hot, len(v.paths)) for v in model.levels), (hot, shards)])
+                *_, (g, above, words, _) = descend(t, model, [*(v.dealt for v in model.levels), (hot, shards, False)])
                 n = np.bincount(g.code[g.code >= 0], minlength=len(g.word))
                 yield _rows(list(_packed(g.shard, above.number[g.context], words.number[g.word], n)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = _gather(batches)[0], []
+        above = model.levels[-1] if model.levels else model.vocabulary
         for s in sorted(parts):
             context, word, counts = _merged(parts.pop(s))
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            size = np.diff(np.append(first, len(context)))
-            above = model.levels[-1] if model.levels else model.vocabulary
-            share = counts / (np.repeat(above.counts(context[first].astype(np.int64)), size) + model.weight(order))
-            codes = np.clip(np.rint(-np.log10(share) * (CODES / FLOOR)), 0, CODES).astype(np.uint16)
-            lasts = word[np.append(first[1:], len(word)) - 1]
-            base = np.concatenate((np.zeros(1, U), np.cumsum(lasts, dtype=U)[:-1]))
-            levels = [EliasFano.build(context[first]), EliasFano.build(np.append(first, len(word))), EliasFano.build(word + np.repeat(base, size))]
-            head = {k: (e.n, e.width) for k, e in zip(("contexts", "pointers", "successors"), levels, strict=True)}
-            path = _save(folder, f"grams-{order}-{s}", head, [*(a for e in levels for a in e.arrays()), codes, *([] if last else _coded(counts))])
-            rows.append((s, path, len(word), 0, 0))
+            held, own = np.unique(context, return_inverse=True)
+            often = above.counts(held.astype(np.int64))[own]
+            rows.append((s, _level(folder, f"grams-{order}-{s}", context, word, counts, often, model.weight(order), last), len(word), 0, 0))
         if rows:
             yield _built(rows)
 
@@ -648,6 +717,113 @@ def deepened(texts: DataFrame, model: Trie, shards: int, last: bool = False) ->
     return Trie(model.vocabulary, [*model.levels, Level(folder, paths, firsts, hot)], model.mu, model.mu_long)
 
 
+def deepened_twice(texts: DataFrame, model: Trie, shards: int, last: bool = False) -> Trie:
+    """Count the grams of two and of three words of texts(text) at once and write both levels.
+
+    Grams of three are carried beside those of two, by their contexts' places in the block, so nothing is looked up; those
+    whose context may be hot are carried with its words, dealt by themselves, and get their contexts' numbers afterwards.
+    """
+    folder, hot, wide = model.vocabulary.folder, _hot(model, shards), FIRST + model.vocabulary.types
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, t in _groups(batch.column(0)):
+                words = _first(t, model.vocabulary)
+                two = grams(t, t.shifted(t.current, t.n), words, words, hot, shards, False)
+                pairs = words.number[two.context], words.number[two.word]
+                n, before = np.bincount(two.code, minlength=len(two.word)), t.shifted(two.code, -1)
+                two.code = None
+                above = _dealing(Known(pairs[0], np.arange(len(two.word))), two, words, words, hot, True)
+                three = grams(t, before, above, words, hot, shards, True)
+                m = np.bincount(three.code[three.code >= 0], minlength=len(three.word))
+                three.code = before = above = None
+                begin, cut = np.searchsorted(two.shard, np.arange(shards)), int(np.searchsorted(three.shard, shards))
+                home, away, last_word = three.context[:cut], three.context[cut:], words.number[three.word]
+                found: dict[int, list[bytes]] = {}
+                for kind, some in enumerate((
+                    _packed(two.shard, *pairs, n),
+                    _packed(three.shard[:cut], home - begin[three.shard[:cut]], last_word[:cut], m[:cut]),
+                    _packed(*_ordered(three.shard[cut:] - shards, pairs[0][away] * wide + pairs[1][away], last_word[cut:], m[cut:])),
+                )):
+                    for s, raw in some:
+                        found.setdefault(s, [b"", b"", b""])[kind] = raw
+                yield _rows([(s, b"".join(len(x).to_bytes(8, "little") + x for x in raws)) for s, raws in found.items()])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = _gather(batches)[0], []
+        for s in sorted(parts):
+            twos, threes, away = zip(*map(_split, parts.pop(s)), strict=True)
+            if any(twos):
+                opened = [_opened(x) for x in twos if x]
+                ends = np.cumsum([len(x[0]) for x in opened])
+                keyed = [np.concatenate(x) for x in zip(*opened, strict=True)]
+                del opened
+                context, word, counts, order, new = _summed(keyed)
+                held, own = np.unique(context, return_inverse=True)
+                often = model.vocabulary.counts(held.astype(np.int64))[own]
+                rows.append((s, _level(folder, f"grams-2-{s}", context, word, counts, often, model.weight(2), False), len(word), 0, 0))
+                place = np.empty(len(order), U)
+                place[order] = np.cumsum(new) - 1
+                del order, new, context, word, held, own, often
+                inner = [(place[end - size : end], _opened(x)) for end, size, x in zip(ends, np.diff(ends, prepend=0), (y for x, y in zip(twos, threes, strict=True) if x), strict=True) if x]
+                if inner:
+                    homes = len(counts)
+                    keyed = [np.concatenate([at[x[0].view(np.int64)] for at, x in inner]), *(np.concatenate([x[i] for _, x in inner]) for i in (1, 2))]
+                    del inner, place
+                    context, word, n = _summed(keyed)[:3]
+                    rows.append((shards + s, _level(folder, f"grams-3-{s}", context, word, n, counts[context.astype(np.int64)], model.weight(3), last, homes), len(word), 0, 0))
+            if any(away):
+                rows.append((2 * shards + s, _save(folder, f"away-{s}", {}, list(_merged([x for x in away if x]))), 0, 0, 0))
+        if rows:
+            yield _built(rows)
+
+    paths, sizes, _ = _shards_built(texts, shards, count, build, 3)
+    level = Level(folder, paths[:shards], [sum(sizes[:s]) for s in range(shards)], hot)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key, word, counts = _load(folder, path)[1]
+                held, own = np.unique(key, return_inverse=True)
+                # Their first words are hot as well, so the pairs are spread.
+                ends = [Known(x.astype(np.int64), np.arange(len(x)), hash=_hashed(x)) for x in (held // U(wide), held % U(wide))]
+                at = np.arange(len(held))
+                shard = _shard(_chained(*ends, at, at), shards)
+                at = np.argsort(shard, kind="stable")
+                found, _ = level.find(Grams(at, at, at, shard[at]), *ends)
+                number, often = np.empty(len(held), np.int64), np.empty(len(held), np.int64)
+                number[at], often[at] = found.number, found.count
+                if len(number) and number.min() < 0:
+                    raise RuntimeError("a context that was counted is not in its level")
+                order = np.lexsort((word, number[own]))
+                yield _built([(s, _level(folder, f"grams-3-{shards + s}", number[own][order].astype(U), word[order], counts[order], often[own][order], model.weight(3), last), len(word), 0, 0)])
+
+    spread, more, away = [""] * shards, [0] * shards, [(s, x) for s, x in enumerate(paths[2 * shards :]) if x]
+    if away:
+        for r in texts.sparkSession.createDataFrame(away, "shard int, path string").repartition(shards, "shard").mapInArrow(named, BUILT).collect():
+            spread[r.shard], more[r.shard] = r.path, r.types
+        for _, path in away:
+            _store(folder)[0].delete_file(path)
+    sizes = sizes[shards : 2 * shards] + more
+    deeper = Level(folder, paths[shards : 2 * shards] + spread, [sum(sizes[:s]) for s in range(2 * shards)], hot, level.firsts)
+    return Trie(model.vocabulary, [level, deeper], model.mu, model.mu_long)
+
+
+def _ordered(shard: np.ndarray, upper: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((lower, upper, shard))
+    return shard[order], upper[order], lower[order], counts[order]
+
+
+def _split(raw: bytes) -> list[bytes]:
+    """The parts, each behind its length."""
+    out, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
 # -- Scoring ------------------------------------------------------------------------------------------------------
 
 
@@ -661,7 +837,7 @@ def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
     out = [[], [], [], []]
     for _, t in _groups(column):
         p = None
-        for order, (g, above, words, codes) in enumerate(descend(t, model, [(v.hot, len(v.paths)) for v in model.levels]), 2):
+        for order, (g, above, words, codes) in enumerate(descend(t, model, [v.dealt for v in model.levels]), 2):
             if p is None:
                 counts = words.count
                 unigram = model.vocabulary.log_unigram(counts)
@@ -669,8 +845,11 @@ def score_column(model: Trie, column: pa.Array) -> list[pa.Array]:
             mu = model.weight(order)
             share = _SHARES[codes]
             rest = mu / (above.count[g.context] + mu)
-            has = np.flatnonzero(g.code >= 0)
-            p[has] = share[g.code[has]] + rest[g.code[has]] * p[has]
+            if len(share):
+                short = np.flatnonzero(g.code < 0)
+                shorter = p[short]
+                p = share[g.code] + rest[g.code] * p
+                p[short] = shorter
         out[0].append(t.per_doc + 1)
         out[1].append(np.add.reduceat((counts > 0)[t.current].astype(np.int64), t.begins))
         out[2].append(np.add.reduceat(unigram[t.current], t.begins))
@@ -704,8 +883,11 @@ def learn(texts: DataFrame, shards: int | None = None, order: int = ORDER) -> Tr
     folder = scratch_path(spark, "lm")
     folder = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
     model = Trie(vocabulary(texts, folder, shards or max(tasks(spark), min(size // SHARD_BYTES, 1 << 16))))
-    for k in range(2, order + 1):
-        model = deepened(texts, model, shards or max(tasks(spark), model.vocabulary.tokens // SHARD_TOKENS), k == order)
+    shards = shards or max(tasks(spark), model.vocabulary.tokens // SHARD_TOKENS)
+    if order > 2:
+        model = deepened_twice(texts, model, shards, order == 3)
+    for k in range(len(model.levels) + 2, order + 1):
+        model = deepened(texts, model, shards, k == order)
     return model
 
 

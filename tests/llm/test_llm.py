@@ -512,6 +512,32 @@ def test_lm_looks_every_order_up_once(monkeypatch, spark):
     assert asked == [0, 1, 2]
 
 
+def test_lm_counts_pairs_and_threes_in_one_pass(spark, monkeypatch):
+    """The texts are read twice to learn three orders: for the words, and for all grams; hot contexts are still spread."""
+    train = [f"{'the of ' * 30}the of w{i} a{i % 7} b" for i in range(80)] + ["", None, "the", "of the of"]
+    frame = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    passes, built = [], lm._shards_built
+    monkeypatch.setattr(lm, "_shards_built", lambda *a: passes.append(1) or built(*a))
+    model = lm.learn(frame, 5)
+    assert len(passes) == 2 and len(model.levels) == 2
+    home, spread = model.levels[1].paths[:5], model.levels[1].paths[5:]
+    assert any(home) and sum(map(bool, spread)) > 1
+    heads = [lm._load(model.vocabulary.folder, x)[0] for x in spread if x]
+    assert sum(h["successors"][0] for h in heads) > 80 and max(h["contexts"][0] for h in heads) <= 4
+    said = _lm(train, 3)
+    for r, t in zip(lm.score(frame, model).orderBy("doc_id").collect(), train, strict=True):
+        _close(r, said(t))
+
+
+def test_lm_groups_are_alike(monkeypatch):
+    """Texts a little more than two groups hold make three of like size, each text in one of them."""
+    monkeypatch.setattr(lm, "TOGETHER", 6 << 20)
+    found = list(lm._groups(pa.array(["ab " * 33000] * 130)))
+    sizes = [int(t.per_doc.sum()) for _, t in found]
+    assert len(sizes) == 3 and sum(sizes) == 130 * 33000 and max(sizes) < 1.3 * min(sizes)
+    assert [at for at, _ in found] == [0, *np.cumsum([len(t.per_doc) for _, t in found])[:-1]]
+
+
 def test_lm_merges_by_one_number_or_by_two(monkeypatch):
     """Blocks of counts merge alike whether or not both keys fit in one number; those that fit are sorted once."""
     rng = np.random.default_rng(5)
