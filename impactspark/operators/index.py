@@ -121,27 +121,68 @@ def segments(impacts: DataFrame, span: int = SPAN) -> DataFrame:
     return impacts.groupBy("term", "impact", chunk_of(F.col("doc_id"), span).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
 
 
-def gaps(posts: DataFrame, span: int = SPAN) -> DataFrame:
-    """posts and gap, the distance to the term's document before; the first is its id plus 1. Ranges of ids are sorted
-    apart; the first of a range is told the last of those before it by a second pass over one row a range."""
-    rows = posts.withColumn("chunk", chunk_of(F.col("doc_id"), span))
-    lasts = rows.groupBy("term", "chunk").agg(F.max("doc_id").alias("last"))
-    carried = lasts.select("term", "chunk", F.lag("last").over(Window.partitionBy("term").orderBy("chunk")).alias("carried")).where("carried is not null")
-    line = Window.partitionBy("term", "chunk").orderBy("doc_id")
-    near = rows.withColumn("before", F.lag("doc_id").over(line))
-    gap = F.col("doc_id") - F.coalesce("before", "carried", F.lit(-1))
-    return near.join(carried, ["term", "chunk"], "left").select(*posts.columns, gap.alias("gap"))
-
-
-def ungapped(rows: DataFrame, span: int = SPAN) -> DataFrame:
+def term_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, term) of every document's terms, once a row of docs: repeated rows, and tokens that are cut alike, repeat."""
+    rows = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    return rows.select("doc_id", cut(F.col("term")).alias("term"))
+
+
+def one_range(docs: DataFrame, span: int = SPAN) -> bool:
+    """Whether all ids are in one range, so that nothing is carried from range to range; reads the ids alone."""
+    row = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    return row.a is None or row.a // span == row.b // span
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt once by term and range; what is done within a range needs no other exchange."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term", "chunk")
+
+
+def lists(rows: DataFrame, span: int = SPAN, one: bool = False) -> DataFrame:
+    """(term, chunk, gaps) of (doc_id, term), which may repeat: each term's gaps in order, a list for each range of ids."""
+    dealt = _dealt(rows.select("term", "doc_id", chunk_of(F.col("doc_id"), span).alias("chunk")))
+    ids = dealt.groupBy("term", "chunk").agg(F.sort_array(F.array_distinct(F.collect_list("doc_id"))).alias("ids"))
+    if one:
+        ids = ids.withColumn("carried", F.lit(-1).cast("long"))
+    else:
+        ids = ids.join(_carried(dealt), ["term", "chunk"], "left")
+    before = F.concat(F.array(F.coalesce("carried", F.lit(-1)).cast("long")), F.slice("ids", 1, F.size("ids") - 1))
+    return ids.select("term", "chunk", F.zip_with("ids", before, lambda x, y: x - y).alias("gaps"))
+
+
+def _carried(dealt: DataFrame) -> DataFrame:
+    """(term, chunk, carried): the last document of the ranges before, where there are any."""
+    lasts = dealt.groupBy("term", "chunk").agg(F.max("doc_id").alias("last"))
+    return lasts.select("term", "chunk", F.lag("last").over(Window.partitionBy("term").orderBy("chunk")).alias("carried")).where("carried is not null")
+
+
+def gaps(posts: DataFrame, span: int = SPAN, one: bool = False) -> DataFrame:
+    """posts and gap, the distance to the term's document before; the first is its id plus 1. A posting that comes again
+    counts once. Ranges of ids are sorted apart; the first of a range is told the last of those before it by a second
+    pass over one row a range, which is left out where all ids are known to be in one."""
+    return ranged_gaps(posts, span, one).drop("chunk")
+
+
+def ranged_gaps(posts: DataFrame, span: int = SPAN, one: bool = False) -> DataFrame:
+    """gaps() with each row's range in 'chunk', by which and by term the rows are dealt and sorted."""
+    dealt = _dealt(posts.withColumn("chunk", chunk_of(F.col("doc_id"), span)))
+    near = dealt.withColumn("before", F.lag("doc_id").over(Window.partitionBy("term", "chunk").orderBy("doc_id"))).where("before is null or before <> doc_id")
+    carried = F.lit(None).cast("long") if one else F.col("carried")
+    rows = near if one else near.join(_carried(dealt), ["term", "chunk"], "left")
+    return rows.select(*posts.columns, (F.col("doc_id") - F.coalesce("before", carried, F.lit(-1))).alias("gap"), "chunk")
+
+
+def ungapped(rows: DataFrame, span: int = SPAN, one: bool = False) -> DataFrame:
     """(term, doc_id) of (term, place, gap), place ordering a term's gaps: running sums by ranges of places, and the
-    sums of the ranges before."""
-    rows = rows.withColumn("chunk", chunk_of(F.col("place"), span))
+    sums of the ranges before. Rows that have their range in 'chunk' are taken as they are dealt."""
+    rows = rows if "chunk" in rows.columns else _dealt(rows.withColumn("chunk", chunk_of(F.col("place"), span)))
+    line = Window.partitionBy("term", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("near", F.sum("gap").over(line))
+    if one:
+        return near.select("term", (F.col("near") - 1).alias("doc_id"))
     sums = rows.groupBy("term", "chunk").agg(F.sum("gap").alias("total"))
     before = F.sum("total").over(Window.partitionBy("term").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     carried = sums.select("term", "chunk", before.alias("carried")).where("carried is not null")
-    line = Window.partitionBy("term", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("near", F.sum("gap").over(line))
     return near.join(carried, ["term", "chunk"], "left").select("term", (F.col("near") + F.coalesce("carried", F.lit(0)) - 1).alias("doc_id"))
 
 
