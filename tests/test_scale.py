@@ -54,3 +54,7 @@ def exchanges(df):
 def test_gap_encode_deals_rows_once(spark):
     """No index is made for it, and where all ids are in one range its rows are dealt once."""
     assert exchanges(QUERIES["gap_encode"](spark, f"{DATA}/sf0.001")) == 1
+
+
+def test_gap_decode_deals_rows_once(spark):
+    assert exchanges(QUERIES["gap_decode"](spark, f"{DATA}/sf0.001")) == 1
