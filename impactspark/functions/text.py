@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Runs of letters or of numbers.
@@ -96,10 +97,31 @@ def indexed(text: str) -> list[str]:
     return folded_runs(_TAG.sub(" ", text) if "<" in text else text)
 
 
-@pandas_udf(ArrayType(StringType()))
-def full_tokens(text: pd.Series) -> pd.Series:
-    """indexed() over a column, for full folding; plain text is quicker with tokens()."""
-    return text.map(lambda t: indexed(t) if t is not None else [])
+@lru_cache(1 << 17)
+def _runs_of(piece: str) -> str:
+    return "\n".join(folded_runs(piece))
+
+
+def joined_runs(text: str) -> str:
+    """indexed() as lines: no run has white space in it, so pieces between are folded apart, and frequent ones once."""
+    text = _TAG.sub(" ", text) if "<" in text else text
+    return "\n".join([r for w in text.split() if (r := _runs_of(w) if len(w) < 64 else "\n".join(folded_runs(w)))])
+
+
+#: Texts that are Python objects side by side.
+SLICE = 64
+
+
+@arrow_udf(StringType())
+def _joined(text: pa.Array) -> pa.Array:
+    parts = [pa.array([joined_runs(t) if t is not None else "" for t in text.slice(a, SLICE).to_pylist()], pa.string()) for a in range(0, len(text), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def full_tokens(text: Column) -> Column:
+    """indexed() over a column, for full folding; plain text is quicker with tokens(). One string a text leaves Python, and
+    a batch is gone through by slices, so its texts and words are never objects side by side."""
+    return F.array_remove(F.split(_joined(text), "\n"), "")
 
 
 @pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("lexeme", StringType())])))
