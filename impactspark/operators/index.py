@@ -50,6 +50,29 @@ def union_postings(*parts: DataFrame) -> DataFrame:
     return out.groupBy("term", "doc_id").agg(F.least(F.sum("tf"), F.lit(MAX_TF)).cast("int").alias("tf"))
 
 
+#: Bytes of stored input for a task that deals with its rows or postings, some millions at most.
+TASK_BYTES = 1 << 24
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Partitions for an explicit exchange: the session's, more if its stored input is large for so many."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 50)  # more stands for unknown
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def counted(docs: DataFrame, mode: str = "plain") -> DataFrame:
+    """(term, doc_id, tf, length) of docs(doc_id, text) with ids that don't repeat: postings with their document's length;
+    a row without a term for a document without one. Texts are dealt and not postings, and counted where they are."""
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select("doc_id", "text").repartition(tasks_for(docs), "doc_id")
+    words = dealt.select("doc_id", (full_tokens(text) if mode == "full" else tokens(text)).alias("ws"))
+    rows = words.select("doc_id", F.size("ws").cast("long").alias("length"), F.explode_outer("ws").alias("term"))
+    rows = rows if mode == "full" else rows.withColumn("term", cut(F.col("term")))
+    return rows.groupBy("doc_id", "length", "term").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).cast("int").alias("tf")).select("term", "doc_id", "tf", "length")
+
+
 def doc_lengths(docs: DataFrame, rows: DataFrame | None = None, extra: int = 0) -> DataFrame:
     """(doc_id, length) of every document, empty ones too. No shuffle unless token rows are given."""
     if rows is None:
@@ -77,12 +100,42 @@ def bm25(tf: Column, df: Column, length: Column, documents: Column, mean: Column
 RANKERS = {"bm25": bm25, "none": lambda tf, *_, **__: tf.cast("double")}
 
 
-def scored(posts: DataFrame, lengths: DataFrame, ranker: str = "bm25", **options) -> DataFrame:
-    """(term, doc_id, tf, score). The vocabulary joins on the postings' term, lengths on the document."""
+#: Terms whose frequencies are broadcast at most: the most frequent ones, which nearly all postings have.
+BROADCAST_TERMS = 200_000
+
+
+def _least_frequent(frequencies: DataFrame, most: int) -> int:
+    """The least power of 2 that no more than so many terms' frequencies reach."""
+    rows = frequencies.groupBy((F.length(F.bin("df")) - 1).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # 63 at most
+    by, upto = {r.p: r.n for r in rows}, 0
+    for p in range(62, -1, -1):
+        upto += by.get(p, 0)
+        if upto > most:
+            return 1 << (p + 1)
+    return 1
+
+
+def _with_df(posts: DataFrame, frequencies: DataFrame | None, most: int = BROADCAST_TERMS) -> DataFrame:
+    """posts with their term's df. Of stored frequencies(term, df) those of frequent terms are broadcast, so only the
+    postings of rare terms are dealt by term."""
+    if frequencies is None:
+        return posts.join(document_frequency(posts).select("term", "df"), "term")
+    least = _least_frequent(frequencies, most)
+    frequent = F.broadcast(frequencies.where(F.col("df") >= least).select("term", "df"))
+    known = posts.join(frequent, "term")
+    if least == 1:
+        return known
+    return known.unionByName(posts.join(frequent.select("term"), "term", "left_anti").join(frequencies.where(F.col("df") < least).select("term", "df"), "term"))
+
+
+def scored(posts: DataFrame, lengths: DataFrame, ranker: str = "bm25", frequencies: DataFrame | None = None, **options) -> DataFrame:
+    """(term, doc_id, tf, score). Frequencies join on the postings' term, and lengths on the document where postings don't
+    have them."""
     if ranker == "none":
-        return posts.withColumn("score", RANKERS["none"](F.col("tf")))
+        return posts.select("term", "doc_id", "tf").withColumn("score", RANKERS["none"](F.col("tf")))
     stats = collection_stats(lengths)
-    joined = posts.join(document_frequency(posts).select("term", "df"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    joined = _with_df(posts, frequencies)
+    joined = (joined if "length" in posts.columns else joined.join(lengths, "doc_id")).crossJoin(F.broadcast(stats))  # one row
     score = RANKERS[ranker](F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length"), **options)
     return joined.select("term", "doc_id", "tf", score.alias("score"))
 
@@ -135,7 +188,7 @@ def one_range(docs: DataFrame, span: int = SPAN) -> bool:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows dealt once by term and range; what is done within a range needs no other exchange."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term", "chunk")
+    return rows.repartition(tasks_for(rows), "term", "chunk")
 
 
 def lists(rows: DataFrame, span: int = SPAN, one: bool = False) -> DataFrame:

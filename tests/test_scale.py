@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import DATA
+from conftest import DATA, rows_of
 
 from impactspark.functions import codecs
 from impactspark.operators import index as build
@@ -106,3 +106,85 @@ def test_gap_encode_deals_rows_once(spark):
 
 def test_gap_decode_deals_rows_once(spark):
     assert exchanges(QUERIES["gap_decode"](spark, f"{DATA}/sf0.001")) == 1
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    texts = ["one two two", None, "", "été ÉTÉ <b>x</b> ½3 ﬁ", "a" * 1500 + " " + "a" * 1400, "É e ß1 我 x́", "<a href='x>y'>one</a>two <!-- z", "two " * 1100]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("mode", ["plain", "full"])
+def test_counted_is_postings_and_lengths(odd_docs, mode):
+    """Counted where the texts are: the postings and lengths that are counted from rows, empty texts too."""
+    found = build.counted(odd_docs, mode)
+    rows = build.token_rows(odd_docs, mode)
+    assert rows_of(found.where("term is not null").select("term", "doc_id", "tf")) == rows_of(build.postings(rows))
+    assert rows_of(found.select("doc_id", "length").distinct()) == rows_of(build.doc_lengths(odd_docs, rows))
+
+
+def test_bm25_shuffles_no_postings(spark, odd_docs):
+    """Postings with their lengths and broadcast frequencies are scored where they are, and alike if rare terms' frequencies
+    are not broadcast."""
+    posts = build.postings(build.token_rows(odd_docs)).localCheckpoint()
+    counts, lengths = build.counted(odd_docs).where("term is not null").localCheckpoint(), build.doc_lengths(odd_docs).localCheckpoint()
+    df = build.document_frequency(posts).localCheckpoint()
+    want = rows_of(build.scored(posts, lengths))
+    found = build.scored(counts, lengths, frequencies=df)
+    assert rows_of(found) == want
+    assert exchanges(found.drop("score")) == 0
+    both = build._with_df(counts, df, 2)
+    assert build._least_frequent(df, 2) > 1 and rows_of(both.select("term", "doc_id", "df")) == rows_of(build._with_df(posts, None).select("term", "doc_id", "df"))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_index_of_a_folder(spark, duck, tmp_path, repeated):
+    """The same as the SQL where ids repeat; frequencies and bounds are stored once and no impacts are."""
+    from impactspark.plans import store
+    from impactspark.plans.registry import ORACLES
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("doc_id < 60")
+    docs = docs.unionByName(docs.where("doc_id = 7")) if repeated else docs
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    duck.execute(f"CREATE SCHEMA IF NOT EXISTS s{repeated}")
+    duck.execute(f"CREATE OR REPLACE VIEW s{repeated}.documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    duck.execute(f"SET schema = 's{repeated}'")
+    try:
+        for name in ("postings", "document_frequency", "bm25_bounds", "bm25_scores", "impacts"):
+            sql = duck.execute(ORACLES[name])
+            names = [d[0] for d in sql.description]
+            want = sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in sql.fetchall()), key=repr)
+            assert sorted((tuple(r[n] for n in names) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == want, name
+    finally:
+        duck.execute("SET schema = 'main'")
+    made = {key[2].split()[1] for key in store._built if key[1] == str(tmp_path)}
+    assert made == {"repeated", "counted", "frequencies", "bounds"} | ({"lengths"} if repeated else set())
+
+
+def test_partitions_follow_the_stored_input(spark, posts, monkeypatch):
+    """The session's at least; frames of unknown size have no more."""
+    own, stored = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    assert build.tasks_for(posts[0]) == build.tasks_for(stored) == own
+    monkeypatch.setattr(build, "TASK_BYTES", 10_000)
+    assert build.tasks_for(posts[0]) == own < build.tasks_for(stored) < 100
+
+
+def test_joined_runs(odd_docs):
+    from impactspark.functions import text
+
+    for row in odd_docs.collect():
+        assert text.joined_runs(row.text or "").split("\n") == (text.indexed(row.text or "") or [""])
+
+
+def test_full_tokens_leave_python_as_strings(spark, monkeypatch):
+    """A slice of texts at a time, one string a text."""
+    import pyarrow as pa
+
+    from impactspark.functions import text
+
+    monkeypatch.setattr(text, "SLICE", 3)
+    given = ["Été un", None, "", "½", "x y", "z", "<i>w</i>"]
+    out = text._joined.func(pa.array(given))
+    assert out.to_pylist() == ["ete\nun", "", "", "12", "x\ny", "z", "w"]
+    df = spark.createDataFrame([(t,) for t in given], "t string").select(text.full_tokens("t").alias("ws"))
+    assert [r.ws for r in df.collect()] == [["ete", "un"], [], [], ["12"], ["x", "y"], ["z"], ["w"]]
