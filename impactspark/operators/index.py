@@ -43,11 +43,12 @@ def stem_of(term: Column, stemmer: str = "porter") -> Column:
 
 
 def union_postings(*parts: DataFrame) -> DataFrame:
-    """Bulk addition: frequencies of the same posting add up."""
+    """Bulk addition: frequencies of the same posting add up. Few postings are the same, so they are dealt as they are: a
+    table of all those of a file, which is small for its postings, would only fill a task's memory."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("term", "doc_id").agg(F.least(F.sum("tf"), F.lit(MAX_TF)).cast("int").alias("tf"))
+    return out.repartition(tasks_for(out), "term", "doc_id").groupBy("term", "doc_id").agg(F.least(F.sum("tf"), F.lit(MAX_TF)).cast("int").alias("tf"))
 
 
 #: Bytes of stored input for a task that deals with its rows or postings, some millions at most.

@@ -169,6 +169,15 @@ def test_partitions_follow_the_stored_input(spark, posts, monkeypatch):
     assert build.tasks_for(posts[0]) == own < build.tasks_for(stored) < 100
 
 
+def test_union_deals_postings_first(spark):
+    """No table of a whole file's postings before the exchange."""
+    some = spark.createDataFrame([("a", 1, 1000), ("b", 1, 1)], "term string, doc_id long, tf int")
+    plan = build.union_postings(some, some)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("Exchange")
+    found = build.union_postings(some, some.where("term = 'a'"))
+    assert rows_of(found) == rows_of(spark.createDataFrame([("a", 1, 1024), ("b", 1, 1)], "term string, doc_id long, tf int"))
+
+
 def test_joined_runs(odd_docs):
     from impactspark.functions import text
 
